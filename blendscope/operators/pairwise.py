@@ -41,14 +41,19 @@ def js_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(half - mid, 0.0))
 
 
-def _tiles(targets: DataFrame, pool: DataFrame, keys: list[str], t_id: str, p_id: str, blocks: int):
-    t = targets.withColumn("_tb", F.pmod(F.xxhash64(t_id), F.lit(blocks)))
-    p = pool.withColumn("_pb", F.pmod(F.xxhash64(p_id), F.lit(blocks)))
+def _tiles(targets: DataFrame, pool: DataFrame, keys: list[str], blocks: int):
+    """Both sides as one table, grouped by tile: one shuffle brings target and pool rows together."""
     every = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")
-    t = t.withColumn("_pb", F.explode(every))
-    p = p.withColumn("_tb", F.explode(every))
-    by = [*keys, "_tb", "_pb"]
-    return t.groupBy(*by), p.groupBy(*by)
+    t = targets.withColumn("_tb", F.pmod(F.xxhash64("_id"), F.lit(blocks))).withColumn("_pb", F.explode(every))
+    p = pool.withColumn("_pb", F.pmod(F.xxhash64("_id"), F.lit(blocks))).withColumn("_tb", F.explode(every))
+    rows = t.withColumn("_is_target", F.lit(True)).unionByName(
+        p.withColumn("_is_target", F.lit(False)), allowMissingColumns=True)
+    return rows.groupBy(*keys, "_tb", "_pb")
+
+
+def _split(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    side = rows["_is_target"].to_numpy(dtype=bool)
+    return rows[side].reset_index(drop=True), rows[~side].reset_index(drop=True)
 
 
 def _matrix(col: pd.Series, k: int) -> np.ndarray:
@@ -77,10 +82,10 @@ def weighted_environment(
     the target itself. With ``flag`` the same is done for flagged pool rows.
     Returns per target: n, ess, mean[m], and n_pos, ess_pos, mean_pos[m].
     """
-    t_cols = [*keys, target_id, vector]
-    pool_sel = pool.select(
-        *keys, F.col(pool_id).alias("_pid"), F.col(vector).alias("_pvec"), F.col(values).alias("_pval"),
-        (F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)).alias("_pflag"),
+    t_sel = targets.select(*keys, F.col(target_id).alias("_id"), F.col(vector).alias("_vec"))
+    p_sel = pool.select(
+        *keys, F.col(pool_id).alias("_id"), F.col(vector).alias("_vec"), F.col(values).alias("_val"),
+        (F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)).alias("_flag"),
     )
     names = ["n", "sw", "sww"] + [f"x{i}" for i in range(m)]
     part_cols = names + [f"p_{c}" for c in names]
@@ -89,19 +94,20 @@ def weighted_environment(
         + [f"{c} double" for c in part_cols]
     )
 
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = _split(rows)
         if not len(left) or not len(right):
             return pd.DataFrame(columns=[*keys, target_id, *part_cols])
-        q, val = _matrix(right["_pvec"], k), _matrix(right["_pval"], m)
-        pid, pos = right["_pid"].to_numpy(), right["_pflag"].to_numpy(dtype=float)
-        val0, n_all = np.nan_to_num(val), len(q)
+        q, val = _matrix(right["_vec"], k), _matrix(right["_val"], m)
+        pid, pos = right["_id"].to_numpy(), right["_flag"].to_numpy(dtype=bool).astype(float)
+        val0 = np.nan_to_num(val)
         frames = []
         for s in range(0, len(left), _STRIP):
             part = left.iloc[s:s + _STRIP]
-            other = part[target_id].to_numpy()[:, None] != pid[None, :]
-            d = js_matrix(_matrix(part[vector], k), q)
+            other = part["_id"].to_numpy()[:, None] != pid[None, :]
+            d = js_matrix(_matrix(part["_vec"], k), q)
             w = np.where(np.isnan(d), 1.0 - undefined_distance, 1.0 - d) ** power * other
-            res = part[[*keys, target_id]].reset_index(drop=True)
+            res = part[[*keys, "_id"]].rename(columns={"_id": target_id}).reset_index(drop=True)
             for prefix, ww, seen in (("", w, other), ("p_", w * pos, other * (pos > 0))):
                 res[f"{prefix}n"] = seen.sum(axis=1).astype(float)
                 res[f"{prefix}sw"] = ww.sum(axis=1)
@@ -112,8 +118,8 @@ def weighted_environment(
             frames.append(res)
         return pd.concat(frames, ignore_index=True)
 
-    left, right = _tiles(targets.select(*t_cols), pool_sel, keys, target_id, "_pid", blocks)
-    partial = left.cogroup(right).applyInPandas(tile, schema)
+    tiles = _tiles(t_sel, p_sel, keys, blocks)
+    partial = tiles.applyInPandas(tile, schema)
     sums = partial.groupBy(*keys, target_id).agg(*[F.sum(c).alias(c) for c in part_cols])
 
     def block(prefix: str, tag: str) -> list:
@@ -151,32 +157,37 @@ def nearest(
     rows, so the merge sees at most ``top_n`` rows per target and tile.
     Ties are broken by pool id, then by ``tie``.
     """
-    extra_t = [band[0]] if band else []
     tie = tie or pool_id
-    pool_sel = pool.select(
-        *keys, F.col(pool_id).alias("_pid"), F.col(vector).alias("_pvec"), F.col(tie).alias("_tie"),
-        *([F.col(band[1]).alias("_band")] if band else []),
+    tie_type = pool.schema[tie].dataType
+    t_sel = targets.select(
+        *keys, F.col(target_id).alias("_id"), F.col(vector).alias("_vec"), F.lit("0").cast(tie_type).alias("_tie"),
+        *([F.col(band[0]).cast("double").alias("_band")] if band else []),
+    )
+    p_sel = pool.select(
+        *keys, F.col(pool_id).alias("_id"), F.col(vector).alias("_vec"), F.col(tie).alias("_tie"),
+        *([F.col(band[1]).cast("double").alias("_band")] if band else []),
     )
-    fields = {f.name: f.dataType.simpleString() for f in pool_sel.schema.fields}
+    id_type = pool.schema[pool_id].dataType.simpleString()
     head = [f"{f.name} {f.dataType.simpleString()}" for f in targets.select(*keys, target_id).schema.fields]
-    schema = ", ".join(head + [f"neighbor {fields['_pid']}", f"neighbor_tie {fields['_tie']}", "distance double"])
+    schema = ", ".join(head + [f"neighbor {id_type}", f"neighbor_tie {tie_type.simpleString()}", "distance double"])
 
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = _split(rows)
         cols = [*keys, target_id, "neighbor", "neighbor_tie", "distance"]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=cols)
-        right = right.sort_values(["_pid", "_tie"], kind="stable").reset_index(drop=True)
-        q, pid = _matrix(right["_pvec"], k), right["_pid"].to_numpy()
+        right = right.sort_values(["_id", "_tie"], kind="stable").reset_index(drop=True)
+        q, pid = _matrix(right["_vec"], k), right["_id"].to_numpy()
         frames = []
         for s in range(0, len(left), _STRIP):
             part = left.iloc[s:s + _STRIP].reset_index(drop=True)
-            d = js_matrix(_matrix(part[vector], k), q)
+            d = js_matrix(_matrix(part["_vec"], k), q)
             d = np.where(np.isnan(d), undefined_distance, d)
             ok = np.ones(d.shape, dtype=bool)
             if exclude_self:
-                ok &= part[target_id].to_numpy()[:, None] != pid[None, :]
+                ok &= part["_id"].to_numpy()[:, None] != pid[None, :]
             if band:
-                gap = np.abs(part[band[0]].to_numpy(dtype=float)[:, None] - right["_band"].to_numpy(dtype=float)[None, :])
+                gap = np.abs(part["_band"].to_numpy(dtype=float)[:, None] - right["_band"].to_numpy(dtype=float)[None, :])
                 ok &= gap <= band[2]
             # distances are compared to 12 digits, so equal mixtures tie in every engine
             d = np.where(ok, np.round(d, 12), np.inf)
@@ -185,14 +196,14 @@ def nearest(
             cols_idx = order.ravel()
             keep = np.isfinite(d[rows, cols_idx])
             rows, cols_idx = rows[keep], cols_idx[keep]
-            res = part.loc[rows, [*keys, target_id]].reset_index(drop=True)
+            res = part.loc[rows, [*keys, "_id"]].rename(columns={"_id": target_id}).reset_index(drop=True)
             res["neighbor"] = pid[cols_idx]
             res["neighbor_tie"] = right["_tie"].to_numpy()[cols_idx]
             res["distance"] = d[rows, cols_idx]
             frames.append(res)
         return pd.concat(frames, ignore_index=True)[cols]
 
-    left, right = _tiles(targets.select(*keys, target_id, vector, *extra_t), pool_sel, keys, target_id, "_pid", blocks)
-    best = left.cogroup(right).applyInPandas(tile, schema)
+    tiles = _tiles(t_sel, p_sel, keys, blocks)
+    best = tiles.applyInPandas(tile, schema)
     w = Window.partitionBy(*keys, target_id).orderBy("distance", "neighbor", "neighbor_tie")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)

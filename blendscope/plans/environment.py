@@ -14,6 +14,7 @@ from blendscope.functions import text as tx
 from blendscope.functions import vectors as vec
 from blendscope.operators import pairwise, relational
 from blendscope.operators.ordered import quantiles
+from blendscope.session import cut_lineage
 
 
 def directed_edges(pairs: DataFrame) -> DataFrame:
@@ -141,6 +142,7 @@ def screening(recipes: DataFrame, mis: DataFrame, oncourt: DataFrame, identity:
 
 def quadrants(screen: DataFrame) -> DataFrame:
     """Median mismatch and rating per season, and the quadrant of each rated member."""
+    screen = cut_lineage(screen)  # read by three branches
     mx = quantiles(screen, ["season"], "score", {"med_score": 0.5}).drop("n")
     my = quantiles(screen, ["season"], "net_rating", {"med_rating": 0.5}).drop("n")
     j = screen.where(F.col("net_rating").isNotNull()).join(mx, "season").join(my, "season")

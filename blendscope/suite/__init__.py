@@ -26,12 +26,20 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c, name: str | None = None) -> Column:
-    """Round to 6 digits, without a negative zero."""
+    """Round to 6 digits (2 for large values), without a negative zero.
+
+    The small shift keeps exact decimal ties from rounding by summation order.
+    """
     col = F.col(c) if isinstance(c, str) else c
-    out = F.when(F.abs(col) < 5e-7, F.lit(0.0)).otherwise(F.round(col, 6))
+    out = (
+        F.when(F.abs(col) < 4e-7, F.lit(0.0))
+        .when(F.abs(col) >= 1e4, F.round(col + F.lit(1e-5), 2))
+        .otherwise(F.round(col + F.lit(1e-10), 6))
+    )
     return out.alias(name or (c if isinstance(c, str) else "value"))
 
 
 def s6(expr: str) -> str:
     """SQL text of ``r6``."""
-    return f"CASE WHEN abs({expr}) < 5e-7 THEN 0.0::DOUBLE ELSE round(({expr})::DOUBLE, 6) END"
+    return (f"CASE WHEN abs({expr}) < 4e-7 THEN 0.0::DOUBLE WHEN abs({expr}) >= 1e4 THEN round(({expr})::DOUBLE + 1e-5, 2) "
+            f"ELSE round(({expr})::DOUBLE + 1e-10, 6) END")
