@@ -70,7 +70,8 @@ def _candidate_rows(z: DataFrame, p: int, directions: np.ndarray) -> pd.DataFram
 
     Each partition emits one row per direction; the largest one is kept.
     """
-    keys = [c for c in z.columns if c != "z"]
+    columns = list(z.columns)
+    keys = [c for c in columns if c != "z"]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in z.schema.fields)
 
     def extremes(batches):
@@ -91,11 +92,11 @@ def _candidate_rows(z: DataFrame, p: int, directions: np.ndarray) -> pd.DataFram
             out = pd.DataFrame([r for _, _, r in rows]).reset_index(drop=True)
             out["direction"] = [d for d, _, _ in rows]
             out["score"] = [s for _, s, _ in rows]
-            yield out[[*z.columns, "direction", "score"]]
+            yield out[[*columns, "direction", "score"]]
 
     found = z.mapInPandas(extremes, f"{fields}, direction int, score double")
     best = found.groupBy("direction").agg(
-        F.max_by(F.struct(*z.columns), F.struct("score", *keys)).alias("r")).select("r.*").distinct()
+        F.max_by(F.struct(*columns), F.struct("score", *keys)).alias("r")).select("r.*").distinct()
     pdf = best.toPandas()  # at most one row per direction
     return pdf.sort_values(keys, kind="stable").reset_index(drop=True)
 

@@ -145,18 +145,18 @@ def cell_coverage(spark, sf):
     return c.select("n_cells", "effective_cells", r6("min_mass"), r6("median_mass"), "n_pairs")
 
 
-BANDS = ((0, 100), (100, 300), (300, 1000), (1000, 1e9))
+BANDS = ((0, 1500), (1500, 2000), (2000, 2500), (2500, 1e9))
 _TOPW = "greatest(" + ", ".join(f"w{i}" for i in range(K)) + ")"
 
 
 @query("saturation_by_band", sb.with_(sb.LINES, sb.MIX) + f"""
 SELECT band, count(*) AS n, {s6('100 * avg((t > 0.4)::INT)')} AS pct_over_40, {s6('quantile_cont(t, 0.5)')} AS median_top FROM (
- SELECT CASE WHEN min < 100 THEN 0 WHEN min < 300 THEN 1 WHEN min < 1000 THEN 2 ELSE 3 END AS band, {_TOPW} AS t FROM mix) GROUP BY band""")
+ SELECT CASE WHEN min < 1500 THEN 0 WHEN min < 2000 THEN 1 WHEN min < 2500 THEN 2 ELSE 3 END AS band, {_TOPW} AS t FROM mix) GROUP BY band""")
 def saturation_by_band(spark, sf):
     """A16."""
     r = wh.recipes(spark, sf)
     s = bs.saturation(r, BANDS)
-    extra = r.select(F.when(F.col("min") < 100, 0).when(F.col("min") < 300, 1).when(F.col("min") < 1000, 2).otherwise(3).alias("band"),
+    extra = r.select(F.when(F.col("min") < 1500, 0).when(F.col("min") < 2000, 1).when(F.col("min") < 2500, 2).otherwise(3).alias("band"),
                      vec.purity("recipe").alias("t")).groupBy("band").agg((100 * F.avg((F.col("t") > 0.4).cast("double"))).alias("pct_over_40"))
     return s.join(extra, "band").select("band", "n", r6("pct_over_40"), r6("median_top"))
 

@@ -317,3 +317,33 @@ def lead_season(df: DataFrame, *columns: str) -> DataFrame:
     """Next present season of a member; a member has a bounded number of seasons."""
     w = Window.partitionBy("member").orderBy("season")
     return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """member, season, mp, obpm, dbpm: weight and two outcome rates per member and season."""
+    r = oncourt(spark, sf_dir)
+    mp = recipes(spark, sf_dir).select("member", "season", F.col("min").alias("mp"))
+    return r.join(mp, ["member", "season"]).select(
+        "member", "season", "mp", (F.col("off_rating") / 10.0 - 3.3).alias("obpm"), (3.3 - F.col("def_rating") / 10.0).alias("dbpm"))
+
+
+def talent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """member, season, bpm."""
+    return outcomes(spark, sf_dir).select("member", "season", (F.col("obpm") + F.col("dbpm")).alias("bpm"))
+
+
+def skill_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """member, season, skill_off, skill_def: shrunk rates of the season before."""
+    from blendscope.plans.linear import veteran_skill
+
+    shifted = outcomes(spark, sf_dir).withColumn("season", tx.season_label(tx.season_start_year("season") + 1))
+    return veteran_skill(shifted, keys=["season"])
+
+
+def stints_with_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments with the team of the first member of each side."""
+    m = members(spark, sf_dir)
+    off = m.select(F.col("member").alias("_o"), F.col("team").alias("offense_team"))
+    dfn = m.select(F.col("member").alias("_d"), F.col("team").alias("defense_team"))
+    s = stints(spark, sf_dir).withColumn("_o", F.col("off")[0]).withColumn("_d", F.col("def")[0])
+    return s.join(off, "_o").join(dfn, "_d").drop("_o", "_d")
