@@ -32,7 +32,7 @@ def r6(c, name: str | None = None) -> Column:
     """
     col = F.col(c) if isinstance(c, str) else c
     out = (
-        F.when(F.abs(col) < 4e-7, F.lit(0.0))
+        F.when(F.abs(col) < 5.0005e-7, F.lit(0.0))
         .when(F.abs(col) >= 1e4, F.round(col + F.lit(1e-5), 2))
         .otherwise(F.round(col + F.lit(1e-10), 6))
     )
@@ -41,5 +41,5 @@ def r6(c, name: str | None = None) -> Column:
 
 def s6(expr: str) -> str:
     """SQL text of ``r6``."""
-    return (f"CASE WHEN abs({expr}) < 4e-7 THEN 0.0::DOUBLE WHEN abs({expr}) >= 1e4 THEN round(({expr})::DOUBLE + 1e-5, 2) "
+    return (f"CASE WHEN abs({expr}) < 5.0005e-7 THEN 0.0::DOUBLE WHEN abs({expr}) >= 1e4 THEN round(({expr})::DOUBLE + 1e-5, 2) "
             f"ELSE round(({expr})::DOUBLE + 1e-10, 6) END")
