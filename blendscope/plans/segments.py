@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from blendscope.functions import text as tx
 from blendscope.operators import ordered
+from blendscope.session import cut_lineage
 
 # Action names of the event feed.
 SUBSTITUTION, MADE, MISSED = "Substitution", "Made Shot", "Missed Shot"
@@ -120,17 +121,25 @@ def emit(counts: DataFrame) -> DataFrame:
 
 # --- text resolution ----------------------------------------------------------
 
-def resolve_in_game(names: DataFrame, box: DataFrame, name: str, out: str, keys: list[str]) -> DataFrame:
-    """Player id of an in-game name: family name and, if given, initials; exactly one match or null."""
-    initial, family = tx.split_initial(name)
-    n = names.where(F.col(name).isNotNull()).select(
-        *keys, "game", "team", initial.alias("_initial"), tx.normalize_name(family).alias("_family"))
+def resolve_in_game(names: DataFrame, box: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Player ids of in-game names: family name and, if given, initials; exactly one match or null.
+
+    ``columns`` maps a name column to its id column; all of them share one
+    roster join. ``names`` must be unique on (game, keys).
+    """
+    cells = F.array(*[F.struct(F.lit(out).alias("slot"), F.col(src).alias("name")) for src, out in columns.items()])
+    n = names.select(*keys, "game", "team", F.explode(F.filter(cells, lambda c: c["name"].isNotNull())).alias("c"))
+    initial, family = tx.split_initial(F.col("c.name"))
+    n = n.select(*keys, "game", "team", "c.slot", initial.alias("_initial"), tx.normalize_name(family).alias("_family"))
     roster = box.select("game", "team", F.col("person").alias("_pid"), F.lower("first_name").alias("_first"),
                         tx.normalize_name("family_name").alias("_family"))
     hit = n.join(roster, ["game", "team", "_family"]).where(
         F.col("_initial").isNull() | F.col("_first").startswith(F.col("_initial")))
-    one = hit.groupBy(*keys, "game").agg(F.count(F.lit(1)).alias("_n"), F.min("_pid").alias(out)).where(F.col("_n") == 1)
-    return names.join(one.select("game", *keys, out), ["game", *keys], "left")
+    ids = []
+    for out in columns.values():
+        here = F.col("slot") == out
+        ids.append(F.when(F.count_if(here) == 1, F.min(F.when(here, F.col("_pid")))).alias(out))
+    return names.join(hit.groupBy("game", *keys).agg(*ids), ["game", *keys], "left")
 
 
 def resolve_texts(events: DataFrame, box: DataFrame) -> DataFrame:
@@ -140,9 +149,8 @@ def resolve_texts(events: DataFrame, box: DataFrame) -> DataFrame:
     helped = (F.col("is_field_goal") == 1) & (F.col("shot_result") == "Made")
     ev = events.withColumn("_a", F.when(is_sub, a)).withColumn("_b", F.when(is_sub, b)).withColumn(
         "_assist", F.when(helped, tx.assist_name("description")))
-    for src, out in (("_a", "sub_a"), ("_b", "sub_b"), ("_assist", "assist")):
-        ev = resolve_in_game(ev, box, src, out, ["action_no"])
-    return ev.drop("_a", "_b", "_assist")
+    out = resolve_in_game(ev, box, ["action_no"], {"_a": "sub_a", "_b": "sub_b", "_assist": "assist"})
+    return out.drop("_a", "_b", "_assist")
 
 
 def starters(box: DataFrame) -> DataFrame:
@@ -244,29 +252,35 @@ def _int(v):
     return None if pd.isna(v) else int(v)
 
 
-def _replay(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one game arrive in event order; one period is held at a time."""
-    game, held, replay, current = key[0], [], None, None
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Replays the games of a partition; rows arrive by game and event order, one period is held at a time."""
+    game, current, held, replay = None, None, [], None
 
-    def flush():
-        out = []
+    def snapshots():
         for snap in replay.period(held):
             ok = all(len(ids) == SIDE for ids in snap["court"].values())
-            out += [(game, snap["segment"], t, ids, ok, snap["notes"]) for t, ids in snap["court"].items()]
-        return pd.DataFrame(out, columns=["game", "segment", "team", "ids", "valid", "notes"])
+            yield from ((game, snap["segment"], t, ids, ok, snap["notes"]) for t, ids in snap["court"].items())
 
     for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            if replay is None:
-                replay = GameReplay({int(r.home_team): list(r.home_five), int(r.away_team): list(r.away_five)})
-            if current is not None and r.period != current:
-                yield flush()
+        out = []
+        columns = [pdf[c].tolist() for c in _REPLAY_COLUMNS]
+        for g, no, period, team, person, segment, sub, acts, a, b, home, away, home_five, away_five in zip(*columns):
+            if held and (g != game or period != current):
+                out += snapshots()
                 held = []
-            current = r.period
-            held.append({"action_no": int(r.action_no), "team": _int(r.team), "person": _int(r.person), "segment": int(r.segment),
-                         "is_sub": bool(r.is_sub), "acts": bool(r.acts), "a": _int(r.sub_a), "b": _int(r.sub_b)})
-    if replay is not None and held:
-        yield flush()
+            if g != game:
+                game, replay = g, GameReplay({int(home): list(home_five), int(away): list(away_five)})
+            current = period
+            held.append({"action_no": int(no), "team": _int(team), "person": _int(person), "segment": int(segment),
+                         "is_sub": bool(sub), "acts": bool(acts), "a": _int(a), "b": _int(b)})
+        yield pd.DataFrame(out, columns=_LINEUP_COLUMNS)
+    if held:
+        yield pd.DataFrame(list(snapshots()), columns=_LINEUP_COLUMNS)
+
+
+_REPLAY_COLUMNS = ("game", "action_no", "period", "team", "person", "segment", "is_sub", "acts", "sub_a", "sub_b",
+                   "home_team", "away_team", "home_five", "away_five")
+_LINEUP_COLUMNS = ["game", "segment", "team", "ids", "valid", "notes"]
 
 
 def lineup_states(events: DataFrame, box: DataFrame, games: DataFrame) -> DataFrame:
@@ -286,16 +300,9 @@ def lineup_states(events: DataFrame, box: DataFrame, games: DataFrame) -> DataFr
         F.col("prev").isNull().alias("is_first"), (F.col("period") != F.col("prev.period")).alias("new_period"))
     slim = slim.where(F.col("is_sub") | F.col("acts") | F.col("is_first") | F.col("new_period"))
     rows = slim.join(ok, "game")
-    # grouped rows reach the function in event order: sorted inside the game partitioning
+    # whole games per partition, in event order: the function streams through them
     arranged = rows.repartition("game").sortWithinPartitions("game", "action_no")
-    return arranged.groupBy("game").applyInPandas(_replay_typed, LINEUP_SCHEMA)
-
-
-def _replay_typed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield from _replay(key, batches)
-
-
-_replay_typed.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    return arranged.select(*_REPLAY_COLUMNS).mapInPandas(_replay, LINEUP_SCHEMA)
 
 
 def numbered(lineups: DataFrame) -> DataFrame:
@@ -320,8 +327,9 @@ def build(events: DataFrame, box: DataFrame, games: DataFrame) -> dict[str, Data
     """Segments, event links, line-up warnings and game status of a batch of games."""
     status = game_status(box, games)
     good = games.join(status.where(F.col("status") == "ok"), "game", "left_semi")
-    ev = resolve_texts(ordered_events(events.join(good.select("game"), "game", "left_semi")), box)
-    segs = numbered(lineup_states(ev, box, good))
+    # both tables are read by several outputs
+    ev = cut_lineage(resolve_texts(ordered_events(events.join(good.select("game"), "game", "left_semi")), box))
+    segs = cut_lineage(numbered(lineup_states(ev, box, good)))
     counts = segment_counts(ev, good)
     rows = emit(counts).join(segs.where("valid").select("game", "segment", "stint", "sides"), ["game", "segment"])
     stints = rows.withColumn("off", side_of("sides", F.col("offense_team"))).withColumn(
