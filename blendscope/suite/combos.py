@@ -15,6 +15,7 @@ from blendscope.plans import quality as ql
 from blendscope.session import cut_lineage
 from blendscope.suite import query, r6, s6
 from blendscope.suite import sqlbase as sb
+from blendscope.suite.identity import _BIO
 from blendscope.suite.linear import OUT_SQL, team_groups
 
 K = wh.K
@@ -110,7 +111,12 @@ def lineup_ranking_job(spark, sf):
 
 
 _T = [0.3, 0.1, 0.2, 0.1, 0.2, 0.1]
-_TARGET = F.array(*[F.lit(x) for x in _T])
+
+
+def _target():
+    return F.array(*[F.lit(x) for x in _T])
+
+
 LOW, HIGH = {"rim": 0.30, "spacing": 0.32}, {"ball": 0.36}
 EPS = 0.005
 _UNITS = f"""u0 AS ({_sets_sql(4)}),
@@ -124,7 +130,7 @@ units AS (SELECT u2.*, tie_group FROM u2 JOIN walk USING (team, season, env_matc
 
 
 def _units(spark, sf):
-    u = cb.unit_flags(_sets(spark, sf, 4), _TARGET, K, ROLES, LOW, HIGH)
+    u = cb.unit_flags(_sets(spark, sf, 4), _target(), K, ROLES, LOW, HIGH)
     return cut_lineage(cb.anchored_groups(cut_lineage(u), KEYS, EPS))
 
 
@@ -182,7 +188,7 @@ _COS = (f"({' + '.join(f'{x} * w{i}' for i, x in enumerate(_T))}) / (sqrt({' + '
 @query("incompatible_members", sb.with_(sb.LINES, sb.MIX) + f"SELECT member, season, {s6('w4')} AS share, {s6(_COS)} AS cosine FROM mix WHERE w4 >= 0.2")
 def incompatible_members(spark, sf):
     """K8 S13."""
-    i = cb.incompatible(wh.recipes(spark, sf), 4, _TARGET, K, 0.2)
+    i = cb.incompatible(wh.recipes(spark, sf), 4, _target(), K, 0.2)
     return i.select("member", "season", r6("share"), r6("cosine"))
 
 
@@ -282,11 +288,11 @@ SELECT member, season, rank, {s6('cosine')} AS cosine, {s6('distance')} AS dista
  SELECT *, row_number() OVER (PARTITION BY season ORDER BY cosine DESC, member) AS rank FROM (SELECT member, season, round({_COS}, 12) AS cosine, {_EU} AS distance FROM mix)) WHERE rank <= 10""")
 def comparable_pool(spark, sf):
     """B5 S13 S14."""
-    c = pp.comparable_pool(wh.recipes(spark, sf), _TARGET, K, 10, ["season"])
+    c = pp.comparable_pool(wh.recipes(spark, sf), _target(), K, 10, ["season"])
     return c.select("member", "season", "rank", r6("cosine"), r6("distance"), r6("closeness"))
 
 
-@query("rookie_comparables", sb.with_(sb.LINES, sb.MIX, sb.MEMBERS, __import__("blendscope.suite.identity", fromlist=["_BIO"])._BIO) + f"""
+@query("rookie_comparables", sb.with_(sb.LINES, sb.MIX, sb.MEMBERS, _BIO) + f"""
 SELECT member, season, rank, {s6('cosine')} AS cosine FROM (SELECT *, row_number() OVER (ORDER BY cosine DESC, member, season) AS rank FROM (
  SELECT mix.member, mix.season, round({_COS}, 12) AS cosine FROM mix JOIN bio USING (member, season) WHERE try_cast(draft_year AS INT) = split_part(season, '-', 1)::INT)) WHERE rank <= 10""")
 def rookie_comparables(spark, sf):
@@ -295,7 +301,7 @@ def rookie_comparables(spark, sf):
 
     rookies = wh.bio(spark, sf).where(F.col("draft_year").try_cast("int") == tx.season_start_year("season")).select("member", "season")
     pool = wh.recipes(spark, sf).join(rookies, ["member", "season"]).withColumn("_all", F.lit(0))
-    return pp.comparable_pool(pool, _TARGET, K, 10, ["_all"]).select("member", "season", "rank", r6("cosine"))
+    return pp.comparable_pool(pool, _target(), K, 10, ["_all"]).select("member", "season", "rank", r6("cosine"))
 
 
 @query("hybrid_vector", sb.with_(sb.LINES) + f""",
