@@ -18,6 +18,10 @@ SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
 NAME_ALIASES = {"ron holland": "ronald holland"}
 
 
+# Letters that decompose to several: Latin blocks, Roman numerals, ligatures.
+_LETTER_BLOCKS = (range(0x80, 0x250), range(0x2160, 0x2180), range(0xFB00, 0xFB07))
+
+
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
     """Character tables that apply compatibility decomposition and keep a-z and blank."""
     src, dst, multi = [], [], {}
@@ -30,7 +34,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
         if len(plain) == 1:
             src.append(ch)
             dst.append(plain)
-        elif plain and (cp < 0x250 or 0xFB00 <= cp <= 0xFB06):
+        elif plain and any(cp in r for r in _LETTER_BLOCKS):
             multi[ch] = plain
     return "".join(src), "".join(dst), multi
 

@@ -35,12 +35,17 @@ def column_meanings(columns: DataFrame, specific: DataFrame, common: DataFrame)
 
     ``specific``: table, column, meaning; ``common``: column, meaning. Both are dictionaries of fixed size.
     """
-    s = specific.select("table", F.col("column").alias("_c"), F.col("meaning").alias("_s"))
-    c = common.select(F.col("column").alias("_c"), F.col("meaning").alias("_m"))
-    base = columns.withColumn("_base", tx.meaning_base("column")).withColumn("_ranked", F.col("_base") != F.col("column"))
-    j = base.join(s, (base["table"] == s["table"]) & (base["column"] == s["_c"]), "left").select(base["*"], s["_s"].alias("s1"))
-    j = j.join(c, j["column"] == c["_c"], "left").select(j["*"], c["_m"].alias("c1"))
-    j = j.join(s, (j["table"] == s["table"]) & (j["_base"] == s["_c"]), "left").select(j["*"], s["_s"].alias("s2"))
-    j = j.join(c, j["_base"] == c["_c"], "left").select(j["*"], c["_m"].alias("c2"))
+    def look_up(df: DataFrame, on: str, out: str, dictionary: DataFrame, by_table: bool) -> DataFrame:
+        names = (["table"] if by_table else []) + ["column"]
+        d = dictionary.select(*[F.col(n).alias(f"_{out}_{n}") for n in names], F.col("meaning").alias(out))
+        cond = F.col(on) == F.col(f"_{out}_column")
+        if by_table:
+            cond = cond & (F.col("table") == F.col(f"_{out}_table"))
+        return df.join(d, cond, "left").drop(*[f"_{out}_{n}" for n in names])
+
+    j = columns.withColumn("_base", tx.meaning_base("column")).withColumn("_ranked", F.col("_base") != F.col("column"))
+    for on, out, dictionary, by_table in (("column", "s1", specific, True), ("column", "c1", common, False),
+                                          ("_base", "s2", specific, True), ("_base", "c2", common, False)):
+        j = look_up(j, on, out, dictionary, by_table)
     ranked = F.when(F.col("_ranked"), F.concat(F.lit("rank of: "), F.coalesce("s2", "c2")))
     return j.select("table", "column", F.coalesce("s1", "c1", ranked, F.lit("unknown")).alias("meaning"))
