@@ -48,7 +48,9 @@ def _tiles(targets: DataFrame, pool: DataFrame, keys: list[str], blocks: int):
     p = pool.withColumn("_pb", F.pmod(F.xxhash64("_id"), F.lit(blocks))).withColumn("_tb", F.explode(every))
     rows = t.withColumn("_is_target", F.lit(True)).unionByName(
         p.withColumn("_is_target", F.lit(False)), allowMissingColumns=True)
-    return rows.groupBy(*keys, "_tb", "_pb")
+    # tiles are heavy on arithmetic and light on bytes: keep them in tasks of their own
+    slots = max(targets.sparkSession.sparkContext.defaultParallelism, blocks * blocks)
+    return rows.repartition(slots, *keys, "_tb", "_pb").groupBy(*keys, "_tb", "_pb")
 
 
 def _split(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from blendscope.functions import vectors as vec
 from blendscope.operators import ordered, simplex, stats
-from blendscope.session import cut_lineage
+from blendscope.session import spread
 
 
 @dataclass
@@ -113,76 +113,92 @@ def _furthest_sum(x: np.ndarray, k: int, seed: int) -> list[int]:
     return chosen[1:]  # the seeded row only gives the direction
 
 
-def _score_swaps(z: DataFrame, basis: np.ndarray, candidates: np.ndarray) -> tuple[float, np.ndarray, float]:
-    """Loss of the basis and of all single swaps, summed over the partitions."""
-    k, m = len(basis), len(candidates)
+def _score_swaps(z: DataFrame, bases: dict[int, np.ndarray], candidates: dict[int, np.ndarray]) -> tuple[dict, float]:
+    """Loss of several bases and of all their single swaps, in one pass over the rows."""
+    sizes = {r: len(b) * len(candidates[r]) + 1 for r, b in bases.items()}
 
     def partial(batches):
-        base, swaps, tss = 0.0, np.zeros((k, m)), 0.0
+        sums = {r: np.zeros(n) for r, n in sizes.items()}
+        tss = 0.0
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack(pdf["z"].to_numpy())
-            b, s = simplex.swap_losses(x, basis, candidates)
-            base, swaps, tss = base + b, swaps + s, tss + float((x * x).sum())
-        yield pd.DataFrame({"cell": np.arange(k * m + 2), "loss": np.concatenate([[base, tss], swaps.ravel()])})
-
-    sums = z.select("z").mapInPandas(partial, "cell int, loss double").groupBy("cell").agg(F.sum("loss").alias("loss"))
-    loss = sums.toPandas().sort_values("cell")["loss"].to_numpy()  # k*m + 2 numbers
-    return float(loss[0]), loss[2:].reshape(k, m), float(loss[1])
-
-
-def fit(
-    df: DataFrame, features: list[str], k: int, *, keys: tuple[str, ...] = ("member", "season"), seed: int = 0,
+            tss += float((x * x).sum())
+            for r, basis in bases.items():
+                base, swaps = simplex.swap_losses(x, basis, candidates[r])
+                sums[r] += np.concatenate([[base], swaps.ravel()])
+        run = np.concatenate([np.full(n, r) for r, n in sizes.items()] + [[-1]])
+        cell = np.concatenate([np.arange(n) for n in sizes.values()] + [[0]])
+        yield pd.DataFrame({"run": run, "cell": cell, "loss": np.concatenate([*sums.values(), [tss]])})
+
+    added = z.select("z").mapInPandas(partial, "run int, cell int, loss double").groupBy("run", "cell").agg(F.sum("loss").alias("loss"))
+    pdf = added.toPandas().sort_values(["run", "cell"])  # k * m + 1 numbers per run
+    by_run = {int(r): part["loss"].to_numpy() for r, part in pdf.groupby("run")}
+    tss = float(by_run.pop(-1)[0])
+    return {r: (float(v[0]), v[1:].reshape(len(bases[r]), -1)) for r, v in by_run.items()}, tss
+
+
+def fit_runs(
+    df: DataFrame, features: list[str], runs: list[tuple[int, int]], *, keys: tuple[str, ...] = ("member", "season"),
     max_iter: int = 50, tol: float = 1e-4, winsorize: float | None = None, n_directions: int | None = None,
-) -> Basis:
-    """Choose k real rows that minimize the simplex-projection loss (F2).
+) -> list[Basis]:
+    """Choose k real rows that minimize the simplex-projection loss, for several (k, seed) at once (F2).
 
-    Candidates are the extreme rows along the feature axes and along seeded
-    random directions; each round scores every single swap over the whole
-    population in one job and takes the best one.
+    Candidates are the extreme rows along the feature axes and along random
+    directions. A round scores every single swap of every unfinished run over
+    the whole population in one job and takes the best swap of each run, so
+    more seeds or more values of k add arithmetic but no further passes.
     """
     started = time.time()
     if winsorize is not None:
         df = stats.winsorize(df, features, winsorize)
     mu, sd = population_stats(df, features)
     model = Basis(np.zeros((0, len(features))), mu, sd, list(features))
-    z = cut_lineage(df.select(*keys, model.zscore().alias("z")))
-    p = len(features)
-    rng = np.random.default_rng(1000 + seed)
-    rand = rng.standard_normal((n_directions or 4 * k, p))
+    z = spread(df.select(*keys, model.zscore().alias("z")))
+    p, k_max = len(features), max(k for k, _ in runs)
+    rand = np.random.default_rng(1000).standard_normal((n_directions or 4 * k_max, p))
     directions = np.vstack([np.eye(p), -np.eye(p), rand / np.linalg.norm(rand, axis=1, keepdims=True)])
     pool = _candidate_rows(z, p, directions)
     cand = np.stack(pool["z"].to_numpy())
-    if len(cand) < k:
-        raise ValueError(f"only {len(cand)} distinct extreme rows for k={k}")
-    chosen = _furthest_sum(cand, k, seed) if len(cand) > k else list(range(k))
-    rss = tss = np.inf
-    converged, n_iter = False, 0
-    for n_iter in range(1, max_iter + 1):
-        others = [j for j in range(len(cand)) if j not in chosen]
-        rss, swaps, tss = _score_swaps(z, cand[chosen], cand[others])
-        if not others or rss - swaps.min() <= tol * rss:
-            converged = True
+    if len(cand) < k_max:
+        raise ValueError(f"only {len(cand)} distinct extreme rows for k={k_max}")
+    chosen = {r: _furthest_sum(cand, k, s) if len(cand) > k else list(range(k)) for r, (k, s) in enumerate(runs)}
+    rss, n_iter = {r: np.inf for r in chosen}, {r: 0 for r in chosen}
+    open_runs, tss = set(chosen), np.inf
+    for step in range(1, max_iter + 1):
+        if not open_runs:
             break
-        i, j = np.unravel_index(int(swaps.argmin()), swaps.shape)
-        chosen[int(i)] = others[int(j)]
-        rss = float(swaps.min())
-    model.vectors = cand[chosen]
-    model.exemplars = [{c: pool.iloc[j][c] for c in keys} for j in chosen]
-    for e in model.exemplars:
-        if "member" in e:
-            e["member"] = int(e["member"])
-    model.meta = {
-        "k": k, "seed": seed, "rss": rss, "explained_var": 1.0 - rss / tss, "n_iter": n_iter, "max_iter": max_iter,
-        "converged": converged, "seconds": time.time() - started, "n_candidates": len(cand), "winsorize": winsorize,
-    }
-    return model
+        others = {r: [j for j in range(len(cand)) if j not in chosen[r]] for r in sorted(open_runs)}
+        scored, tss = _score_swaps(z, {r: cand[chosen[r]] for r in others}, {r: cand[o] for r, o in others.items()})
+        for r, (loss, swaps) in scored.items():
+            rss[r], n_iter[r] = loss, step
+            if not others[r] or loss - swaps.min() <= tol * loss:
+                open_runs.discard(r)
+                continue
+            i, j = np.unravel_index(int(swaps.argmin()), swaps.shape)
+            chosen[r][int(i)] = others[r][int(j)]
+            rss[r] = float(swaps.min())
+    out = []
+    for r, (k, s) in enumerate(runs):
+        ex = [{c: pool.iloc[j][c] for c in keys} for j in chosen[r]]
+        for e in ex:
+            if "member" in e:
+                e["member"] = int(e["member"])
+        meta = {"k": k, "seed": s, "rss": rss[r], "explained_var": 1.0 - rss[r] / tss, "n_iter": n_iter[r], "max_iter": max_iter,
+                "converged": r not in open_runs, "seconds": time.time() - started, "n_candidates": len(cand), "winsorize": winsorize}
+        out.append(Basis(cand[chosen[r]], mu, sd, list(features), ex, meta))
+    return out
+
+
+def fit(df: DataFrame, features: list[str], k: int, *, seed: int = 0, **kw) -> Basis:
+    """One fit."""
+    return fit_runs(df, features, [(k, seed)], **kw)[0]
 
 
 def fit_best(df: DataFrame, features: list[str], k: int, seeds: tuple[int, ...] = (0, 1, 2), **kw) -> Basis:
     """Several starts, the one with the largest explained variance."""
-    fits = [fit(df, features, k, seed=s, **kw) for s in seeds]
+    fits = fit_runs(df, features, [(k, s) for s in seeds], **kw)
     ev = [f.meta["explained_var"] for f in fits]
     best = fits[int(np.argmax(ev))]
     best.meta |= {"ev_spread": max(ev) - min(ev), "all_converged": all(f.meta["converged"] for f in fits)}
@@ -286,13 +302,11 @@ def sweep(df: DataFrame, features: list[str], ks: list[int], seeds: tuple[int, .
     """Grid over k and seeds with loss, explained variance and within variance (F7, SRC21)."""
     spark = df.sparkSession
     rows = []
-    for k in ks:
-        for s in seeds:
-            b = fit(df, features, k, seed=s, keys=keys, **kw)
-            p = project(df, b, list(keys))
-            iv = intra_variance(p, len(features)).first()["intra_variance"]  # one row
-            m = b.meta
-            rows.append((k, s, m["rss"], m["explained_var"], iv, m["n_iter"], m["converged"], m["seconds"]))
+    for b in fit_runs(df, features, [(k, s) for k in ks for s in seeds], keys=keys, **kw):
+        p = project(df, b, list(keys))
+        iv = intra_variance(p, len(features)).first()["intra_variance"]  # one row
+        m = b.meta
+        rows.append((m["k"], m["seed"], m["rss"], m["explained_var"], iv, m["n_iter"], m["converged"], m["seconds"]))
     return spark.createDataFrame(
         rows, "k int, seed int, rss double, explained_var double, intra_variance double, n_iter int, converged boolean, seconds double")
 

@@ -58,3 +58,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Checkpointed rows over at least as many tasks as the cluster runs at once.
+
+    Adaptive execution merges small shuffles by bytes; stages that are heavy
+    on arithmetic and light on bytes need their parallelism back.
+    """
+    held = cut_lineage(df)
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if held.rdd.getNumPartitions() >= slots:
+        return held
+    return cut_lineage(held.repartition(slots))
