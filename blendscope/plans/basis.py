@@ -245,14 +245,15 @@ def novelty(df: DataFrame, basis: Basis, recipe: str = "recipe", z: str = "z") -
 
 def match_exemplars(projected: DataFrame, basis: Basis, keys: list[str]) -> DataFrame:
     """Nearest population row of each basis vector; real rows give distance 0."""
-    spark = projected.sparkSession
-    b = basis.frame(spark).select("component", F.col("z").alias("bz"))
-    p = basis.vectors.shape[1]
-    rows = projected.select(*keys, "z").crossJoin(F.broadcast(b))  # k rows, fixed size
-    d = rows.withColumn("distance", vec.euclidean("z", "bz", p))
-    return d.groupBy("component").agg(
-        F.min_by(F.struct(*keys), F.struct("distance", *keys)).alias("r"), F.min("distance").alias("distance")
-    ).select("component", "r.*", "distance")
+    def distance(v: np.ndarray) -> Column:
+        return F.sqrt(vec.total([(F.col("z")[f] - F.lit(float(x))) * (F.col("z")[f] - F.lit(float(x))) for f, x in enumerate(v)]))
+
+    near = []
+    for i, v in enumerate(basis.vectors):
+        d = distance(v)
+        near += [F.min_by(F.struct(*keys), F.struct(d.alias("d"), *keys)).alias(f"r{i}"), F.min(d).alias(f"d{i}")]
+    cells = F.array(*[F.struct(F.lit(i).alias("component"), F.col(f"r{i}").alias("r"), F.col(f"d{i}").alias("distance")) for i in range(basis.k)])
+    return projected.agg(*near).select(F.explode(cells).alias("c")).select("c.component", "c.r.*", "c.distance")
 
 
 def describe(basis: DataFrame, features: list[str], n: int) -> DataFrame:

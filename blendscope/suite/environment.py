@@ -338,7 +338,7 @@ _HYPSQL = sb.with_(sb.ENV, sb.MIXLONG, sb.MEMBERS, sb.PROFILE, _HYP)
 def _hypothesis(spark, sf):
     t = Tables(spark, sf)
     seasons = t.recipes.select("season").distinct()
-    b = env.benchmark(t.recipes, t.exposure, K, blocks=1, targets=_variants(spark, seasons))
+    b = env.benchmark(t.recipes, t.exposure, K, blocks=t.blocks, targets=_variants(spark, seasons))
     return env.hypothesis_gap(b, env.team_profile(t.recipes, t.members, K), K)
 
 

@@ -204,20 +204,22 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
             *[F.sum(c).alias(c) for c in measures],
         )
     )
-    home = side.where(F.col("status") == "O").select("game", *[F.col(c).alias(f"h_{c}") for c in ("ids", "ship", *measures)])
-    away = side.where(F.col("status") == "F").select("game", *[F.col(c).alias(f"a_{c}") for c in ("ids", "ship", *measures)])
-    both = home.join(away, "game")
+    # both sides of a game in one aggregate; a game without two sides drops out
+    whole = F.struct("ids", "ship", *measures)
+    both = side.groupBy("game").agg(
+        F.max(F.when(F.col("status") == "O", whole)).alias("h"), F.max(F.when(F.col("status") == "F", whole)).alias("a"),
+    ).where(F.col("h").isNotNull() & F.col("a").isNotNull())
 
     def directed(off: str, dfn: str, is_home: int):
         return F.struct(
             F.lit(is_home).alias("home_off"),
-            F.col(f"{off}_ids").alias("off"), F.col(f"{dfn}_ids").alias("def"),
-            F.col(f"{off}_poss").alias("off_possessions"), F.col(f"{off}_points").alias("off_points"),
-            *[F.col(f"{off}_{c}").alias(f"off_{c}") for c in ("fga", "fgm", "fg3a", "fg3m", "tov")],
+            F.col(f"{off}.ids").alias("off"), F.col(f"{dfn}.ids").alias("def"),
+            F.col(f"{off}.poss").alias("off_possessions"), F.col(f"{off}.points").alias("off_points"),
+            *[F.col(f"{off}.{c}").alias(f"off_{c}") for c in ("fga", "fgm", "fg3a", "fg3m", "tov")],
         )
 
     rows = both.select(
-        "game", season_of(F.greatest("h_ship", "a_ship")).alias("season"),
+        "game", season_of(F.greatest("h.ship", "a.ship")).alias("season"),
         F.explode(F.array(directed("h", "a", 1), directed("a", "h", 0))).alias("s"),
     ).select("game", "season", F.lit(1).alias("stint"), "s.*")
     return rows.withColumn("y_off", 100.0 * F.col("off_points") / F.col("off_possessions"))
