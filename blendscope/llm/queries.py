@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendscope.llm import mixing, sharding
-from blendscope.llm.shared import tables
+from blendscope.llm import mixing, sharding, tokencount, toxicity
+from blendscope.llm.shared import held_out, scratch_path, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,27 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op2_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document. The query starts with an empty cache, so that it counts every text itself."""
+    import public_tokenizers
+
+    docs = tables(spark, sf_dir)("documents").select("doc_id", "text")
+    counted = tokencount.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-cache"))
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+                          (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query("op10_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of held-out ids are never read."""
+    read = tables(spark, sf_dir)
+    docs = read("documents").select("doc_id", "text")
+    model = toxicity.train_toxicity(docs, read("labels").filter(~held_out()))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 @query("op7_shard_shuffle")
 def shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 shards whose row counts differ by at most one."""
