@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendscope.llm import mixing, sharding, tokencount, toxicity
+from blendscope.llm import decontamination, minhash, mixing, sharding, tokencount, toxicity
 from blendscope.llm.shared import held_out, scratch_path, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,39 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+phrase AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM i WHERE len(w) > 0)),
+spot AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+run AS (
+  SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS p
+  FROM spot, (SELECT DISTINCT n FROM phrase) WHERE k + n - 1 <= len(w)),
+hit AS (SELECT doc_id, item_id, k, n FROM run JOIN phrase USING (n, p)),
+word AS (SELECT doc_id, count(DISTINCT k + o) AS n_hit FROM (SELECT doc_id, k, unnest(range(0, n)) AS o FROM hit) GROUP BY 1),
+item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+
+@query("op1_decontamination", DECONTAMINATION)
+def decontamination_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten-word runs of benchmark items."""
+    read = tables(spark, sf_dir)
+    found = decontamination.decontaminate(read("documents").select("doc_id", "text"), read("benchmark"), 10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op2_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document. The query starts with an empty cache, so that it counts every text itself."""
@@ -64,3 +97,26 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir)("documents")
     return mixing.mix_sources(docs, mixing.word_count()).select(
         "doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+NEAR_DUPLICATES = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_ JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
+FROM documents d JOIN reach ON d.doc_id = reach.a LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
+@query("op6_near_duplicates", NEAR_DUPLICATES)
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    docs = tables(spark, sf_dir)("documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")

@@ -1,6 +1,6 @@
 """Toxicity: linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct n-grams (3 to 5 bytes of the folded text), hashed. Each is scaled by the log ratio of its
+Features are the distinct n-grams (3 to 6 characters of the folded text), hashed. Each is scaled by the log ratio of its
 smoothed share of toxic and of other documents; a logistic regression is fitted on the scaled features. The fit takes
 a bounded sample of labelled rows (``max_rows``, chosen by hash of the id); scoring covers whole texts of all rows.
 """
@@ -20,11 +20,12 @@ from blendscope.llm.shared import replace_columns
 #: Score from which a document counts as toxic.
 REJECT = 0.7
 BITS = 22
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: A-Z lower-cased; other ASCII beside letters and digits becomes a space.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Texts are worked through in blocks of so many bytes.
-BLOCK = 1 << 20
+SIZES = (3, 4, 5, 6)
+MULTIPLIER, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
+#: ASCII beside letters and digits becomes a space.
+FOLD = {c: 32 for c in range(128) if not chr(c).isalnum()}
+#: Texts are worked through in blocks of so many characters.
+BLOCK = 1 << 18
 
 
 class Grams:
@@ -44,30 +45,30 @@ class Grams:
 
     def of(self, text: str | None) -> np.ndarray:
         """Hashed n-grams of the text between two spaces; none for a null, empty or punctuation-only text."""
-        folded = b" ".join((text or "").encode("utf-8", "replace").translate(FOLD).split())
+        folded = (text or "").lower().translate(FOLD).strip(" ")
         self.floor, out = self.base, []
         if not folded:
             return np.zeros(0, np.int64)
-        raw = np.frombuffer(b" " + folded + b" ", np.uint8)
+        chars = np.frombuffer(f" {folded} ".encode("utf-32-le", "replace"), np.uint32)
+        chars = chars[np.append(True, (chars[1:] != 32) | (chars[:-1] != 32))]
         shift = np.uint64(64 - BITS)
-        for start in range(0, len(raw), BLOCK):
-            b = raw[start:start + BLOCK + 4].astype(np.uint64)
-            gram = b[:-1] | b[1:] << np.uint64(8)
-            for n in (3, 4, 5):
-                if len(b) < n:
-                    break
-                gram = gram[: len(b) - n + 1] | b[n - 1:] << np.uint64(8 * (n - 1))
-                out.append(self._new(((gram + np.uint64(n << 40)) * MULTIPLIER >> shift).astype(np.int64)))
-        return np.concatenate(out)
+        for start in range(0, len(chars), BLOCK):
+            c = chars[start:start + BLOCK + max(SIZES) - 1].astype(np.uint64) + np.uint64(1)
+            key, n = c, 1
+            while n < min(max(SIZES), len(c)):
+                key, n = key[:-1] * STEP + c[n:], n + 1
+                if n in SIZES:
+                    out.append(self._new((key * MULTIPLIER >> shift).astype(np.int64)))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Log ratio of the smoothed share of toxic and of other documents with an n-gram; 0 where fewer than three have it."""
+    """Log ratio of the smoothed share of toxic and of other documents with an n-gram; 0 where fewer than four have it."""
     counts = [np.ones(1 << BITS, np.float32), np.ones(1 << BITS, np.float32)]
     for idx, label in zip(rows, y, strict=True):
         counts[int(label)][idx] += 1
     ratio = np.log(counts[1] / (y.sum() + 2)) - np.log(counts[0] / (len(y) - y.sum() + 2))
-    return np.where(counts[0] + counts[1] > 4, ratio, 0).astype(np.float32)
+    return np.where(counts[0] + counts[1] > 5, ratio, 0).astype(np.float32)
 
 
 def minimise(loss, x: np.ndarray, rounds: int, memory: int = 6) -> np.ndarray:
@@ -95,7 +96,7 @@ def minimise(loss, x: np.ndarray, rounds: int, memory: int = 6) -> np.ndarray:
         s, t = step * d, g_after - g
         if s @ t > 1e-12:
             pairs = [*pairs, (s, t)][-memory:]
-        done = value - after < 1e-7 * max(1.0, abs(value))
+        done = value - after < 1e-5 * max(1.0, abs(value))
         x, value, g = x + s, after, g_after
         if done:
             break
@@ -106,10 +107,10 @@ def logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 1e-3, rounds: int = 60, weakest: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = 3e-4, rounds: int = 30, weakest: float = 0.7) -> tuple[np.ndarray, float]:
     """Weight of each hashed n-gram (ratio times coefficient) and intercept of the logistic regression.
 
-    N-grams whose ratio is within ``weakest`` of 0 would enter scaled to almost nothing and are left out. With labels
+    N-grams whose ratio is within ``weakest`` of 0 would enter scaled down and are left out. With labels
     of one class only, or none, all scores are the smoothed share of toxic rows.
     """
     weights = np.zeros(1 << BITS, np.float32)
@@ -176,7 +177,7 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist([{"used": used.tolist(), "weights": weights[used].tolist(), "intercept": intercept, "slope": slope, "shift": shift}])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000):
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000):
     """A fitted model from labelled documents: ``labels`` has doc_id and toxic (0 or 1, other values are not used).
 
     At most about ``max_rows`` labelled documents are used, chosen by hash of the id, so the sample that meets in the
