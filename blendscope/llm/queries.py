@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendscope.llm import decontamination, minhash, mixing, sharding, tokencount, toxicity
+from blendscope.llm import decontamination, minhash, mixing, sharding, tokencount, toxicity, vectors
 from blendscope.llm.shared import held_out, scratch_path, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,21 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     docs = tables(spark, sf_dir)("documents").select("doc_id", "text")
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT a AS vec_id, (SELECT count(*) FROM link WHERE link.a = reach.a) AS n_links, min(b) AS component_id, a = min(b) AS kept
+FROM reach GROUP BY a
+"""
+
+
+@query("op3_vector_links", VECTORS)
+def vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all embeddings at a cosine of 0.98."""
+    found = vectors.linked_vectors(tables(spark, sf_dir)("embeddings"), 0.98)
+    return found.select("vec_id", "n_links", "component_id", "kept")
