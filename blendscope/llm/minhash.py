@@ -199,20 +199,24 @@ def _across(rows: DataFrame, stars: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``n_shingles, component_id, kept``.
+    """``docs`` (doc_id, text) with ``n_shingles, component_id, kept, kept_rows, class_id``.
 
     Texts with the same bytes are one node, so copies cost a row and no pair. Null, empty and blank texts have no
     shingles and link with nothing, not even with each other. ``component_id`` is the smallest doc_id reachable;
-    rows with equal doc_id and linked texts are all kept. A row whose component has only null ids has a null
-    component and is kept. Input columns with the names of the new ones are replaced.
+    rows with equal doc_id and linked texts are all kept, and ``kept_rows`` says how many. If a component has only null
+    ids, its component_id is null and all its rows are kept. ``class_id`` numbers the components of this run. Input columns with the names of the new ones are replaced.
     """
     texts = sketches(docs)
     parts = components(links(texts, docs))
     placed = texts.join(parts, "node", "left").select("key", "n_shingles", F.coalesce("component", "node").alias("part"))
     keyed = docs.select(F.struct("*").alias("row"), text_key().alias("key"), F.col("doc_id").alias("id"))
-    least = keyed.select("key", "id").groupBy("key").agg(F.min("id").alias("id")).join(placed, "key")
-    names = stored(least.groupBy("part").agg(F.min("id").alias("component_id")).join(placed, "part").select("key", "n_shingles", "component_id"), "near-duplicates")
+    ids = keyed.groupBy("key", "id").agg(F.count("*").alias("rows")).join(placed, "key").groupBy("part", "id").agg(F.sum("rows").alias("rows"))
+    named = F.when(F.col("id").isNotNull(), F.struct("id", "rows"))
+    least = ids.groupBy("part").agg(F.min(named).alias("least"), F.sum("rows").alias("rows")).select(
+        "part", F.col("least.id").alias("component_id"), F.coalesce("least.rows", "rows").alias("kept_rows"))
+    names = stored(placed.join(least, "part").select("key", "n_shingles", "component_id", "kept_rows", F.col("part").alias("class_id")), "near-duplicates")
     single = F.col("n_shingles") == 0
     component = F.when(single, F.col("id")).otherwise(F.col("component_id"))
     return replace_columns(keyed.join(names, "key"), "row", n_shingles=F.col("n_shingles"), component_id=component,
-                           kept=F.coalesce(F.col("id") == component, F.lit(True)) & (F.col("id").isNotNull() | component.isNull()))
+                           kept=F.coalesce(F.col("id") == component, component.isNull()),
+                           kept_rows=F.when(single, F.lit(1)).otherwise(F.col("kept_rows")), class_id=F.col("class_id"))

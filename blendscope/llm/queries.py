@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendscope.llm import decontamination, minhash, mixing, sharding, tokencount, toxicity, vectors
+from blendscope.llm import decontamination, minhash, mixing, sharding, surrogates, tokencount, toxicity, vectors
 from blendscope.llm.shared import held_out, scratch_path, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,10 @@ def vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and classes of all embeddings at a cosine of 0.98."""
     found = vectors.linked_vectors(tables(spark, sf_dir)("embeddings"), 0.98)
     return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op5_surrogates")
+def surrogate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    docs = tables(spark, sf_dir)("documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, "registered query")
