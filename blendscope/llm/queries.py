@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blendscope.llm import decontamination, minhash, mixing, sharding, surrogates, tokencount, toxicity, vectors
+from blendscope.llm import decontamination, language, minhash, mixing, quality, sharding, surrogates, tokencount, toxicity, vectors
 from blendscope.llm.shared import held_out, scratch_path, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,21 @@ def surrogate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
     docs = tables(spark, sf_dir)("documents").select("doc_id", "text")
     return surrogates.pseudonymise(docs, "registered query")
+
+
+@query("op4_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels of held-out ids are never read."""
+    read = tables(spark, sf_dir)
+    docs = read("documents").select("doc_id", "text", "lang", "source", "n_chars")
+    model = quality.train_quality(docs, read("labels").filter(~held_out()))
+    return quality.score_quality(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
+@query("op9_language")
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page; text likelihoods are counted over all documents."""
+    read = tables(spark, sf_dir)
+    languages, model = language.train_language(read("documents"))
+    return language.identify(read("pages"), languages, model).select("page_id", "host", "declared", "text_lang", "lang", "probability")
