@@ -5,8 +5,8 @@ Two collections of ``BANDS`` short bands are computed; every pair of one band fr
 of either collection. At a similarity of 0.75 a pair is missed with a chance of about 2e-4, at 0.8 of 6e-6.
 
 Buckets are never expanded into pairs at once. Members are first compared with the smallest member of their buckets,
-then with the smallest members of all their buckets, and last, where one bucket still holds several components,
-across those components.
+then with the smallest members of all their buckets. Texts of buckets that still hold several components are joined
+by prefixes of their sets, which forms a pair across components only if it can reach the similarity.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from blendscope.llm.components import components
 from blendscope.llm.shared import LOWER, discard, replace_columns, stored
@@ -36,6 +37,8 @@ BASE = np.uint64(0x5851F42D4C957F2D)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SLOPES = _rng.integers(0, 1 << 64, 2 * BANDS * ROWS, np.uint64) | np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 64, 2 * BANDS * ROWS, np.uint64)
+#: Counters by which shingles are ordered, roughly rarest first; any order is right.
+ORDER_SLOTS = 1 << 20
 #: Text bytes whose powers of BASE are held at a time.
 SPAN = 1 << 16
 POWERS = np.cumprod(np.append(np.uint64(1), np.full(SPAN, BASE)), dtype=np.uint64)
@@ -92,7 +95,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), lists], ["key", "n_shingles", "bands"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether two texts' full shingle sets have 100 * intersection >= 75 * union."""
     last: tuple = (None, None)
@@ -165,10 +168,10 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
         rows.filter("node != centre").select("node", "n_shingles", "centre").distinct()
         .join(sizes, "centre").filter(close_sizes("n_shingles", "n_centre")).select("node", "centre"), "stars")
     found = confirmed(stars.groupBy("node").agg(F.min("centre").alias("centre")))
-    for pairs_of in (_other_centres, _across):
+    for source, pairs_of in ((stars, _other_centres), (words, _across)):
         parts = components(found)
         known = rows.select("node", "n_shingles").distinct().join(parts, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("part"))
-        found = stored(found.unionByName(confirmed(pairs_of(rows, stars, stored(known, "parts")))), "links")
+        found = stored(found.unionByName(confirmed(pairs_of(rows, source, stored(known, "parts")))), "links")
     return found
 
 
@@ -181,21 +184,58 @@ def _other_centres(rows: DataFrame, stars: DataFrame, known: DataFrame) -> DataF
     )
 
 
-def _across(rows: DataFrame, stars: DataFrame, known: DataFrame) -> DataFrame:
-    """Members of one bucket that are still in different components."""
+def _across(rows: DataFrame, words: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs that can still join two components of one bucket.
+
+    All texts in buckets with several components are joined exactly: tokens (shingles) are put in one global order,
+    roughly rarest first. Of two sets with the similarity, the smaller has a token among the first seventh of its own
+    that is among the first quarter of the other's, at places that leave room for the overlap. Pairs inside the
+    component that has most of a token's rows are never formed.
+    """
     placed = rows.select("table", "node").join(known, "node")
     split = placed.groupBy("table").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("table")
-    open_rows = stored(placed.join(split, "table"), "open")
-    other = open_rows.select("table", F.col("node").alias("centre"), F.col("part").alias("part_centre"), F.col("n_shingles").alias("n_centre"))
-    pairs = (
-        open_rows.join(other, "table").filter((F.col("part") < F.col("part_centre")) & close_sizes("n_shingles", "n_centre"))
-        .select("node", "centre").distinct()
-    )
-    done = stars.select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y"))
-    return (
-        pairs.select("node", "centre", F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y"))
-        .join(done, ["x", "y"], "left_anti").select("node", "centre")
+    open_nodes = placed.join(split, "table").select("node", "part").distinct()
+    texts = stored(open_nodes.join(words, "node"), "open")
+    counts = texts.select("text").mapInArrow(_token_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # ORDER_SLOTS rows at most
+    order = np.zeros(ORDER_SLOTS, np.int64)
+    order[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(order)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for node, part, text in zip(batch.column("node").to_pylist(), batch.column("part").to_pylist(), batch.column("text"), strict=True):
+                    tokens = shingles(text.as_py())
+                    n = len(tokens)
+                    tokens = tokens[np.lexsort((tokens, shared.value[(tokens % np.uint64(ORDER_SLOTS)).astype(np.int64)]))]
+                    long = n - -(-3 * n // 4) + 1
+                    yield pa.RecordBatch.from_pydict({
+                        "token": tokens[:long].view(np.int64), "node": pa.array([node] * long, pa.int64()), "part": pa.array([part] * long, pa.int64()),
+                        "n": pa.array([n] * long, pa.int64()), "place": pa.array(range(long), pa.int64())})
+
+    rows_of = stored(texts.mapInArrow(prefixes, "token long, node long, part long, n long, place long"), "prefixes")
+    main = (
+        rows_of.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token")
+        .agg(F.max(F.struct("c", "part"))["part"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     )
+    mixed = stored(rows_of.join(main, "token"), "mixed")
+    a, b = mixed.filter("part != main").alias("a"), mixed.alias("b")
+    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    place = F.when(F.col("a.n") <= F.col("b.n"), F.col("a.place")).otherwise(F.col("b.place"))
+    room = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    reach = (F.col("a.part") != F.col("b.part")) & (4 * small >= 3 * large) & (7 * place <= small) & (7 * room >= 3 * (small + large))
+    once = (F.col("b.part") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & reach & once).select(F.col("a.node").alias("node"), F.col("b.node").alias("centre")).distinct()
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(ORDER_SLOTS, np.int64)
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for text in batch.column("text"):
+                total[(shingles(text.as_py()) % np.uint64(ORDER_SLOTS)).astype(np.int64)] += 1
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(used, pa.int32()), "n": total[used]})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
