@@ -113,8 +113,8 @@ def identify(pages: DataFrame, languages: list[str], model: np.ndarray) -> DataF
     for level in ("suffix", "site", "host"):
         joined = joined.join(sums(level).select(level, F.col("n").alias(f"n_{level}"), F.col("s").alias(f"s_{level}")), level)
         own = F.zip_with(f"s_{level}", "q", lambda s, q: F.greatest(s - q, F.lit(0.0)))
-        prior = F.zip_with(own, prior, lambda s, p: s + STRENGTH * p)
-        prior = F.transform(prior, lambda v, m=F.col(f"n_{level}"): v / (m - 1 + STRENGTH))
+        others = F.array_repeat(F.col(f"n_{level}") - 1 + STRENGTH, n)
+        prior = F.zip_with(F.zip_with(own, prior, lambda s, p: s + STRENGTH * p), others, lambda v, m: v / m)
     told = sums("declared").select("declared", F.col("s").alias("s_declared"))
     kinds = max(1, page.select("declared").distinct().count())
     said = F.transform(

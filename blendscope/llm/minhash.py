@@ -38,7 +38,7 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SLOPES = _rng.integers(0, 1 << 64, 2 * BANDS * ROWS, np.uint64) | np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 64, 2 * BANDS * ROWS, np.uint64)
 #: Counters by which shingles are ordered, roughly rarest first; any order is right.
-ORDER_SLOTS = 1 << 20
+ORDER_SLOTS = 1 << 18
 #: Text bytes whose powers of BASE are held at a time.
 SPAN = 1 << 16
 POWERS = np.cumprod(np.append(np.uint64(1), np.full(SPAN, BASE)), dtype=np.uint64)
@@ -196,9 +196,12 @@ def _across(rows: DataFrame, words: DataFrame, known: DataFrame) -> DataFrame:
     split = placed.groupBy("table").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("table")
     open_nodes = placed.join(split, "table").select("node", "part").distinct()
     texts = stored(open_nodes.join(words, "node"), "open")
-    counts = texts.select("text").mapInArrow(_token_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # ORDER_SLOTS rows at most
-    order = np.zeros(ORDER_SLOTS, np.int64)
-    order[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    counts = texts.select("text").mapInArrow(_token_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    packed = counts.groupBy(F.pmod("slot", F.lit(256))).agg(F.array_join(F.flatten(F.collect_list(F.array("slot", "n"))), " ").alias("s")).collect()
+    order = np.zeros(ORDER_SLOTS, np.int64)  # ORDER_SLOTS counters, whatever the corpus
+    for r in packed:
+        slot, n = np.array(r["s"].split(" "), np.int64).reshape(-1, 2).T
+        order[slot] = n
     shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,7 +69,7 @@ def balance(hist: DataFrame, sources: DataFrame, ceiling: float, rounds: int = 4
         )
         step = F.when(F.col("slope") > 0, (F.col("target") - F.col("got")) / F.col("slope")).otherwise(F.lit(0.0))
         moved = stored(
-            state.join(sums, KEY, "left").withColumn("off", F.coalesce(F.abs(F.col("target") - F.col("got")) / F.col("target"), F.lit(0.0)))
+            state.join(sums, KEY, "left").withColumn("off", F.coalesce(F.try_divide(F.abs(F.col("target") - F.col("got")), F.col("target")), F.lit(0.0)))
             .withColumn("lam", F.col("lam") + F.coalesce(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step)), F.lit(0.0)))
             .drop("got", "slope"),
             "mix-state",
@@ -86,7 +86,7 @@ def balance(hist: DataFrame, sources: DataFrame, ceiling: float, rounds: int = 4
 def tilted(lam: Column, size: Column, mean: Column, ceiling: float) -> Column:
     """Rate of a document of ``size`` tokens under multiplier ``lam``."""
     return F.when(lam == float("inf"), F.lit(float(ceiling))).otherwise(
-        F.lit(float(ceiling)) / (1 + F.exp(-F.coalesce(lam * size / mean, F.lit(0.0)))))
+        F.lit(float(ceiling)) / (1 + F.exp(-F.coalesce(F.try_divide(lam * size, mean), F.lit(0.0)))))
 
 
 def corrections(rounded: DataFrame, per_class: int = 8) -> DataFrame:

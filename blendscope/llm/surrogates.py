@@ -20,8 +20,8 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
+    "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![.-]?\d)",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Se\x{F1}ora?|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{434}\x{438}\x{43D}|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{436}\x{430})\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -140,9 +140,11 @@ def in_format(kind: Column, raw: Column, sur: Column) -> Column:
         .otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))),
     )["out"]
     shown = F.when(raw == F.upper(raw), F.upper(sur)).otherwise(sur)
+    cased = F.array_join(F.zip_with(F.split(raw, ""), F.split(sur, ""), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(b)), "")
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), filled)
         .when(kind == "name", F.concat(F.regexp_extract(raw, TITLE, 0), shown))
+        .when(kind == "email", cased)
         .otherwise(shown)
     )
 

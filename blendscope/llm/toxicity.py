@@ -174,7 +174,7 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw = np.array([weights[r].sum() + intercept for r, x in zip(rows, rest, strict=True) if x])
     slope, shift = calibrate(raw, y[rest])
     used = np.flatnonzero(weights)
-    yield pa.RecordBatch.from_pylist([{"used": used.tolist(), "weights": weights[used].tolist(), "intercept": intercept, "slope": slope, "shift": shift}])
+    yield pa.RecordBatch.from_pydict({"used": [used], "weights": [weights[used]], "intercept": [intercept], "slope": [slope], "shift": [shift]})
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000):

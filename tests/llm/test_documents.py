@@ -118,7 +118,7 @@ def test_surrogates_keep_format_and_coreference(spark):
     for i, p in enumerate(PRIVATE):
         assert p not in out[i].text and out[i].n_entities == 2
         if p != "84.93.123.184":
-            assert shape(out[i].text.replace("org", "ORG").replace("ORG", "org")) == shape(texts[i]), (texts[i], out[i].text)
+            assert shape(out[i].text) == shape(texts[i]), (texts[i], out[i].text)
     same = lambda a, b: re.sub(r"\D", "", out[a].text)[-10:] == re.sub(r"\D", "", out[b].text)[-10:]
     assert same(1, 2) and same(4, 5)
     card = [int(c) for c in re.search(r"\d{16}", out[4].text)[0]][::-1]
@@ -194,7 +194,7 @@ def test_quality_held_out_accuracy(spark):
     assert out.count() == 603 and out.filter("score is null or score < 0 or score > 1").count() == 0
     test = out.join(labels, "doc_id").filter(held_out()).select("quality", (F.col("score") >= 0.5).cast("int").alias("p")).collect()
     assert len(test) > 130 and np.mean([r["quality"] == r.p for r in test]) > 0.95
-    assert out.filter("doc_id = 9002").first().score < 0.5
+    assert out.filter("doc_id = 9002").first().text_score < 0.5
 
 
 def test_quality_without_labels(spark):
