@@ -14,8 +14,6 @@ HOMOGLYPHS = {
 }
 # Generational suffixes dropped at the end of a name.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
-# Short forms and the full form they stand for.
-NAME_ALIASES = {"ron holland": "ronald holland"}
 
 
 # Letters that decompose to several: Latin blocks, Roman numerals, ligatures.
@@ -46,10 +44,9 @@ def normalize_name(name, aliases: dict[str, str] | None = None) -> Column:
     """Letters-only lower-case form of a person name, without generational suffix.
 
     Everything is a JVM string expression; accents and look-alike letters are
-    folded with ``translate`` tables.
+    folded with ``translate`` tables. ``aliases`` maps folded forms to others.
     """
     c = F.col(name) if isinstance(name, str) else name
-    aliases = NAME_ALIASES if aliases is None else aliases
     for ch, plain in _MULTI.items():
         c = F.replace(c, F.lit(ch), F.lit(plain))
     c = F.lower(F.translate(c, _SRC, _DST))

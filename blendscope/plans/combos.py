@@ -10,7 +10,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blendscope.functions import vectors as vec
@@ -19,10 +19,10 @@ from blendscope.operators import relational
 MAX_SETS = 200_000
 
 
-def roster(members: DataFrame, keys: list[str], order: list[Column], slots: int, payload: list[str]) -> DataFrame:
-    """The leading ``slots`` members of each team as one array of structs in slot order."""
-    top = relational.top_per_group(members, keys, order, slots, "slot")
-    return top.groupBy(*keys).agg(
+def roster(members: DataFrame, keys: list[str], order: list[Column], payload: list[str]) -> DataFrame:
+    """All members of each team as one array of structs in slot order. A roster is short; ``enumerate_sets`` checks it."""
+    ranked = members.withColumn("slot", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("slot", *payload))).alias("roster")).withColumn("n", F.size("roster"))
 
 
@@ -37,7 +37,12 @@ def index_table(spark: SparkSession, sizes: range, r: int) -> DataFrame:
 
 
 def enumerate_sets(rosters: DataFrame, r: int, slots: int, keys: list[str]) -> DataFrame:
-    """Every r-member set of every roster: keys, m0..m(r-1) member structs in slot order (K2, K3)."""
+    """Every r-member set of every roster: keys, m0..m(r-1) member structs in slot order (K2, K3).
+
+    A roster of more than ``slots`` members is an error: all its sets are too many, and a part of them would be wrong.
+    """
+    large = F.raise_error(F.concat(F.lit("a roster has "), F.col("n").cast("string"), F.lit(f" members, more than {slots}"))).cast("int")
+    rosters = rosters.withColumn("n", F.when(F.col("n") <= slots, F.col("n")).otherwise(large))
     idx = index_table(rosters.sparkSession, range(r, slots + 1), r)
     j = rosters.join(F.broadcast(idx), "n")  # the index table is fixed by the roster size
     return j.select(*keys, *[F.element_at("roster", F.col(f"i{m}") + 1).alias(f"m{m}") for m in range(r)])

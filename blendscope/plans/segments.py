@@ -171,40 +171,33 @@ def game_status(box: DataFrame, games: DataFrame) -> DataFrame:
 
 # --- line-up replay -------------------------------------------------------------
 
-def direction(court: set, a, b):
-    """(outgoing, incoming) of a substitution, or None where both or neither are on court."""
-    if a is None or b is None:
+def swap_of(court: set, pair: tuple):
+    """(leaver, comer) of a substitution: the one on court leaves. None unless exactly one of two known persons is."""
+    inside = [p for p in pair if p in court]
+    if None in pair or len(inside) != 1:
         return None
-    on_a, on_b = a in court, b in court
-    if on_a == on_b:
-        return None
-    return (a, b) if on_a else (b, a)
+    return inside[0], pair[1] if inside[0] == pair[0] else pair[0]
 
 
-def opening_five(rows: list[tuple], carried: set) -> tuple[set, str | None]:
-    """Line-up at the start of a period from the players seen acting in it.
+def openers(rows: list[tuple], carried: set) -> tuple[set, str | None]:
+    """Line-up at the start of a period and a note if it is not the carried one.
 
-    ``rows``: (kind, person, a, b) of one team in one period, in order, where
-    kind is "sub" or "act". Gaps are filled from the carried set in id order.
+    ``rows``: (kind, person, a, b) of one team in one period, in order, where kind is "sub" or "act". Who acts before
+    they first come in was there from the start; of more than five the first ones count. Open places are filled from
+    the carried set in id order.
     """
-    court, entered, seen = set(carried), set(), set()
-    for kind, person, a, b in rows:
-        if kind == "sub":
-            move = direction(court, a, b)
-            if move:
-                court.discard(move[0])
-                court.add(move[1])
-                entered.add(move[1])
-        elif person and person not in entered:
-            seen.add(person)
-        if len(seen) >= SIDE:
-            break
-    if len(seen) == SIDE:
-        return seen, None if seen == carried else "opening line-up replaced by observed players"
-    filled = seen | carried
-    if len(filled) > SIDE:
-        filled = seen | set(sorted(carried - seen)[: SIDE - len(seen)])
-    return filled, None if filled == carried else "opening line-up partly corrected"
+    present, acts, entries = frozenset(carried), {}, {}
+    for at, (kind, person, *pair) in enumerate(rows):
+        if kind != "sub":
+            acts.setdefault(person, at)
+        elif swap := swap_of(present, tuple(pair)):
+            present = present - {swap[0]} | {swap[1]}
+            entries.setdefault(swap[1], at)
+    early = [p for p, at in sorted(acts.items(), key=lambda x: x[1]) if p and at < entries.get(p, len(rows))][:SIDE]
+    five = {*early, *sorted(carried - set(early))[: SIDE - len(early)]}
+    if five == carried:
+        return five, None
+    return five, "opening line-up replaced by observed players" if len(early) == SIDE else "opening line-up partly corrected"
 
 
 class GameReplay:
@@ -223,7 +216,7 @@ class GameReplay:
             for t in self.court:
                 slim = [("sub" if r["is_sub"] else "act", r["person"], r["a"], r["b"]) for r in rows
                         if r["team"] == t and (r["is_sub"] or r["acts"])]
-                self.court[t], note = opening_five(slim, self.court[t])
+                self.court[t], note = openers(slim, self.court[t])
                 if note:
                     notes.append(f"team {t}: {note}")
         self.started = True
@@ -233,7 +226,7 @@ class GameReplay:
                 notes, self.segment = [], r["segment"]
             if r["is_sub"]:
                 court = self.court.get(r["team"])
-                move = direction(court, r["a"], r["b"]) if court is not None else None
+                move = swap_of(court, (r["a"], r["b"])) if court is not None else None
                 if move:
                     court.discard(move[0])
                     court.add(move[1])

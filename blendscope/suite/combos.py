@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blendscope import warehouse as wh
@@ -19,7 +20,7 @@ from blendscope.suite.identity import _BIO
 from blendscope.suite.linear import OUT_SQL, team_groups
 
 K = wh.K
-SLOTS = 9
+SLOTS = wh.SQUAD
 KEYS = ["team", "season"]
 # A symmetric matrix of pair values, for checks that need a given one.
 M = np.array([[0.5 * ((i * 7 + j * 7 + 3 * i * j) % 11) - 2.0 for j in range(K)] for i in range(K)])
@@ -27,14 +28,14 @@ ROLES = {"rim": [0, 1], "spacing": [2, 3], "ball": [4, 5]}
 
 
 def rosters(spark, sf):
-    """The nine leading members by weight of each team and season (a roster has a fixed number of slots)."""
-    m = wh.recipes(spark, sf).join(wh.members(spark, sf).select("member", "team"), "member").join(wh.talent(spark, sf), ["member", "season"])
+    """All members of each squad and season, by weight."""
+    m = wh.recipes(spark, sf).join(wh.squads(spark, sf), "member").join(wh.talent(spark, sf), ["member", "season"])
     m = m.withColumn("self_form", cb.bilinear(F.col("recipe"), F.col("recipe"), M))
-    return cb.roster(m, KEYS, [F.col("min").desc(), F.col("member")], SLOTS, ["member", "recipe", "bpm", "self_form"])
+    return cb.roster(m, KEYS, [F.col("min").desc(), F.col("member")], ["member", "recipe", "bpm", "self_form"])
 
 
-ROSTER_SQL = [sb.LINES, sb.MIX, sb.MEMBERS, OUT_SQL, f"""slots AS (SELECT * FROM (SELECT mix.*, team, obpm + dbpm AS bpm,
-  row_number() OVER (PARTITION BY team, season ORDER BY min DESC, member) AS slot FROM mix JOIN members USING (member) JOIN outcomes USING (member, season)) WHERE slot <= {SLOTS})"""]
+ROSTER_SQL = [sb.LINES, sb.MIX, sb.MEMBERS, sb.SQUADS, OUT_SQL, """slots AS (SELECT mix.*, team, obpm + dbpm AS bpm,
+  row_number() OVER (PARTITION BY team, season ORDER BY min DESC, member) AS slot FROM mix JOIN squads USING (member) JOIN outcomes USING (member, season))"""]
 
 
 def _sets_sql(r: int) -> str:
@@ -192,20 +193,19 @@ def incompatible_members(spark, sf):
     return i.select("member", "season", r6("share"), r6("cosine"))
 
 
-@query("roster_conflicts", sb.with_(sb.ENVBENCH, sb.MEMBERS) + f""",
-rk AS (SELECT * FROM (SELECT mix.member, mix.season, team, row_number() OVER (PARTITION BY team, season ORDER BY min DESC, member) AS slot FROM mix JOIN members USING (member)) WHERE slot <= {SLOTS}),
+@query("roster_conflicts", sb.with_(sb.ENVBENCH, sb.SQUADS) + f""",
+rk AS (SELECT mix.member, mix.season, team, row_number() OVER (PARTITION BY team, season ORDER BY min DESC, member) AS slot FROM mix JOIN squads USING (member)),
 d AS (SELECT rk.team, rk.slot, mis.* FROM rk JOIN mis USING (member, season))
 SELECT a.team, a.season, a.member AS a, b.member AS b, CASE WHEN {'sqrt(' + ' + '.join(f'a.d{i} * a.d{i}' for i in range(K)) + ') * sqrt(' + ' + '.join(f'b.d{i} * b.d{i}' for i in range(K)) + ')'} > 1e-9
  THEN {s6('(' + ' + '.join(f'a.d{i} * b.d{i}' for i in range(K)) + ') / (sqrt(' + ' + '.join(f'a.d{i} * a.d{i}' for i in range(K)) + ') * sqrt(' + ' + '.join(f'b.d{i} * b.d{i}' for i in range(K)) + '))')} ELSE 0 END AS cosine
 FROM d a JOIN d b ON a.team = b.team AND a.season = b.season AND a.slot < b.slot""")
 def roster_conflicts(spark, sf):
     """Cosine of the difference vectors inside each roster."""
-    from blendscope.operators import relational
     from blendscope.suite.environment import Tables
 
     t = Tables(spark, sf)
-    m = t.recipes.join(t.members.select("member", "team"), "member")
-    slots = relational.top_per_group(m, KEYS, [F.col("min").desc(), F.col("member")], SLOTS, "slot").select(*KEYS, "slot", "member")
+    m = t.recipes.join(wh.squads(spark, sf), "member")
+    slots = m.withColumn("slot", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("min").desc(), "member"))).select(*KEYS, "slot", "member")
     c = env.roster_conflicts(cut_lineage(t.mismatch()), slots, K)
     return c.select("team", "season", "a", "b", r6("cosine"))
 

@@ -115,7 +115,7 @@ STINT_SQL = f"""sm AS (SELECT game, status, member, sum(qty) AS poss, sum(floor(
   count(CASE WHEN flag = 'A' THEN 1 END) AS fgm, count(CASE WHEN flag <> 'R' AND discount >= 0.05 THEN 1 END) AS fg3a,
   count(CASE WHEN flag = 'A' AND discount >= 0.05 THEN 1 END) AS fg3m, count(CASE WHEN flag = 'R' THEN 1 END) AS tov, max(ship) AS ship FROM lines GROUP BY ALL),
 side AS (SELECT game, status, list_sort(list(member)) AS ids, max(ship) AS ship, sum(poss) AS poss, sum(points) AS points, sum(fga) AS fga, sum(fgm) AS fgm,
-  sum(fg3a) AS fg3a, sum(fg3m) AS fg3m, sum(tov) AS tov FROM sm GROUP BY game, status HAVING count(*) <= {wh.MAX_SIDE}),
+  sum(fg3a) AS fg3a, sum(fg3m) AS fg3m, sum(tov) AS tov FROM sm GROUP BY game, status),
 stints AS (SELECT o.game, {sb.season('greatest(o.ship, d.ship)')} AS season, (o.status = 'O')::INT AS home_off, o.ids AS off, d.ids AS def,
   o.poss AS off_possessions, o.points AS off_points, o.fga AS off_fga, o.fgm AS off_fgm, o.fg3a AS off_fg3a, o.fg3m AS off_fg3m, o.tov AS off_tov,
   100.0 * o.points / o.poss AS y_off FROM side o JOIN side d ON d.game = o.game AND d.status <> o.status)"""

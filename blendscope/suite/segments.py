@@ -136,7 +136,7 @@ def segment_lengths(spark, sf):
 
 
 @query("segment_integrity", sb.with_(sb.LINES, """sm AS (SELECT DISTINCT game, status, member FROM lines),
-side AS (SELECT game, status, list(member) AS ids FROM sm GROUP BY ALL HAVING count(*) <= 5)""") + """
+side AS (SELECT game, status, list(member) AS ids FROM sm GROUP BY ALL)""") + """
 SELECT count(*) AS n, 0::BIGINT AS bad_off, 0::BIGINT AS bad_def, count(CASE WHEN list_has_any(o.ids, d.ids) THEN 1 END) AS n_overlap
 FROM side o JOIN side d ON o.game = d.game AND o.status <> d.status""")
 def segment_integrity(spark, sf):

@@ -145,7 +145,13 @@ def clock_minutes(spark, sf):
 
 
 _BX = """bx AS (SELECT member, season, game, sum(qty) AS min, sum(rev) / 1000.0 AS pts, count(*) AS fga, count(CASE WHEN line_no = 7 THEN 1 END) AS fta, count(CASE WHEN flag = 'R' THEN 1 END) AS tov FROM lines GROUP BY ALL)"""
-DRAWS = 10
+DRAWS = 100
+
+
+_X = "x"
+for _ in range(3):
+    _X = f"(({_X} * {rp.ROOT} + 12345) % {rp.PRIME})"
+_TIMES = " + ".join(f"({_X} / {float(rp.PRIME)!r} >= {p!r})::INT" for p in rp.POISSON)
 
 
 def _boxes(spark, sf):
@@ -155,13 +161,13 @@ def _boxes(spark, sf):
 
 
 @query("bootstrap_draw_sums", sb.with_(sb.LINES, _BX) + f""",
-ix AS (SELECT *, row_number() OVER (PARTITION BY member, season ORDER BY game) - 1 AS i, count(*) OVER (PARTITION BY member, season) AS n FROM bx),
-pk AS (SELECT member, season, n, b AS draw, (b * 7919 + i * 104729) % n AS i FROM ix CROSS JOIN (SELECT unnest(range(1, {DRAWS + 1})) AS b))
-SELECT p.member, p.season, p.draw::INT AS draw, max(p.n) AS n_games, {", ".join(f"{s6(f'sum({c})')} AS {c}" for c in rp.BOX)}
-FROM pk p JOIN ix ON ix.member = p.member AND ix.season = p.season AND ix.i = p.i GROUP BY ALL""")
+mx AS (SELECT bx.*, b AS draw, (game * 7919 + member * 104729 + b * 1299709) % {rp.PRIME} AS x FROM bx CROSS JOIN (SELECT unnest(range(1, {DRAWS + 1})) AS b)),
+pk AS (SELECT *, {_TIMES} AS c FROM mx)
+SELECT member, season, draw::INT AS draw, sum(c)::BIGINT AS n_games, {", ".join(f"{s6(f'sum({c} * c)')} AS {c}" for c in rp.BOX)}
+FROM pk WHERE c > 0 GROUP BY ALL""")
 def bootstrap_draw_sums(spark, sf):
     """Resampled box sums of every member and season."""
-    s = rp.draw_sums(_boxes(spark, sf), DRAWS, ["member", "season"])
+    s = rp.draw_sums(_boxes(spark, sf), ["member", "season"], DRAWS)
     return s.select("member", "season", "draw", "n_games", *[r6(c) for c in rp.BOX])
 
 
@@ -172,8 +178,15 @@ def bootstrap_bands(spark, sf):
     boxes = _boxes(spark, sf)
     season = boxes.groupBy("member", "season").agg(F.sum("pts").alias("total_pts"), F.sum("min").alias("total_min")).join(
         pop.select("member", "season", "pts_per_100"), ["member", "season"])
-    f = rp.resampled_features(rp.draw_sums(boxes, DRAWS, ["member", "season"]), season, ["member", "season"])
-    bands = rp.bootstrap_bands(f, pop, b, ["member", "season"], ["pts_per_100"])
+    keys = ["member", "season"]
+    drawn = rp.resampled_features(rp.draw_sums(boxes, keys, DRAWS), season, keys)
+    whole = boxes.groupBy(*keys).agg(F.count("*").alias("n_games"), *[F.sum(c).alias(c) for c in rp.BOX]).withColumn("draw", F.lit(0))
+    names = [c for c in ("ts", "ftr", "tov", "pts_per_100") if c in b.features]
+    # the bound features have units of their own: each moves in step with its resampled form
+    both = drawn.join(rp.resampled_features(whole, season, keys).select(*keys, *[F.col(c).alias(f"w_{c}") for c in names]), keys)
+    both = both.join(pop.select(*keys, *[F.col(c).cast("double").alias(f"b_{c}") for c in names]), keys)
+    moved = [F.coalesce(F.col(f"b_{c}") * F.try_divide(F.col(c), F.col(f"w_{c}")), F.col(f"b_{c}")).alias(c) for c in names]
+    bands = rp.bootstrap_bands(both.select(*keys, "draw", *moved), pop, b, keys, names)
     return bands.select("member", "season", "component", "n_draws", r6("low"), r6("high"))
 
 

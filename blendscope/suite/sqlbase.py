@@ -1,6 +1,6 @@
 """Shared SQL fragments: the bound tables as common table expressions."""
 
-from blendscope.warehouse import K, MAX_SIDE, TYPES
+from blendscope.warehouse import K, SQUAD, TYPES
 
 SEASON = "(year({ts})::VARCHAR || '-' || lpad(((year({ts})+1) % 100)::VARCHAR, 2, '0'))"
 
@@ -21,6 +21,8 @@ MEMBERS = """members AS (
          s_nationkey AS team_id, s_acctbal AS balance
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
+SQUADS = f"""squads AS (SELECT s_suppkey AS member, 'squad ' || (s_suppkey // {SQUAD})::VARCHAR AS team FROM supplier)"""
+
 _SUMS = ", ".join(f"sum(CASE WHEN p_type = '{t}' THEN rev ELSE 0 END) AS r{i}" for i, t in enumerate(TYPES))
 _TOT = " + ".join(f"r{i}" for i in range(K))
 MIX = f"""mixsum AS (
@@ -42,9 +44,10 @@ GM = """gm AS (
   FROM lines GROUP BY game, member)"""
 
 PAIRS = f"""two AS (
-  SELECT game, min(member) AS a, max(member) AS b, max(ship) AS ship, sum(qty) AS qty, sum(rev) AS rev,
-         sum(rev_for) AS rev_for, sum(rev_against) AS rev_against
-  FROM gm GROUP BY game HAVING count(*) = 2),
+  SELECT x.member AS a, y.member AS b, g.ship, x.qty + y.qty AS qty, x.rev + y.rev AS rev,
+         x.rev_for + y.rev_for AS rev_for, x.rev_against + y.rev_against AS rev_against
+  FROM gm x JOIN gm y ON x.game = y.game AND x.member < y.member
+  JOIN (SELECT game, max(ship) AS ship FROM gm GROUP BY game) g ON g.game = x.game),
 pairs AS (
   SELECT {season('ship')} AS season, a, b, sum(qty) AS min, {_RATES} FROM two GROUP BY ALL),
 edges AS (
@@ -54,7 +57,7 @@ edges AS (
 LINEUPS = f"""sets AS (
   SELECT game, list_sort(list(member)) AS ids, count(*) AS size, max(ship) AS ship, sum(qty) AS qty, sum(rev) AS rev,
          sum(rev_for) AS rev_for, sum(rev_against) AS rev_against, sum(n_lines) AS n_lines
-  FROM gm GROUP BY game HAVING count(*) BETWEEN 2 AND {MAX_SIDE}),
+  FROM gm GROUP BY game HAVING count(*) >= 2),
 lineups AS (
   SELECT {season('ship')} AS season, ids, max(size) AS size, sum(qty) AS min, {_RATES},
          sum(n_lines) * 100.0 / sum(qty) AS pace

@@ -20,8 +20,8 @@ from blendscope.operators import stats
 # Part types in the order of the recipe vector.
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 K = len(TYPES)
-# A line-up has at most five members; larger sides are not line-ups.
-MAX_SIDE = 5
+# Members of a squad: consecutive ids, the last squad may be shorter.
+SQUAD = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,12 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def squads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """member, team: squads of a size that allows all their combinations, at every scale."""
+    squad = F.concat(F.lit("squad "), F.floor(F.col("s_suppkey") / SQUAD).cast("string"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member"), squad.alias("team"))
+
+
 def member_count(spark: SparkSession, sf_dir: str) -> int:
     """Row count from the file footers, used to size the blocks of all-pairs jobs."""
     return table(spark, sf_dir, "supplier").count()
@@ -120,14 +126,14 @@ def _group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineups(spark: SparkSession, sf_dir: str, sizes: tuple[int, int] = (2, MAX_SIDE)) -> DataFrame:
-    """season, ids (sorted array), size, min, ratings, pace, shares; one row per set and season.
+def lineups(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
+    """season, ids (sorted array), size, min, ratings, pace, shares; one row per set and season, sets of any size.
 
-    Orders outside the size range are left out before any member array is built.
+    A single member is no set. An array is as long as its order has members.
     """
     gm = _group_members(spark, sf_dir)
     sized = gm.groupBy("game").agg(F.count(F.lit(1)).alias("size"), F.max("ship").alias("last_ship")).where(
-        F.col("size").between(*sizes)
+        F.col("size") >= least
     )
     per_game = (
         gm.join(sized, "game")
@@ -150,23 +156,19 @@ def lineups(spark: SparkSession, sf_dir: str, sizes: tuple[int, int] = (2, MAX_S
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """season, a, b (a<b), min, ratings: two-member groups, one row per pair and season.
+    """season, a, b (a<b), min, ratings: all pairs of members of one order, one row per pair and season.
 
-    Both ids come from min and max of the group, so no member list is built.
+    An order has a handful of members; its pairs are formed inside its own array and summed before the next shuffle.
     """
-    two = (
-        _group_members(spark, sf_dir)
-        .groupBy("game")
-        .agg(
-            F.count(F.lit(1)).alias("size"), F.min("member").alias("a"), F.max("member").alias("b"),
-            F.max("ship").alias("ship"),
-            *[F.sum(c).alias(c) for c in ("qty", "rev", "rev_for", "rev_against")],
-        )
-        .where(F.col("size") == 2)
-    )
+    measures = ("qty", "rev", "rev_for", "rev_against")
+    game = _group_members(spark, sf_dir).groupBy("game").agg(
+        F.array_sort(F.collect_list(F.struct("member", *measures))).alias("m"), F.max("ship").alias("ship"))
+    two = F.flatten(F.transform("m", lambda x, i: F.transform(
+        F.slice("m", i + 2, F.size("m")),
+        lambda y: F.struct(x["member"].alias("a"), y["member"].alias("b"), *[(x[c] + y[c]).alias(c) for c in measures]))))
     return (
-        two.groupBy(season_of("ship").alias("season"), "a", "b")
-        .agg(*[F.sum(c).alias(c) for c in ("qty", "rev", "rev_for", "rev_against")])
+        game.select(season_of("ship").alias("season"), F.explode(two).alias("p")).select("season", "p.*")
+        .groupBy("season", "a", "b").agg(*[F.sum(c).alias(c) for c in measures])
         .select("season", "a", "b", F.col("qty").alias("min"), *_rates("rev_for", "rev_against", "rev"))
     )
 
@@ -181,7 +183,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed segments: one row per order and offense side (line status O or F).
 
-    A segment needs 1 to 5 distinct members on each side, as a line-up does.
+    A side has all members of its order lines, however many.
     """
     li = lines(spark, sf_dir).withColumn("three", F.col("discount") >= 0.05)
     sm = li.groupBy("game", "status", "member").agg(
@@ -194,11 +196,9 @@ def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("flag") == "R").alias("tov"),
         F.max("ship").alias("ship"),
     )
-    sized = sm.groupBy("game", "status").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_SIDE)
     measures = ("poss", "points", "fga", "fgm", "fg3a", "fg3m", "tov")
     side = (
-        sm.join(sized, ["game", "status"])
-        .groupBy("game", "status")
+        sm.groupBy("game", "status")
         .agg(
             F.array_sort(F.collect_list("member")).alias("ids"), F.max("ship").alias("ship"),
             *[F.sum(c).alias(c) for c in measures],

@@ -69,10 +69,18 @@ def test_links_and_warnings(built):
 
 
 def test_substitution_direction():
-    assert sg.direction({1, 2}, 1, 3) == (1, 3) and sg.direction({1, 2}, 3, 1) == (1, 3)
-    assert sg.direction({1, 2}, 1, 2) is None and sg.direction({1}, 4, 5) is None and sg.direction({1}, None, 1) is None
-    five, note = sg.opening_five([("act", 9, None, None)], {1, 2, 3, 4, 5})
-    assert five == {9, 1, 2, 3, 4} and note
+    assert sg.swap_of({1, 2}, (1, 3)) == (1, 3) and sg.swap_of({1, 2}, (3, 1)) == (1, 3)
+    assert sg.swap_of({1, 2}, (1, 2)) is None and sg.swap_of({1}, (4, 5)) is None and sg.swap_of({1}, (None, 1)) is None
+
+
+def test_openers():
+    carried = {1, 2, 3, 4, 5}
+    act = lambda p: ("act", p, None, None)
+    assert sg.openers([], carried) == (carried, None)
+    assert sg.openers([act(9)], carried) == ({9, 1, 2, 3, 4}, "opening line-up partly corrected")
+    assert sg.openers([("sub", None, 9, 1), act(9)], carried) == (carried, None)  # came in before acting
+    assert sg.openers([act(p) for p in (6, 7, 8, 9, 10, 1)], carried) == ({6, 7, 8, 9, 10}, "opening line-up replaced by observed players")
+    assert sg.openers([act(1), ("sub", None, 1, 9), ("sub", None, 9, 1), act(1)], carried) == (carried, None)
 
 
 def test_name_resolution_needs_one_match(spark):
