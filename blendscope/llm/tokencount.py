@@ -23,6 +23,9 @@ from blendscope.llm.shared import replace_columns
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Fixed value: how byte-level pre-tokenizers cut a text before merging; merges never cross a cut.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+")
+#: Byte-level models spell a byte by a visible character: itself if it has one, else the next free one from 256 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 #: Characters whose class is the same for every Unicode version and regular-expression library.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-\u0233\u0391-\u03A1\u03A3-\u03FF\u0410-\u044F\u4E00-\u9FA5]*+")
 #: A cut for certain: a letter, then a blank and a letter.
@@ -70,10 +73,8 @@ class Counter:
         total, seen = 0, self.seen
         for start, end in blocks(text):
             found = CUT.findall(text, start, end)
-            new = list({p for p in found if p not in seen})
-            for i in range(0, len(new), 4096):
-                part = new[i:i + 4096]
-                seen.update(zip(part, self.whole(part), strict=True))
+            for piece in set(found).difference(seen):
+                seen[piece] = len(self.tok.model.tokenize(piece.encode().decode("latin-1").translate(SHOWN)))
             total += sum(map(seen.__getitem__, found))
             if len(seen) > REMEMBERED:
                 seen.clear()
