@@ -291,12 +291,20 @@ def intra_variance(projected: DataFrame, p: int, keys: list[str] | None = None)
     return g.groupBy(*keys).agg(*agg) if keys else g.agg(*agg)
 
 
-def verify_projection(projected: DataFrame, reference: DataFrame, keys: list[str], k: int, atol: float = 1e-3) -> DataFrame:
-    """Largest and mean difference between two sets of weights, and whether it is within tolerance."""
-    j = projected.select(*keys, F.col("recipe").alias("a")).join(reference.select(*keys, F.col("recipe").alias("b")), keys)
-    gap = F.array_max(F.array(*[F.abs(F.col("a")[i] - F.col("b")[i]) for i in range(k)]))
-    return j.agg(F.max(gap).alias("max_diff"), F.avg(gap).alias("mean_diff"), F.count(F.lit(1)).alias("n")).withColumn(
-        "ok", F.col("max_diff") < atol)
+def check_optimality(projected: DataFrame, basis: Basis, tolerance: float = 1e-4) -> DataFrame:
+    """One row: how many projections are no optimum of the simplex problem.
+
+    Weights must be a mixture, and no component may have a smaller slope of the squared error than those in use.
+    """
+    v = basis.vectors
+    rest = [sum((F.col("recipe")[j] * F.lit(float(v[j, f])) for j in range(basis.k)), F.lit(0.0)) - F.col("z")[f] for f in range(v.shape[1])]
+    slopes = F.array(*[sum((r * F.lit(float(v[j, f])) for f, r in enumerate(rest)), F.lit(0.0)) for j in range(basis.k)])
+    used = F.zip_with("slopes", "recipe", lambda g, w: F.when(w > 1e-6, g))
+    scale = F.lit(1.0) + F.array_max(F.transform("slopes", F.abs))
+    gap = (F.array_max(used) - F.array_min("slopes")) / scale
+    mixture = (F.abs(F.aggregate("recipe", F.lit(0.0), lambda a, x: a + x) - 1.0) < 1e-6) & (F.array_min("recipe") >= -1e-9)
+    return projected.select("recipe", slopes.alias("slopes")).agg(
+        F.count("*").alias("n_rows"), F.count_if(~mixture).alias("n_no_mixture"), F.count_if(gap > tolerance).alias("n_not_optimal"))
 
 
 def sweep(df: DataFrame, features: list[str], ks: list[int], seeds: tuple[int, ...] = (0,), keys=("member", "season"), **kw) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from blendscope import schemas
 from blendscope.functions import text as tx
-from blendscope.functions import vectors as vec
 from blendscope.operators import relational
 from blendscope.plans.basis import Basis
 from blendscope.plans.linear import LinearModel, skill_leakage
@@ -51,7 +50,7 @@ def stints(spark: SparkSession, path: str) -> DataFrame:
 
 def recipe_invariants(df: DataFrame, k: int, atol: float = 1e-3) -> DataFrame:
     """Row count, distinct keys, bad row sums and wrong lengths, one row (SRC9)."""
-    s = vec.vsum("recipe", k)
+    s = F.aggregate("recipe", F.lit(0.0), lambda a, x: a + x)
     per = df.groupBy("member", "season").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.abs(s - 1.0) > atol).alias("bad"), F.count_if(F.size("recipe") != k).alias("wrong"))
     return per.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1).alias("n_duplicate_keys"), F.sum("bad").alias("n_bad_sum"),

@@ -102,13 +102,15 @@ def prior_season_by_name(spark, sf):
     return ln.prior_season_skill(prior, out, "2000-01", {"2001-02"}).select("member", r6("skill_off"), r6("skill_def"))
 
 
-@query("skill_leakage", sb.with_(*_BASE, SKILL_SQL) + """SELECT count(*) AS n_rows, 0::BIGINT AS n_duplicate_ids, 0::BIGINT AS n_leaking, true AS ok
+@query("skill_leakage", sb.with_(*_BASE, SKILL_SQL) + """SELECT count(*) + count(CASE WHEN member % 3 = 0 THEN 1 END) AS n_rows, count(CASE WHEN member % 3 = 0 THEN 1 END) AS n_duplicate_ids,
+ count(CASE WHEN member % 3 = 0 THEN 1 END) AS n_leaking, count(CASE WHEN member % 3 = 0 THEN 1 END) = 0 AS ok
 FROM skill WHERE season = '2001-02'""")
 def skill_leakage(spark, sf):
-    """SRC10 Q7."""
+    """SRC10 Q7: a skill table in which every third member has a second row that cites the modelled season."""
     s = wh.skill_by_season(spark, sf).where(F.col("season") == "2001-02").select(
         "member", "skill_off", "skill_def", F.lit("prior_season").alias("source"), F.lit("2000-01 final").alias("vintage"))
-    return ln.skill_leakage(s, ["2001-02"])
+    leaks = s.where(F.col("member") % 3 == 0).withColumn("vintage", F.lit("2001-02 to date"))
+    return ln.skill_leakage(s.unionByName(leaks), ["2001-02"])
 
 
 STINT_SQL = f"""sm AS (SELECT game, status, member, sum(qty) AS poss, sum(floor(rev / 1000.0)) AS points, count(CASE WHEN flag <> 'R' THEN 1 END) AS fga,

@@ -40,11 +40,18 @@ def packed_group_ids(spark, sf):
     return l.select("season", "group_id", ids[0].alias("first"), F.element_at(ids, -1).alias("last"), F.size(ids).alias("size"))
 
 
-@query("recipe_invariants", sb.with_(sb.LINES, sb.MIX) + f"""SELECT count(*) AS n_rows, 0::BIGINT AS n_duplicate_keys,
- count(CASE WHEN abs({' + '.join(f'w{i}' for i in range(K))} - 1) > 1e-3 THEN 1 END) AS n_bad_sum, 0::BIGINT AS n_wrong_length FROM mix""")
+@query("recipe_invariants", sb.with_(sb.LINES, sb.MIX) + f"""SELECT count(*) + count(CASE WHEN season = '1997-98' THEN 1 END) AS n_rows, count(CASE WHEN season = '1997-98' THEN 1 END) AS n_duplicate_keys,
+ count(CASE WHEN abs((CASE WHEN season = '1998-99' THEN 1.1 ELSE 1 END) * ({' + '.join(f'w{i}' for i in range(K))}) - CASE WHEN season = '1999-00' THEN w{K - 1} ELSE 0 END - 1) > 1e-3 THEN 1 END) AS n_bad_sum,
+ count(CASE WHEN season = '1999-00' THEN 1 END) AS n_wrong_length FROM mix""")
 def recipe_invariants(spark, sf):
-    """SRC9."""
-    return tables.recipe_invariants(wh.recipes(spark, sf), K)
+    """SRC9: a table with repeated keys in one season, sums off by a tenth in the next and a component short in a third."""
+    r = wh.recipes(spark, sf)
+    spoilt = (
+        F.when(F.col("season") == "1998-99", F.transform("recipe", lambda x: x * 1.1))
+        .when(F.col("season") == "1999-00", F.slice("recipe", 1, K - 1)).otherwise(F.col("recipe"))
+    )
+    bad = r.select("member", "season", spoilt.alias("recipe"))
+    return tables.recipe_invariants(bad.unionByName(bad.where(F.col("season") == "1997-98")), K)
 
 
 @query("season_ratings", sb.with_(sb.LINES, sb.ONCOURT) + f"SELECT member, season, {s6('net_rating')} AS rating_on FROM oncourt WHERE season IN ('1996-97', '1999-00')")
