@@ -177,7 +177,7 @@ def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"used": [used], "weights": [weights[used]], "intercept": [intercept], "slope": [slope], "shift": [shift]})
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000):
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000):
     """A fitted model from labelled documents: ``labels`` has doc_id and toxic (0 or 1, other values are not used).
 
     At most about ``max_rows`` labelled documents are used, chosen by hash of the id, so the sample that meets in the
@@ -188,7 +188,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000):
     share = min(1.0, max_rows / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # bounded by max_rows
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(featurise, "y int, grams array<int>")
-    model = sample.coalesce(1).mapInArrow(
+    model = sample.repartition(1).mapInArrow(  # the bounded sample meets in one task
         train, "used array<bigint>, weights array<float>, intercept double, slope double, shift double")
     return model.first()
 
