@@ -33,7 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without any ten-word run of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontamination.find_matches(docs, benchmark, 10).filter("n_hit > 0").select("key")
-    return docs.join(hit, decontamination.text_key() == F.col("key"), "left_anti")
+    keyed = docs.select(F.struct("*").alias("row"), decontamination.text_key().alias("key"))
+    return keyed.join(hit, "key", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
