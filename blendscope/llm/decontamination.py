@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blendscope.llm.shared import TERM, TERM_BYTES, discard, replace_columns, stored
+from blendscope.llm.shared import TERM, TERM_BYTES, discard, lookup, stored
 
 #: Words of a segment (a longer document is a segment by itself).
 SEGMENT_WORDS = 1 << 19
@@ -210,6 +210,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, slop:
     Spans are half-open word ranges. Input columns with the names of the new ones are replaced.
     """
     matches = find_matches(docs, benchmark, width, slop)
-    keyed = docs.select(F.struct("*").alias("row"), text_key().alias("key"))
-    return replace_columns(keyed.join(matches, "key"), "row", n_words=F.col("n_words").cast("long"), n_hit=F.col("n_hit").cast("long"),
-                           items=F.col("items"), spans=F.col("spans"))
+    return lookup(docs, text_key(), matches, "key", n_words=lambda c: c("n_words").cast("long"), n_hit=lambda c: c("n_hit").cast("long"),
+                  items=lambda c: c("items"), spans=lambda c: c("spans"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from blendscope.llm.components import components
-from blendscope.llm.shared import LOWER, discard, replace_columns, stored
+from blendscope.llm.shared import LOWER, discard, lookup, stored
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -141,7 +141,9 @@ def table_rows(texts: DataFrame) -> DataFrame:
         .select("node", "n_shingles", "one", F.explode("second").alias("two"))
         .select("node", "n_shingles", F.xxhash64("one", "two").alias("table")), "tables")
     buckets = tables.groupBy("table").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return stored(tables.join(buckets, "table"), "buckets")
+    rows = stored(tables.join(buckets, "table"), "buckets")
+    discard(tables)
+    return rows
 
 
 def close_sizes(a: str, b: str) -> Column:
@@ -172,6 +174,7 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
         parts = components(found)
         known = rows.select("node", "n_shingles").distinct().join(parts, "node", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("part"))
         found = stored(found.unionByName(confirmed(pairs_of(rows, source, stored(known, "parts")))), "links")
+    discard(rows, words, stars)
     return found
 
 
@@ -252,14 +255,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = sketches(docs)
     parts = components(links(texts, docs))
     placed = texts.join(parts, "node", "left").select("key", "n_shingles", F.coalesce("component", "node").alias("part"))
-    keyed = docs.select(F.struct("*").alias("row"), text_key().alias("key"), F.col("doc_id").alias("id"))
+    keyed = docs.select(text_key().alias("key"), F.col("doc_id").alias("id"))
     ids = keyed.groupBy("key", "id").agg(F.count("*").alias("rows")).join(placed, "key").groupBy("part", "id").agg(F.sum("rows").alias("rows"))
     named = F.when(F.col("id").isNotNull(), F.struct("id", "rows"))
     least = ids.groupBy("part").agg(F.min(named).alias("least"), F.sum("rows").alias("rows")).select(
         "part", F.col("least.id").alias("component_id"), F.coalesce("least.rows", "rows").alias("kept_rows"))
     names = stored(placed.join(least, "part").select("key", "n_shingles", "component_id", "kept_rows", F.col("part").alias("class_id")), "near-duplicates")
-    single = F.col("n_shingles") == 0
-    component = F.when(single, F.col("id")).otherwise(F.col("component_id"))
-    return replace_columns(keyed.join(names, "key"), "row", n_shingles=F.col("n_shingles"), component_id=component,
-                           kept=F.coalesce(F.col("id") == component, component.isNull()),
-                           kept_rows=F.when(single, F.lit(1)).otherwise(F.col("kept_rows")), class_id=F.col("class_id"))
+    own = F.col("doc_id")
+
+    def component(c):
+        return F.when(c("n_shingles") == 0, own).otherwise(c("component_id"))
+
+    return lookup(docs, text_key(), names, "key", n_shingles=lambda c: c("n_shingles"), component_id=component,
+                  kept=lambda c: F.coalesce(own == component(c), component(c).isNull()),
+                  kept_rows=lambda c: F.when(c("n_shingles") == 0, F.lit(1)).otherwise(c("kept_rows")), class_id=lambda c: c("class_id"))

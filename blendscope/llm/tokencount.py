@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from blendscope.llm.shared import replace_columns
+from blendscope.llm.shared import lookup
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Fixed value: how byte-level pre-tokenizers cut a text before merging; merges never cross a cut.
@@ -133,5 +133,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, text: str = "
     fresh.select("content", version.alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.first("n_tokens").alias("tokens"))
-    keyed = docs.select(F.struct("*").alias("row"), content_digest(text).alias("content"))
-    return replace_columns(keyed.join(counts, "content"), "row", n_tokens=F.col("tokens"))
+    return lookup(docs, content_digest(text), counts, "content", n_tokens=lambda c: c("tokens"))
