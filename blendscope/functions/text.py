@@ -47,9 +47,10 @@ def normalize_name(name, aliases: dict[str, str] | None = None) -> Column:
     folded with ``translate`` tables. ``aliases`` maps folded forms to others.
     """
     c = F.col(name) if isinstance(name, str) else name
+    folded = c
     for ch, plain in _MULTI.items():
-        c = F.replace(c, F.lit(ch), F.lit(plain))
-    c = F.lower(F.translate(c, _SRC, _DST))
+        folded = F.replace(folded, F.lit(ch), F.lit(plain))
+    c = F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(folded, _SRC, _DST)).otherwise(c))  # plain names skip the folding
     c = F.regexp_replace(c, "[^a-z ]", "")
     c = F.regexp_replace(F.trim(c), r"\b(" + "|".join(SUFFIXES) + r")$", "")
     c = F.trim(F.regexp_replace(c, r"\s+", " "))

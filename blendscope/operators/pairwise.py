@@ -76,7 +76,7 @@ def weighted_environment(
     flag: str | None = None,
     power: float = 4.0,
     undefined_distance: float = 0.0,
-    blocks: int = 1,
+    blocks: int,
 ) -> DataFrame:
     """Similarity-weighted mean of the pool's ``values`` (length m) for every target.
 
@@ -150,7 +150,7 @@ def nearest(
     exclude_self: bool = True,
     band: tuple[str, str, float] | None = None,
     undefined_distance: float = 1.0,
-    blocks: int = 1,
+    blocks: int,
 ) -> DataFrame:
     """The ``top_n`` pool rows with the smallest JS distance, for every target.
 

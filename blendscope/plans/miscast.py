@@ -43,7 +43,7 @@ def grounding(
         F.when(d_ok, F.col("d.v")).alias("deficit"))
 
 
-def peer_centroid(mix: DataFrame, z: DataFrame, k: int, p: int, power: float = 4.0, blocks: int = 1) -> DataFrame:
+def peer_centroid(mix: DataFrame, z: DataFrame, k: int, p: int, power: float = 4.0, *, blocks: int) -> DataFrame:
     """Similarity-weighted mean z vector of all other members of the season, with its effective size (M5)."""
     pool = mix.select("member", "season", "recipe").join(z.select("member", "season", "z"), ["member", "season"])
     out = pairwise.weighted_environment(
