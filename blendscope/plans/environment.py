@@ -72,6 +72,13 @@ def own_exposure_from_groups(groups: DataFrame, recipes: DataFrame, k: int) -> D
         "member", "season", F.array(*[F.col(f"s{i}") / total for i in range(k)]).alias("exposure"))
 
 
+def season_average(exposures: DataFrame, k: int, weight: str = "mate_min") -> DataFrame:
+    """Weighted mean exposure of a season."""
+    w = F.col(weight)
+    return exposures.groupBy("season").agg(
+        F.sum(w).alias("weight"), F.array(*[F.sum(F.col("exposure")[i] * w) / F.sum(w) for i in range(k)]).alias("exposure"))
+
+
 def benchmark(
     recipes: DataFrame, exposures: DataFrame, k: int, oncourt: DataFrame | None = None,
     power: float = 4.0, *, blocks: int, targets: DataFrame | None = None,

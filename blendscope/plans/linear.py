@@ -296,6 +296,11 @@ def score_lineups(features: DataFrame, model: LinearModel, k: int, keep: list[st
     return features.select(*keep, off.alias("ortg"), dfn.alias("drtg"), (off - dfn).alias("net"))
 
 
+def score_matchups(rows: DataFrame, model: LinearModel, keep: list[str]) -> DataFrame:
+    """Predicted rating of every design row against its own, given defense."""
+    return rows.select(*keep, model.predict().alias("ortg"))
+
+
 def observed_ratings(stints: DataFrame, keys: list[str], min_possessions: float) -> DataFrame:
     """Line-up totals on offense and, for the same set, on defense."""
     off = stints.groupBy(*keys, F.array_sort("off").alias("ids")).agg(

@@ -219,6 +219,14 @@ def comparables_benchmark(spark, sf):
     return c.select("season", "component", "n", *[r6(f"e{i}") for i in range(K)])
 
 
+@query("season_average", sb.with_(sb.ENV) + f"""SELECT season, {s6('sum(mate_min)')} AS weight, {", ".join(f"{s6(f'sum(e{i} * mate_min) / sum(mate_min)')} AS e{i}" for i in range(K))}
+FROM exposure GROUP BY season""")
+def season_average(spark, sf):
+    """Weighted mean exposure of every season."""
+    a = env.season_average(Tables(spark, sf).exposure, K)
+    return a.select("season", r6("weight"), *[r6(F.col("exposure")[i], f"e{i}") for i in range(K)])
+
+
 @query("similar_members", sb.with_(sb.LINES, sb.MIX) + f""",
 d AS (SELECT t.member, t.season, q.member AS neighbor, round({sb.js(sb.cols('t', 'w'), sb.cols('q', 'w'))}, 12) AS distance
       FROM mix t JOIN mix q ON t.season = q.season AND t.member <> q.member),

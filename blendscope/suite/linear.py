@@ -239,6 +239,44 @@ def lineup_scores(spark, sf):
     return s.select("season", F.concat_ws("-", F.transform("ids", lambda x: x.cast("string"))).alias("group_key"), r6("ortg"), r6("drtg"), r6("net"))
 
 
+_GIVEN = {"s_off": 0.8, "s_def": -0.5, "home_off": 1.2} | {f"e_off_{i}": 0.1 * (i + 1) for i in range(K)} | {f"e_def_{i}": -0.05 * (i + 1) for i in range(K)}
+_AVERAGE = {"s_off": 1.5, "s_def": -0.5} | {f"e_{s}_{i}": 0.2 + 0.01 * i for s in ("off", "def") for i in range(K)}
+
+
+def _given_model():
+    """A model with stated coefficients and league averages, for checks of the scores alone."""
+    names = _names()
+    beta = np.array([_GIVEN.get(n, 0.0) for n in names])
+    return ln.LinearModel(names, beta, 100.0, np.zeros(len(names)), np.ones(len(names)), {"league_average": _AVERAGE})
+
+
+_E_OFF = " + ".join(f"{0.1 * (i + 1)} * e_off_{i}" for i in range(K))
+_E_DEF = " + ".join(f"{0.05 * (i + 1)} * e_def_{i}" for i in range(K))
+
+
+@query("matchup_scores", sb.with_(*DESIGN_SQL) + f"SELECT game, home_off, {s6(f'100 + 0.8 * s_off - 0.5 * s_def + 1.2 * home_off + {_E_OFF} - ({_E_DEF})')} AS ortg FROM design")
+def matchup_scores(spark, sf):
+    """Every segment's offense against the defense it met, under given coefficients."""
+    return ln.score_matchups(design(spark, sf), _given_model(), ["game", "home_off"]).select("game", "home_off", r6("ortg"))
+
+
+_A_OFF = sum(0.1 * (i + 1) * (0.2 + 0.01 * i) for i in range(K))
+_A_DEF = sum(0.05 * (i + 1) * (0.2 + 0.01 * i) for i in range(K))
+_SETS = f"""sets AS (SELECT DISTINCT season, off AS ids FROM stints),
+m AS (SELECT season, ids, unnest(ids) AS member FROM sets),
+f AS (SELECT m.season, m.ids, sum(skill_off) AS so, sum(skill_def) AS sd, {", ".join(f"sum(w{i} * skill_off) AS o{i}, sum(w{i} * skill_def) AS d{i}" for i in range(K))}
+  FROM m JOIN mix ON mix.member = m.member AND mix.season = m.season JOIN skill ON skill.member = m.member AND skill.season = m.season GROUP BY m.season, m.ids HAVING count(*) = len(m.ids)),
+sc AS (SELECT season, ids, 100.6 + 0.8 * so + 0.25 + {" + ".join(f"{0.1 * (i + 1)} * o{i}" for i in range(K))} - {_A_DEF!r} AS ortg,
+  100.6 + 0.8 * 1.5 - 0.5 * sd + {_A_OFF!r} - ({" + ".join(f"{0.05 * (i + 1)} * d{i}" for i in range(K))}) AS drtg FROM f)"""
+
+
+@query("lineup_scores_given", sb.with_(*_BASE, SKILL_SQL, STINT_SQL, _SETS) + f"""SELECT season, array_to_string(ids, '-') AS group_key, {s6('ortg')} AS ortg, {s6('drtg')} AS drtg, {s6('ortg - drtg')} AS net FROM sc""")
+def lineup_scores_given(spark, sf):
+    """Every line-up against the average opponent, under given coefficients."""
+    s = _lineup_scores(spark, sf, _given_model())
+    return s.select("season", F.concat_ws("-", F.transform("ids", lambda x: x.cast("string"))).alias("group_key"), r6("ortg"), r6("drtg"), r6("net"))
+
+
 @query("holdout_check")
 def holdout_check(spark, sf):
     """Model without one team, checked on that team's line-ups."""

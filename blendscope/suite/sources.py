@@ -12,6 +12,7 @@ from blendscope.plans import context as cx
 from blendscope.plans import environment as env
 from blendscope.plans import identity as idn
 from blendscope.plans import report as rp
+from blendscope.plans import segments as sg
 from blendscope.sources import nested, tables
 from blendscope.suite import basis as sbs
 from blendscope.suite import query, r6, s6
@@ -143,6 +144,16 @@ def member_games(spark, sf):
     return idn.member_games(wh.stints(spark, sf))
 
 
+@query("member_boxes", sb.with_(sb.LINES, STINT_SQL) + f"""SELECT l.game, l.member AS person, {s6('sum(l.qty) + 0.5')} AS min, count(*) AS fga
+FROM lines l WHERE l.member % 5 <> 0 AND (l.game, l.member) IN (SELECT (game, unnest(list_concat(off, def))) FROM stints) GROUP BY ALL""")
+def member_boxes(spark, sf):
+    """Box rows with playing time, given as mm:ss, of the games in which the member was on a side."""
+    box = wh.lines(spark, sf).groupBy("game", F.col("member").alias("person")).agg(F.sum("qty").cast("int").cast("string").alias("q"), F.count("*").alias("fga"))
+    clock = F.when(F.col("person") % 5 == 0, F.lit("0:00")).otherwise(F.concat("q", F.lit(":30")))
+    b = sg.member_boxes(wh.stints(spark, sf), box.select("game", "person", clock.alias("minutes"), "fga"))
+    return b.select("game", "person", r6("min"), "fga")
+
+
 @query("clock_minutes", f"""SELECT event_id, {s6("floor(value)::INT + (event_id % 60) / 60.0")} AS minutes, 0.0::DOUBLE AS blank FROM events""")
 def clock_minutes(spark, sf):
     """Mm:ss texts to decimal minutes."""
