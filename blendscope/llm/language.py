@@ -8,6 +8,7 @@ suffix and the suffix toward all pages; a page's own text is taken out of the co
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +24,15 @@ BINS = 1 << 15
 WEIGHT = 40.0
 #: Pages that a prior of the next wider level counts as.
 STRENGTH = 2.0
+NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Blocks of text in characters.
 BLOCK = 1 << 18
 
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
     """Hashed character trigrams of the whole lower-cased text, letters only, by blocks."""
-    t = "".join(c if c.isalpha() else " " for c in (text or "").lower())
-    c = np.frombuffer(f" {t} ".encode("utf-32-le", "replace"), np.uint32)
-    c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))].astype(np.uint64)
+    t = NO_LETTERS.sub(" ", (text or "").lower()).strip(" ")
+    c = np.frombuffer(f" {t} ".encode("utf-32-le", "replace") if t else b"", np.uint32).astype(np.uint64)
     for start in range(0, max(0, len(c) - 2), BLOCK):
         b = c[start:start + BLOCK + 2]
         yield ((b[:-2] | b[1:-1] << np.uint64(21) | b[2:] << np.uint64(42)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(49)).astype(np.int64)

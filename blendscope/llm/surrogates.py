@@ -9,10 +9,12 @@ Surrogates that collide with each other or with an entity of the corpus are deri
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blendscope.llm.shared import discard, replace_columns, stored
+from blendscope.llm.shared import discard, stored
 
 #: What is taken for an entity, in order of precedence.
 PATTERNS = {
@@ -182,11 +184,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     entities, null and empty texts come back as they are with 0. Equal texts are treated once. The key is secret: with
     another key all surrogates differ. An input column ``n_entities`` is replaced.
     """
-    raw, kind = F.col("raw"), F.col("kind")
-    body = F.col(text)
-    held = docs.select(F.struct("*").alias("row"), body.alias("t")).withColumn("hint", F.coalesce(F.regexp_like("t", F.lit(HINT)), F.lit(False)))
+    raw, kind, body = F.col("raw"), F.col("kind"), F.col(text)
+    hint = F.coalesce(F.regexp_like(body, F.lit(HINT)), F.lit(False))
     found = (
-        held.filter("hint").select(F.md5(F.col("t").cast("binary")).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(ANY), F.lit(0)))).alias("raw"))
+        docs.filter(hint).select(F.md5(body.cast("binary")).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))).alias("raw"))
         .groupBy("id", "raw").agg(F.lit(1).alias("one")).select("id", "raw", kind_of(raw).alias("kind")).filter("kind is not null")
         .withColumn("canon", canonical(kind, raw))
     )
@@ -196,9 +197,16 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         found.join(table, ["kind", "canon"]).select("id", F.struct("raw", in_format(kind, raw, F.col("sur")).alias("new")).alias("change"))
         .groupBy("id").agg(F.map_from_entries(F.collect_list("change")).alias("changes"))
     )  # one map per distinct text, of its own entities
-    joined = held.withColumn("id", F.when(F.col("hint"), F.md5(F.col("t").cast("binary")))).join(changes, "id", "left")
-    parts, hits = F.split("t", ANY, -1), F.regexp_extract_all("t", F.lit(ANY), F.lit(0))
-    new = F.array_join(F.zip_with(parts, hits, lambda p, r: F.concat(p, F.coalesce(F.col("changes")[r], r, F.lit("")))), "")
-    count = F.size(F.filter(hits, lambda r: F.map_contains_key("changes", r))).cast("long")
-    some = F.col("changes").isNotNull()
-    return replace_columns(joined, "row", **{text: F.when(some, new).otherwise(F.col("t")), "n_entities": F.when(some, count).otherwise(F.lit(0).cast("long"))})
+    mark = f"_{uuid.uuid4().hex}"
+    changes = changes.select(F.col("id").alias(f"{mark}_id"), F.col("changes").alias(f"{mark}_changes"))
+    map_of, parts, hits = F.col(f"{mark}_changes"), F.split(body, ANY, -1), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
+    new = F.array_join(F.zip_with(parts, hits, lambda p, r: F.concat(p, F.coalesce(map_of[r], r, F.lit("")))), "")
+    count = F.size(F.filter(hits, lambda r: F.map_contains_key(map_of, r))).cast("long")
+
+    def result(df: DataFrame, changed: Column, n: Column) -> DataFrame:
+        kept = [c for c in docs.columns if c.lower() != "n_entities"]
+        return df.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in kept], n.alias("n_entities"))
+
+    some = docs.filter(hint).withColumn(f"{mark}_id", F.md5(body.cast("binary"))).join(changes, f"{mark}_id", "left")  # only these move
+    changed = result(some, F.when(map_of.isNotNull(), new).otherwise(body), F.when(map_of.isNotNull(), count).otherwise(F.lit(0).cast("long")))
+    return changed.unionByName(result(docs.filter(~hint), body, F.lit(0).cast("long")))

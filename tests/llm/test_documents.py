@@ -236,6 +236,52 @@ def test_language_and_quality_of_the_test_tables(spark, sf):
     assert got and np.mean([r.lang == r.path for r in got]) > 0.95
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept, next to a plain computation of the same rows."""
+    import corpus_pipeline
+    from test_texts import brute_components, brute_hits
+
+    rng = random.Random(8)
+    docs, labels = labelled(spark, rng, 260)
+    rows = [tuple(r) for r in docs.collect()]
+    item = " ".join(f"item{i}" for i in range(14))
+    clean = [r for r in rows if "idiot" not in r[1] and "grottig" not in r[1] and "fieszz" not in r[1]]
+    rows += [(1000 + i, r[1], *r[2:]) for i, r in enumerate(clean[:20])] + [(1100 + i, r[1] + " one more", *r[2:]) for i, r in enumerate(clean[:20])]
+    rows += [(1200 + i, f"{clean[i + 30][1]} {item}", None, None, None) for i in range(8)] + [(1300, None, "en", "s1", 0), (1301, "", "en", None, 0)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, "short item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    stages, sf, kept = dict(corpus_pipeline.STAGES), str(tmp_path), {}
+    before = rows
+    for name, stage in stages.items():
+        out = [tuple(r) for r in stage(spark, spark.createDataFrame(before, DOCS), sf).collect()]
+        kept[name] = before, out
+        before = [r[:5] for r in out]
+    before, out = kept["toxicity"]
+    toxic = {r[0] for r in before if r[1] and re.search("idiot|grottig|fieszz", r[1])}
+    gone = {r[0] for r in before} - {r[0] for r in out}
+    assert len(gone & toxic) > 0.9 * len(toxic) and len(gone - toxic) <= 2
+    before, out = kept["near_duplicates"]
+    before = sorted(before)  # the smallest id of a class comes first
+    parts = brute_components([r[1] for r in before])
+    assert sorted(r[0] for r in out) == [r[0] for i, r in enumerate(before) if parts[i][1] == i]
+    before, out = kept["decontamination"]
+    assert {r[0] for r in out} == {r[0] for r in before if not brute_hits(r[1], [(1, item), (2, "short item")])[1]} and len(out) < len(before)
+    before, out = kept["mixing"]
+    words, taken = collections.Counter(), collections.Counter()
+    for counter, part in ((words, before), (taken, out)):
+        for r in part:
+            counter[r[3]] += len((r[1] or "").split())
+    assert max(collections.Counter(r[0] for r in out).values()) <= 2
+    assert all(abs(taken[s] - t) <= 0.02 * t + 2 for s, t in expected_targets(words).items())
+    before, out = kept["sharding"]
+    assert sorted(map(str, before)) == sorted(str(r[:5]) for r in out)
+    sizes = collections.Counter(r[5] for r in out)
+    assert sorted(sizes) == list(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert corpus_pipeline.run(spark, sf).count() == len(out)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
