@@ -127,7 +127,7 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
             odds = np.array([[evidence(model, v, i) for v, i in zip(VIEWS, idx, strict=True)] for idx in documents(batch, features)]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(odds[:, 0]), pa.array(odds[:, 1])], ["y", *VIEWS])
 
-    seen = rows.mapInArrow(measure, "y int, text double, meta double").toPandas()
+    seen = rows.mapInArrow(measure, "y int, text double, meta double").toPandas().sort_values(["y", *VIEWS])
     if len(seen) < 2:
         return model
     y = seen["y"].to_numpy()

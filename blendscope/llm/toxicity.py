@@ -156,18 +156,19 @@ def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = Grams()
     for batch in batches:
         rows = pa.array([grams.of(t.as_py()).astype(np.int32) for t in batch.column("text")], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("y"), rows], ["y", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("y"), rows], ["place", "y", "grams"])
 
 
 def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task: fit on four fifths of the sample, calibrate on the rest, emit the model (n-grams with a weight)."""
-    rows, y = [], []
+    rows, y, place = [], [], []
     for batch in batches:
+        place += batch.column("place").to_pylist()
         lists = batch.column("grams")
         values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
         rows += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         y += batch.column("y").to_pylist()
-    order = np.random.default_rng(0).permutation(len(y))
+    order = np.lexsort(([len(r) for r in rows], y, place))  # the same model whatever order the rows come in
     rows, y = [rows[i] for i in order], np.array(y, np.int32)[order]
     rest = np.arange(len(y)) % 5 == 4
     weights, intercept = fit([r for r, x in zip(rows, rest, strict=True) if not x], y[~rest])
@@ -187,7 +188,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000):
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     share = min(1.0, max_rows / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # bounded by max_rows
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(featurise, "y int, grams array<int>")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        F.xxhash64("doc_id").alias("place"), "text", "y").mapInArrow(featurise, "place long, y int, grams array<int>")
     model = sample.repartition(1).mapInArrow(  # the bounded sample meets in one task
         train, "used array<bigint>, weights array<float>, intercept double, slope double, shift double")
     return model.first()
