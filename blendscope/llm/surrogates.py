@@ -3,8 +3,9 @@
 E-mail and IP addresses, payment card and phone numbers, account numbers and titled names are found in whole texts.
 Each distinct entity gets one surrogate, derived from a keyed digest of its canonical form, so all its spellings in all
 documents are replaced alike. Surrogates keep type, script, case and format: letters become letters of the same script
-and case, digits digits, separators stay; card numbers keep a valid check digit, names the gender of their title.
-Surrogates that collide with each other or with an entity of the corpus are derived again.
+and case (Latin ones where the script is not listed), digits digits, separators stay; card numbers keep a valid check
+digit, names the gender of their title. Surrogates that collide with each other or with an entity of the corpus are
+derived again, longer with each fourth attempt, so that a free one exists however many entities there are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from blendscope.llm.shared import discard, stored
 
 #: What is taken for an entity, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@[\p{L}\p{M}\p{N}-]{1,63}(?:\.[\p{L}\p{M}\p{N}-]{1,63}){1,8}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -40,10 +41,20 @@ NAMES = {
     "cyrillic f": "Анна Вера Галина Дарья Елена Ирина Ксения Мария".split(),
 }
 SYLLABLES = {"latin": "ba be bo da de do ka ke ko la le lo ma me mo na".split(), "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на".split()}
-#: Letters by script, upper or lower case, as ranges of equal use.
+#: Replacements by script, upper or lower case; the first pattern that fits counts. Letters of other scripts become Latin
+#: letters, other numbers ASCII digits, combining marks go with the letter they belonged to.
 LETTERS = [(r"[a-z]", "abcdefghijklmnopqrstuvwxyz"), (r"[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\d", "0123456789"),
-           (r"[а-я]", "абвгдежзиклмнопрстуфхцчшщэюя"), (r"[А-Я]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"),
-           (r"[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"\p{Ll}", "àáâäåæçèéêëíîïñòóôöøùúûü"), (r"\p{Lu}", "ÀÁÂÄÅÆÇÈÉÊËÍÎÏÑÒÓÔÖØÙÚÛÜ")]
+           (r"[\p{IsCyrillic}&&\p{Ll}]", "абвгдежзиклмнопрстуфхцчшщэюя"), (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"),
+           (r"[\p{IsGreek}&&\p{Ll}]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+           (r"[\p{IsArmenian}&&\p{Ll}]", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"), (r"[\p{IsArmenian}&&\p{Lu}]", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՓՔՕՖ"),
+           (r"[\p{IsLatin}&&\p{Ll}]", "àáâäåæçèéêëíîïñòóôöøùúûü"), (r"[\p{IsLatin}&&\p{Lu}]", "ÀÁÂÄÅÆÇÈÉÊËÍÎÏÑÒÓÔÖØÙÚÛÜ"),
+           (r"\p{IsHan}", "丁三上下中久云五京仁今仙任伊伍会佐余作何冬冰几刘北十千卓南卢叶司吉吕吴周"), (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+           (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"), (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주"),
+           (r"[\p{IsArabic}&&\p{L}]", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"), (r"[\p{IsHebrew}&&\p{L}]", "אבגדהוזחטיכלמנסעפצקרשת"), (r"[\p{IsDevanagari}&&\p{L}]", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"),
+           (r"[\p{IsBengali}&&\p{L}]", "কখগঘচছজঝটঠডঢতথদধনপফবভমযরলশষসহ"), (r"[\p{IsTamil}&&\p{L}]", "கஙசஞடணதநபமயரலவழளறன"), (r"[\p{IsTelugu}&&\p{L}]", "కఖగఘచఛజఝటఠడఢతథదధనపఫబభమయరలవశషసహ"),
+           (r"[\p{IsThai}&&\p{L}]", "กขคงจฉชซญดตถทธนบปผฝพฟมยรลวสหอฮ"), (r"[\p{IsGeorgian}&&\p{L}]", "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"),
+           (r"[\u0660-\u0669]", "٠١٢٣٤٥٦٧٨٩"), (r"[\u06F0-\u06F9]", "۰۱۲۳۴۵۶۷۸۹"), (r"[\u0966-\u096F]", "०१२३४५६७८९"), (r"[\uFF10-\uFF19]", "０１２３４５６７８９"),
+           (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"), (r"\p{N}", "0123456789"), (r"\p{M}", "")]
 
 
 def literal(words: list[str]) -> Column:
@@ -85,7 +96,7 @@ def canonical(kind: Column, raw: Column) -> Column:
     )
 
 
-def draw(digest: Column, i: Column, n: int) -> Column:
+def draw(digest: Column, i: Column, n: int | Column) -> Column:
     """The i-th keyed number below n (16 bits each, repeating after a digest's 16)."""
     return (F.conv(F.substr(digest, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int") % n).cast("int")
 
@@ -93,56 +104,72 @@ def draw(digest: Column, i: Column, n: int) -> Column:
 def scrambled(word: Column, digest: Column) -> Column:
     """``word`` with every letter and digit replaced by one of its script and case."""
     def other(c, i):
-        out = c
-        for pattern, letters in reversed(LETTERS):
-            out = F.when(F.regexp_like(c, F.lit(f"^{pattern}$")), F.substr(F.lit(letters), draw(digest, i, len(letters)) + 1, F.lit(1))).otherwise(out)
-        return out
+        letters = F.lit(None).cast("string")
+        for pattern, some in reversed(LETTERS):
+            letters = F.when(F.regexp_like(c, F.lit(f"^{pattern}$")), F.lit(some)).otherwise(letters)
+        return F.when(letters.isNull(), c).when(letters == "", letters).otherwise(F.substr(letters, draw(digest, i, F.length(letters)) + 1, F.lit(1)))
 
     return F.array_join(F.transform(F.split(word, ""), other), "")
 
 
+def drawn(letters: str, digest: Column, n: Column) -> Column:
+    """``n`` keyed characters of ``letters``, independent of those that ``scrambled`` draws."""
+    further = F.sha2(F.concat(F.lit("more"), digest).cast("binary"), 256)
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.lit(letters), draw(further, i, len(letters)) + 1, F.lit(1))), "")).otherwise(F.lit(""))
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """Replacement of the canonical form."""
+    """Replacement of the canonical form, longer with each fourth attempt: numbers get digits more, addresses letters."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")).cast("binary"), 256)
-    number = F.concat(F.substr(canon, F.lit(1), F.lit(1)), scrambled(F.substr(canon, F.lit(2)), digest))
+    grow = F.floor(attempt / 4).cast("int")
+    more = drawn("0123456789", digest, grow)
+    number = F.concat(F.substr(canon, F.lit(1), F.lit(1)), more, scrambled(F.substr(canon, F.lit(2)), digest))
     bare = F.substr(number, F.lit(1), F.length(number) - 1)
     check = (10 - luhn_sum(F.concat(bare, F.lit("0"))) % 10) % 10
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: draw(digest, i, 256).cast("string")), ".")
+    groups = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.lower(F.conv(draw(digest, i, 65536).cast("string"), 10, 16))), ":")
+    block = F.when(grow == 0, F.lit("10.")).otherwise(F.concat((240 + draw(digest, F.lit(0), 16)).cast("string"), F.lit(".")))  # private, then reserved
     cyrillic = F.regexp_like(canon, F.lit(r"[а-яё]"))
     gender = F.substr(canon, F.lit(1), F.lit(1))
 
     def person(script: str) -> Column:
         given = F.when(gender == "f", F.element_at(literal(NAMES[f"{script} f"]), draw(digest, F.lit(0), len(NAMES[f"{script} f"])) + 1)).otherwise(
             F.element_at(literal(NAMES[f"{script} m"]), draw(digest, F.lit(0), len(NAMES[f"{script} m"])) + 1))
-        family = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + F.floor(attempt / 4).cast("int")),
+        family = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + grow),
                                           lambda i: F.element_at(literal(SYLLABLES[script]), draw(digest, i, 16) + 1)), "")
         words = F.size(F.split(canon, " "))  # gender, then one or two names
         return F.when(words > 2, F.concat(given, F.lit(" "), F.initcap(family))).otherwise(F.initcap(family))
 
+    def part(word: Column, digest: Column) -> Column:
+        """``word`` scrambled, or a new one if nothing in it can be."""
+        return F.when(F.regexp_like(word, F.lit(r"[\p{L}\p{N}]")), scrambled(word, digest)).otherwise(drawn(LETTERS[0][1], digest, F.lit(6)))
+
     user, host = F.regexp_extract(canon, r"^(.*)@", 1), F.regexp_extract(canon, r"@(.*)\.[^.]*$", 1)
     return (
         F.when(kind == "card", F.concat(bare, check.cast("string")))
-        .when(kind.isin("phone", "ssn"), scrambled(canon, digest))
-        .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), scrambled(F.substr(canon, F.lit(3)), digest)))
-        .when(kind == "ip", F.concat(F.lit("10."), octets))
+        .when(kind.isin("phone", "ssn"), F.concat(scrambled(canon, digest), more))
+        .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), scrambled(F.substr(canon, F.lit(3)), digest), more))
+        .when(kind == "ip", F.when(grow < 4, F.concat(block, octets)).otherwise(F.concat(F.lit("2001:db8:"), groups)))  # no free IPv4 address
         .when(kind == "name", F.when(cyrillic, person("cyrillic")).otherwise(person("latin")))
-        .otherwise(F.concat(scrambled(user, digest), F.lit("@"), scrambled(host, F.sha2(digest.cast("binary"), 256)), F.regexp_extract(canon, r"(\.[^.]*)$", 1)))
+        .otherwise(F.concat(drawn(LETTERS[0][1], digest, grow), part(user, digest), F.lit("@"), part(host, F.sha2(digest.cast("binary"), 256)),
+                            F.regexp_extract(canon, r"(\.[^.]*)$", 1)))
     )
 
 
-def in_format(kind: Column, raw: Column, sur: Column) -> Column:
-    """The surrogate written the way ``raw`` was: its separators, its country prefix, its title, its capitals."""
-    count = F.length(digits(raw))
-    prefix = F.substr(digits(raw), F.lit(1), count - F.length(sur))
+def in_format(kind: Column, raw: Column, canon: Column, sur: Column) -> Column:
+    """The surrogate written the way ``raw`` was: its separators, its country prefix, its title, its capitals. What is
+    longer than ``raw`` follows at the end of a number and stands in front of an address."""
+    prefix = F.substr(digits(raw), F.lit(1), F.length(digits(raw)) - F.length(canon))
     source = F.concat(F.when(kind == "phone", prefix).otherwise(F.lit("")), sur)
     slots = F.when(kind == "iban", F.lit(r"[A-Z0-9]")).otherwise(F.lit(r"\d"))
-    filled = F.aggregate(
+    slotted = F.aggregate(
         F.split(raw, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")),
         lambda s, c: F.when(F.regexp_like(c, slots), F.struct(F.concat(s["out"], F.substr(source, s["i"], F.lit(1))).alias("out"), (s["i"] + 1).alias("i")))
         .otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))),
-    )["out"]
+    )
+    filled = F.concat(slotted["out"], F.substr(source, slotted["i"]))
     shown = F.when(raw == F.upper(raw), F.upper(sur)).otherwise(sur)
-    cased = F.array_join(F.zip_with(F.split(raw, ""), F.split(sur, ""), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(b)), "")
+    cased = F.reverse(F.array_join(F.zip_with(F.split(F.reverse(raw), ""), F.split(F.reverse(sur), ""), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(b)), ""))
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), filled)
         .when(kind == "name", F.concat(F.regexp_extract(raw, TITLE, 0), shown))
@@ -194,7 +221,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = stored(found, "entities")
     table = surrogate_table(found.select("kind", "canon").distinct(), key)
     changes = (
-        found.join(table, ["kind", "canon"]).select("id", F.struct("raw", in_format(kind, raw, F.col("sur")).alias("new")).alias("change"))
+        found.join(table, ["kind", "canon"]).select("id", F.struct("raw", in_format(kind, raw, F.col("canon"), F.col("sur")).alias("new")).alias("change"))
         .groupBy("id").agg(F.map_from_entries(F.collect_list("change")).alias("changes"))
     )  # one map per distinct text, of its own entities
     mark = f"_{uuid.uuid4().hex}"

@@ -140,6 +140,35 @@ def test_surrogates_are_distinct(spark):
     assert len({r.text for r in out}) == len(names) and not {r.text for r in out} & set(names)
 
 
+def test_addresses_of_every_script_and_full_spaces(spark):
+    strange = ["张伟@example.com", "张伟@例子.公司", "-@-.-", "+.%@example.org", "यश@example.in", "ณัฐ@example.th", "ⲁⲃ@example.org", "٣٤@example.org", "ёжик@пример.рф"]
+    short = [f"{a}@{b}.xy" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]  # every two-letter form is taken
+    docs = frame(spark, [(i, f"to {p} end", None, None, None) for i, p in enumerate(strange + short)] + [(9999, "to A@B.XY end", None, None, None)])
+    out = {r.doc_id: r.text.removeprefix("to ").removesuffix(" end") for r in surrogates.pseudonymise(docs, "k").collect()}
+    for i, p in enumerate(strange):
+        user, new = p.split("@")[0], out[i].split("@")[0]
+        assert user not in new, (p, out[i])
+        assert out[i] != p and out[i].split(".")[-1] == p.split(".")[-1]
+    assert re.fullmatch(r"[\u4e00-\u9fff]{2}@[a-z]{7}\.com", out[0]) and re.fullmatch(r"[\u4e00-\u9fff]{2}@[\u4e00-\u9fff]{2}\.公司", out[1])
+    assert re.fullmatch(r"[а-я]{4}@[а-я]{6}\.рф", out[8]) and re.fullmatch(r"[a-z]{6}@[a-z]{6}\.-", out[2])
+    new = [out[i + len(strange)] for i in range(len(short))]
+    assert len(set(new)) == len(short) and not set(new) & set(short)
+    assert out[9999].lower() == new[short.index("a@b.xy")]
+
+
+def test_surrogates_grow_when_their_space_is_full(spark):
+    rows = [("phone", "6635556869"), ("ssn", "078051120"), ("card", "4316522678525456"), ("iban", "DE89370400440532013000"), ("ip", "84.93.123.184"), ("email", "a@b.xy")]
+    df = spark.createDataFrame(rows, "kind string, canon string").crossJoin(spark.range(30).select(F.col("id").cast("int").alias("attempt")))
+    got = df.withColumn("sur", surrogates.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "k"))
+    got = got.withColumn("shown", surrogates.in_format(F.col("kind"), F.when(F.col("kind") == "phone", F.lit("+1 (663) 555-6869")).otherwise(F.col("canon")), F.col("canon"), F.col("sur"))).collect()
+    for kind, canon in rows:
+        mine = {r.attempt: r for r in got if r.kind == kind}
+        assert len({r.shown for r in mine.values()}) == 30, kind  # nothing of the longer form is lost in the format
+        if kind != "ip":
+            assert len(mine[0].sur) == len(canon) and len(mine[29].sur) == len(canon) + 7
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{11}", next(r.shown for r in got if r.kind == "phone" and r.attempt == 29))
+
+
 # -- classifiers
 
 def labelled(spark, rng, n):
