@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 
 from blendscope.llm.shared import discard, stored
 
+#: Titles by gender, particles, and the words of a name (initials, hyphens, apostrophes, inner capitals).
+FEMALE = "Mrs|Ms|Miss|Madam|Lady|Dame|Frau|Madame|Mademoiselle|Mme|Mlle|Se\xF1ora|Se\xF1orita|Sra|Srta|Signora|Госпожа|[Гг]-жа"
+MALE = "Mr|Sir|Lord|Herrn?|Monsieur|Se\xF1or|Sr|Signor|Господин|[Гг]-н"
+TITLES = f"(?:(?:{FEMALE}|{MALE}|Mx|Dr|Prof|Professor|Doctor|Doktor|Rev|Reverend|Capt|Captain|Доктор|Профессор)\\.? ){{1,4}}"
+PARTICLES = r"(?:(?:von|van|der|den|de|del|della|di|da|dos|du|la|le|zu|bin|ibn|al|el) ){0,3}"
+WORD = PARTICLES + r"(?:\p{Lu}\. ?){0,3}" + PARTICLES + r"\p{Lu}(?:[\p{L}\p{M}]+|(?=['\u2019-]\p{L}))(?:['\u2019-](?![sS](?!\p{L}))\p{L}[\p{L}\p{M}]*){0,8}"
+HEX = "[0-9A-Fa-f]{1,4}"
 #: What is taken for an entity, in order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@[\p{L}\p{M}\p{N}-]{1,63}(?:\.[\p{L}\p{M}\p{N}-]{1,63}){1,8}",
@@ -24,14 +31,15 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
-    "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![.-]?\d)",
-    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Se\x{F1}ora?|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{434}\x{438}\x{43D}|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{436}\x{430})\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "phone": r"(?<![\d+(])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}|0\d(?:[ .-]\d{2}){4}"
+             r"|\+(?=(?:[ .()-]{0,2}\d){8,15}(?![.-]?\d))\d{1,3}(?:[ .-]?\(?\d{1,12}\)?){1,6})(?![.-]?\d)",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:]|\.\d)",
+    "name": rf"(?<!\p{{L}}){TITLES}{WORD}(?: {WORD}){{0,2}}(?![\p{{L}}\p{{M}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no entity.
-HINT = r"[@0-9]|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Se\x{F1}or|\x{413}\x{43E}\x{441}\x{43F}\x{43E}"
-TITLE = r"^\S+ "
-FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Se\x{F1}ora|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{436}\x{430})\b"
+HINT = rf"[@0-9]|(?<!\p{{L}}){TITLES}"
+TITLE = f"^{TITLES}"
 
 #: Given names by gender and script.
 NAMES = {
@@ -84,6 +92,18 @@ def kind_of(raw: Column) -> Column:
     return out
 
 
+def gender_of(raw: Column) -> Column:
+    """Gender of a name's titles, n if they have none."""
+    title = F.regexp_extract(raw, TITLE, 0)
+    return F.when(F.regexp_like(title, F.lit(rf"(?:^| )(?:{FEMALE})\.? ")), F.lit("f")).when(F.regexp_like(title, F.lit(rf"(?:^| )(?:{MALE})\.? ")), F.lit("m")).otherwise(F.lit("n"))
+
+
+def bare_name(raw: Column) -> Column:
+    """Lower-case name without titles and particles."""
+    spaced = F.regexp_replace(F.regexp_replace(raw, TITLE, ""), r"\. ?", ". ")
+    return F.lower(F.regexp_replace(spaced, rf"(?<!\S){PARTICLES}", ""))
+
+
 def canonical(kind: Column, raw: Column) -> Column:
     """One form for all spellings of an entity: digits of numbers, lower case of addresses and names without title."""
     number = digits(raw)
@@ -91,7 +111,7 @@ def canonical(kind: Column, raw: Column) -> Column:
         F.when(kind.isin("card", "ssn"), number)
         .when(kind == "phone", F.regexp_replace(number, r"^1(?=\d{10}$)", ""))
         .when(kind == "iban", F.upper(F.regexp_replace(raw, " ", "")))
-        .when(kind == "name", F.concat(F.when(F.regexp_like(raw, F.lit(FEMALE)), F.lit("f ")).otherwise(F.lit("m ")), F.lower(F.regexp_replace(raw, TITLE, ""))))
+        .when(kind == "name", F.concat(gender_of(raw), F.lit(" "), bare_name(raw)))
         .otherwise(F.lower(raw))
     )
 
@@ -118,8 +138,10 @@ def drawn(letters: str, digest: Column, n: Column) -> Column:
     return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.lit(letters), draw(further, i, len(letters)) + 1, F.lit(1))), "")).otherwise(F.lit(""))
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """Replacement of the canonical form, longer with each fourth attempt: numbers get digits more, addresses letters."""
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str, base: Column | None = None) -> Column:
+    """Replacement of the canonical form, longer with each fourth attempt: numbers get digits more, addresses letters.
+    ``base`` is the surrogate of a full name's family."""
+    base = F.lit(None).cast("string") if base is None else base
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")).cast("binary"), 256)
     grow = F.floor(attempt / 4).cast("int")
     more = drawn("0123456789", digest, grow)
@@ -132,13 +154,15 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     cyrillic = F.regexp_like(canon, F.lit(r"[а-яё]"))
     gender = F.substr(canon, F.lit(1), F.lit(1))
 
-    def person(script: str) -> Column:
-        given = F.when(gender == "f", F.element_at(literal(NAMES[f"{script} f"]), draw(digest, F.lit(0), len(NAMES[f"{script} f"])) + 1)).otherwise(
-            F.element_at(literal(NAMES[f"{script} m"]), draw(digest, F.lit(0), len(NAMES[f"{script} m"])) + 1))
-        family = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + grow),
-                                          lambda i: F.element_at(literal(SYLLABLES[script]), draw(digest, i, 16) + 1)), "")
-        words = F.size(F.split(canon, " "))  # gender, then one or two names
-        return F.when(words > 2, F.concat(given, F.lit(" "), F.initcap(family))).otherwise(F.initcap(family))
+    def family(script: str) -> Column:
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3) + grow), lambda i: F.element_at(literal(SYLLABLES[script]), draw(digest, i, 16) + 1)), ""))
+
+    def given(script: str) -> Column:
+        men, women = NAMES[f"{script} m"], NAMES[f"{script} f"]
+        first = F.when(gender == "m", F.element_at(literal(men), draw(digest, F.lit(0), len(men)) + 1)).when(
+            gender == "f", F.element_at(literal(women), draw(digest, F.lit(0), len(women)) + 1)).otherwise(
+            F.element_at(literal(men + women), draw(digest, F.lit(0), len(men + women)) + 1))
+        return F.when(attempt == 0, first).otherwise(F.concat(first, F.lit("-"), family(script)))  # few given names, so a second one
 
     def part(word: Column, digest: Column) -> Column:
         """``word`` scrambled, or a new one if nothing in it can be."""
@@ -150,7 +174,9 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         .when(kind.isin("phone", "ssn"), F.concat(scrambled(canon, digest), more))
         .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), scrambled(F.substr(canon, F.lit(3)), digest), more))
         .when(kind == "ip", F.when(grow < 4, F.concat(block, octets)).otherwise(F.concat(F.lit("2001:db8:"), groups)))  # no free IPv4 address
-        .when(kind == "name", F.when(cyrillic, person("cyrillic")).otherwise(person("latin")))
+        .when(kind == "ipv6", F.concat(F.lit("2001:db8:"), groups))
+        .when(kind == "family", F.when(cyrillic, family("cyrillic")).otherwise(family("latin")))
+        .when(kind == "name", F.concat(F.when(cyrillic, given("cyrillic")).otherwise(given("latin")), F.lit(" "), base))
         .otherwise(F.concat(drawn(LETTERS[0][1], digest, grow), part(user, digest), F.lit("@"), part(host, F.sha2(digest.cast("binary"), 256)),
                             F.regexp_extract(canon, r"(\.[^.]*)$", 1)))
     )
@@ -172,17 +198,17 @@ def in_format(kind: Column, raw: Column, canon: Column, sur: Column) -> Column:
     cased = F.reverse(F.array_join(F.zip_with(F.split(F.reverse(raw), ""), F.split(F.reverse(sur), ""), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(b)), ""))
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), filled)
-        .when(kind == "name", F.concat(F.regexp_extract(raw, TITLE, 0), shown))
+        .when(kind.isin("name", "family"), F.concat(F.regexp_extract(raw, TITLE, 0), sur))
         .when(kind == "email", cased)
         .otherwise(shown)
     )
 
 
 def surrogate_table(entities: DataFrame, key: str, rounds: int = 30) -> DataFrame:
-    """Stored ``kind, canon, sur`` of distinct entities (``kind, canon``): no two of a kind share a surrogate, and no
+    """Stored ``kind, canon, sur`` of distinct entities (``kind, canon, base``): no two of a kind share a surrogate, and no
     surrogate is an entity. Entities that clash (all but the smallest) are derived again with the next attempt."""
     def derived(df: DataFrame) -> DataFrame:
-        return df.withColumn("sur", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        return df.withColumn("sur", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key, F.col("base")))
 
     state = stored(derived(entities.withColumn("attempt", F.lit(0))), "surrogates")
     taken = entities.select("kind", F.when(F.col("kind") == "name", F.substr("canon", F.lit(3))).otherwise(F.col("canon")).alias("form")).distinct()
@@ -194,7 +220,7 @@ def surrogate_table(entities: DataFrame, key: str, rounds: int = 30) -> DataFram
             .join(first, ["kind", "sur"], "left")
             .withColumn("again", F.coalesce(F.col("real"), F.lit(False)) | F.coalesce(F.col("canon") != F.col("first"), F.lit(False)))
         )
-        after = stored(derived(marked.select("kind", "canon", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "again")), "surrogates")
+        after = stored(derived(marked.select("kind", "canon", "base", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "again")), "surrogates")
         settled = after.filter("again").limit(1).count() == 0
         discard(state)
         state = after.drop("again")
@@ -218,15 +244,37 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         .groupBy("id", "raw").agg(F.lit(1).alias("one")).select("id", "raw", kind_of(raw).alias("kind")).filter("kind is not null")
         .withColumn("canon", canonical(kind, raw))
     )
-    found = stored(found, "entities")
-    table = surrogate_table(found.select("kind", "canon").distinct(), key)
+    bare, family = F.substr("canon", F.lit(3)), F.regexp_extract("canon", r"(\S+)$", 1)
+    found = stored(found.withColumn("kind", F.when((kind == "name") & ~F.contains(bare, F.lit(" ")), F.lit("family")).otherwise(kind))
+                   .withColumn("canon", F.when(kind == "family", bare).otherwise(F.col("canon"))), "entities")
+    full = found.filter("kind = 'name'")
+    owners = full.groupBy(bare.alias("bare")).agg(F.min(F.substr("canon", F.lit(1), F.lit(1))).alias("g"))  # f, m, then n
+    full = full.withColumn("bare", bare).join(owners, "bare").withColumn("canon", F.when(F.col("canon").startswith("n "), F.concat("g", F.lit(" "), "bare")).otherwise(F.col("canon")))
+    found = found.filter("kind <> 'name'").unionByName(full.select(found.columns))
+    people = found.filter("kind in ('name', 'family')").select(F.lit("family").alias("kind"), family.alias("canon")).distinct()
+    families = surrogate_table(people.withColumn("base", F.lit(None).cast("string")), key)
+    of_family = families.select(F.col("canon").alias("family"), F.col("sur").alias("base"))
+    rest = found.filter("kind <> 'family'").select("kind", "canon").distinct().withColumn("family", F.when(kind == "name", family))
+    table = surrogate_table(rest.join(of_family, "family", "left").select("kind", "canon", "base"), key).unionByName(families)
+    plain, sur = F.regexp_replace("raw", TITLE, ""), F.col("sur")  # names are also replaced where their title is missing
+    forms = F.when(kind.isin("name", "family"), F.array(
+        F.struct(plain.alias("raw"), sur.alias("new"), F.lit(True).alias("mention")),
+        F.struct(F.regexp_extract(plain, r"([^ .]+)$", 1).alias("raw"), F.regexp_extract(sur, r"(\S+)$", 1).alias("new"), F.lit(True).alias("mention")))
+    ).otherwise(F.array().cast("array<struct<raw:string,new:string,mention:boolean>>"))
+    spelled = F.struct("raw", in_format(kind, raw, F.col("canon"), sur).alias("new"), F.lit(False).alias("mention"))
+    change = F.struct("raw", "new")
     changes = (
-        found.join(table, ["kind", "canon"]).select("id", F.struct("raw", in_format(kind, raw, F.col("canon"), F.col("sur")).alias("new")).alias("change"))
-        .groupBy("id").agg(F.map_from_entries(F.collect_list("change")).alias("changes"))
+        found.join(table, ["kind", "canon"]).select("id", F.inline(F.concat(F.array(spelled), forms)))
+        .groupBy("id", "raw").agg(F.min("new").alias("new"), F.max("mention").alias("mention"))
+        .groupBy("id").agg(F.map_from_entries(F.collect_list(change)).alias("changes"), F.collect_list(F.when(F.col("mention"), F.col("raw"))).alias("mentions"))
     )  # one map per distinct text, of its own entities
+    longest = F.reverse(F.array_sort(F.transform("mentions", lambda m: F.struct(F.length(m).alias("n"), m.alias("m")))))
+    changes = changes.withColumn("search", F.when(F.size("mentions") > 0, F.concat(
+        F.lit(ANY + r"|(?<![\p{L}\p{M}])(?:\Q"), F.array_join(F.transform(longest, lambda x: x["m"]), r"\E|\Q"), F.lit(r"\E)(?![\p{L}\p{M}]|-\p{L})"))))
     mark = f"_{uuid.uuid4().hex}"
-    changes = changes.select(F.col("id").alias(f"{mark}_id"), F.col("changes").alias(f"{mark}_changes"))
-    map_of, parts, hits = F.col(f"{mark}_changes"), F.split(body, ANY, -1), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
+    changes = changes.select(F.col("id").alias(f"{mark}_id"), F.col("changes").alias(f"{mark}_changes"), F.col("search").alias(f"{mark}_search"))
+    search = F.coalesce(F.col(f"{mark}_search"), F.lit(ANY))
+    map_of, parts, hits = F.col(f"{mark}_changes"), F.split(body, search, -1), F.regexp_extract_all(body, search, F.lit(0))
     new = F.array_join(F.zip_with(parts, hits, lambda p, r: F.concat(p, F.coalesce(map_of[r], r, F.lit("")))), "")
     count = F.size(F.filter(hits, lambda r: F.map_contains_key(map_of, r))).cast("long")
 

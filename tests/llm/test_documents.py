@@ -169,6 +169,22 @@ def test_surrogates_grow_when_their_space_is_full(spark):
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{11}", next(r.shown for r in got if r.kind == "phone" and r.attempt == 29))
 
 
+def test_wider_names_numbers_and_coreference(spark):
+    gone = ["(555)123-4567", "+14155552671", "06 12 34 56 78", "+33 1 23 45 67 89", "2001:db8::8a2e:370:7334", "fe80:0:0:0:1:2:3:4"]
+    names = ["Mr McDonald", "Mrs Smith-Jones", "Mr O'Neil", "Herr Dr. Ludwig von Berg", "Dr J. Roe"]
+    texts = [f"at {g} end" for g in gone] + [f"now {n}'s day" for n in names]
+    texts += ["Mr John Smith came. Then John Smith left, and Smith slept. Blacksmith Smithson", "Mr Smith", "Dr Jane Roe; Ms Jane Roe; Jane Roe", "12:34:56 std::vector", "Mr " * 20_000 + "x", "Mr A" + "-b" * 20_000]  # the last two: no deep recursion
+    out = [r.text for r in surrogates.pseudonymise(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), "k").orderBy("doc_id").collect()]
+    for i, g in enumerate(gone):
+        assert out[i].startswith("at ") and out[i].endswith(" end") and g not in out[i], out[i]
+    for i, n in enumerate(names, len(gone)):
+        assert re.fullmatch(r"now (?:Mr|Mrs|Herr Dr\.|Dr) [\w-]+(?: \w+)?'s day", out[i]) and not any(w in out[i] for w in ("Donald", "Jones", "Neil", "Ludwig", "Berg", "Roe")), out[i]
+    given, family, rest = re.fullmatch(r"Mr (\w+) (\w+) came\. Then (.*)", out[11]).groups()
+    assert rest == f"{given} {family} left, and {family} slept. Blacksmith Smithson" and out[12] == f"Mr {family}"
+    one = re.fullmatch(r"Dr (\w+ \w+); Ms (\w+ \w+); (\w+ \w+)", out[13]).groups()
+    assert len(set(one)) == 1 and one[0].split()[0] in surrogates.NAMES["latin f"] and out[14] == texts[14]
+
+
 # -- classifiers
 
 def labelled(spark, rng, n):
