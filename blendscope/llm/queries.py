@@ -163,3 +163,6 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = tables(spark, sf_dir)
     languages, model = language.train_language(read("documents"))
     return language.identify(read("pages"), languages, model).select("page_id", "host", "declared", "text_lang", "lang", "probability")
+
+
+from blendscope.llm import text_queries  # noqa: E402,F401  (registers its queries here)

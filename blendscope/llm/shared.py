@@ -69,8 +69,9 @@ def replace_columns(df: DataFrame, row: str, **new: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in new.items()])
 
 
-def lookup(docs: DataFrame, key: Column, table: DataFrame, on: str, **new) -> DataFrame:
-    """``docs`` with columns from the row of ``table`` whose ``on`` equals ``key``; rows without one are left out.
+def lookup(docs: DataFrame, key: Column, table: DataFrame, on: str, how: str = "inner", **new) -> DataFrame:
+    """``docs`` with columns from the row of ``table`` whose ``on`` equals ``key``; rows without one are left out, or
+    have nulls there with ``how="left"``.
 
     ``new`` maps a name to a function of a getter of the table's columns. The columns of ``docs`` pass the join as they
     are, so those that nothing reads afterwards are not shuffled. Existing columns of the same names give way.
@@ -78,7 +79,7 @@ def lookup(docs: DataFrame, key: Column, table: DataFrame, on: str, **new) -> Da
     mark = f"_{uuid.uuid4().hex}_"
     names = {n.lower() for n in new}
     other = table.select(*[F.col(f"`{c}`").alias(mark + c) for c in table.columns])
-    both = docs.withColumn(mark, key).join(other, F.col(mark) == F.col(mark + on))
+    both = docs.withColumn(mark, key).join(other, F.col(mark) == F.col(mark + on), how)
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
     return both.select(*kept, *[f(lambda c: F.col(mark + c)).alias(n) for n, f in new.items()])
 
