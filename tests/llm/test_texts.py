@@ -134,11 +134,48 @@ def test_decontamination_without_items_or_documents(spark):
     assert decontamination.decontaminate(frame(spark, []), full).count() == 0
 
 
+def test_windows_of_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (2, "delta beta gamma"), (None, "Delta beta gamma")], "item_id long, text string")
+    docs = ["alpha beta gamma x", "delta beta gamma", "beta gamma"]
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontamination.decontaminate(frame(spark, docs), bench, 10).collect()}
+    assert got == {0: (3, []), 1: (3, ["2"]), 2: (0, [])}
+
+
 def test_proximity_matches(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    docs = frame(spark, ["alpha x beta gamma", "alpha beta gamma", "alpha x x x beta gamma", "gamma", "alpha beta"])
+    docs = frame(spark, ["alpha x beta gamma", "alpha beta gamma", "alpha x x x beta gamma", "gamma", "alpha beta", "beta alpha gamma"])
     near = {r.doc_id: r.n_hit > 0 for r in decontamination.decontaminate(docs, bench, 3, slop=1).collect()}
-    assert near == {0: True, 1: True, 2: False, 3: False, 4: False}
+    assert near == {0: True, 1: True, 2: False, 3: False, 4: False, 5: True}
+
+
+def brute_near(text, items, width, slop):
+    w, hit, found = (text or "").split(), set(), set()
+    for item, t in items:
+        q = t.split()
+        for k in range(max(1, len(q) - width + 1)):
+            p = q[k:k + width]
+            for start in range(-len(p) - slop, len(w) + slop + 1):
+                if all(any(0 <= x < len(w) and w[x] == term for x in range(start + j - slop, start + j + slop + 1)) for j, term in enumerate(p)):
+                    hit |= {x for x in range(start, start + len(p)) if 0 <= x < len(w)}
+                    found.add(str(item))
+    return len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("slop,segment_words,block_words,index_terms", [(1, 1 << 19, 500_000, 10), (2, 40, 30, 1_000), (3, 1, 30, 2), (0, 60, 25, 2)])
+def test_proximity_against_brute_force(spark, monkeypatch, slop, segment_words, block_words, index_terms):
+    """Results do not depend on how documents lie in segments or phrases in blocks; matches at the edges count."""
+    for name, value in (("SEGMENT_WORDS", segment_words), ("BLOCK_WORDS", block_words), ("INDEX_TERMS", index_terms)):
+        monkeypatch.setattr(decontamination, name, value)
+    rng = random.Random(slop)
+    items = [(i, " ".join(rng.choice("abcdefghi") for _ in range(rng.randrange(1, 9)))) for i in range(6)]
+    docs = [None, "", "a"] + [" ".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(1, 25))) for _ in range(80)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    total = 0
+    for r in decontamination.decontaminate(frame(spark, docs).repartition(3), bench, 4, slop=slop).collect():
+        n, found = brute_near(docs[r.doc_id], items, 4, slop)
+        assert (r.n_hit, list(r["items"])) == (n, found), (docs[r.doc_id], items)
+        total += n
+    assert total > 5 or slop == 0
 
 
 def test_token_counts_equal_the_library_and_reuse_the_cache(spark, tmp_path):
