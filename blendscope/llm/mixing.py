@@ -4,15 +4,16 @@ Each source must contribute a target number of tokens, and no document more than
 with these sums the ones nearest to the base rate in (two-sided) relative entropy are
 ``ceiling / (1 + exp(-lambda_source * size / mean size))``: an exponential tilt of the odds of a copy. The multipliers
 are the solution of the convex dual, found by Newton steps whose gradient and curvature are grouped sums. Rates are
-rounded to copies by a hash of the document, and what rounding leaves open in a source is closed on a short ladder of
-its documents, a few of each size class.
+rounded systematically: over the sizes of a source in rising order the running sum of the rates is rounded, which says
+how many copies each size gets in all. What the sizes before leave open is carried on, so a source misses its target
+by about one document however many it has. Of the rows of a size those with the smallest hashes get the copy more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blendscope.llm.shared import WORD, discard, numbered, replace_columns, stored
@@ -89,57 +90,82 @@ def tilted(lam: Column, size: Column, mean: Column, ceiling: float) -> Column:
         F.lit(float(ceiling)) / (1 + F.exp(-F.coalesce(F.try_divide(lam * size, mean), F.lit(0.0)))))
 
 
-def corrections(rounded: DataFrame, per_class: int = 8) -> DataFrame:
-    """Documents that get one copy more or less, so that each source ends next to its target.
+#: Rows of one size that are sorted to find a hash threshold, about.
+BUCKET_ROWS = 1024
 
-    ``rounded`` has one row per distinct document: source, key, tokens of all its rows, copies, target. For every
-    source, power-of-two size class and direction the documents with the smallest hash of each of ``per_class`` slots
-    form the ladder (its length does not grow with the input). Larger steps are tried first; a step is taken when it
-    reduces what is open. Steps that one source takes: at most the length of its ladder.
+
+def allotments(hist: DataFrame, state: DataFrame, ceiling: int) -> DataFrame:
+    """Copies of each size of a source: ``base`` for every row and one more for ``more`` of its ``n`` rows."""
+    rate = tilted(F.col("lam"), F.col("size"), F.col("total") / F.col("docs"), ceiling)
+    upto = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy(*KEY).orderBy("size"))
+    rated = hist.join(state, KEY).withColumn("rate", rate).withColumn("upto", upto)
+    whole = F.floor(F.col("upto") + 0.5) - F.floor(F.greatest(F.col("upto") - F.col("n") * F.col("rate"), F.lit(0.0)) + 0.5)
+    base = F.floor("rate")
+    more = F.greatest(F.lit(0), F.least(F.col("n"), whole - F.col("n") * base))
+    full = more == F.col("n")  # all of them: one more is the base
+    return rated.select(*KEY, "size", "n", "total", "target", "rate", (base + F.when(full, 1).otherwise(0)).cast("int").alias("base"),
+                        F.when(full, 0).otherwise(more).cast("long").alias("more"))
+
+
+def thresholds(slim: DataFrame, allotted: DataFrame) -> DataFrame:
+    """The row hash up to which the rows of a size get one copy more: ``last``, and of its ``last_n`` equal rows the
+    number ``rest`` that get it.
+
+    Found by counting: hashes fall into buckets of about BUCKET_ROWS rows, and only the bucket that holds the threshold
+    is sorted, so no size needs all its rows in one task.
     """
-    sums = rounded.groupBy(*KEY).agg((F.first("target") - F.sum(F.col("copies") * F.col("tokens"))).alias("open"))
-    h = F.xxhash64(F.lit(3), "key")
-    ladder = (
-        rounded.filter("tokens > 0")
-        .select(*KEY, "key", "tokens", F.explode(F.array_compact(F.array(F.when(F.col("copies") < F.col("most"), 1), F.when(F.col("copies") > 0, -1)))).alias("way"),
-                F.floor(F.log2("tokens")).alias("scale"), F.pmod(h, F.lit(per_class)).alias("lane"), h.alias("h"))
-        .groupBy(*KEY, "way", "scale", "lane").agg(F.min(F.struct("h", "key", "tokens")).alias("pick"))
-        .groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(F.col("pick.tokens").alias("tokens"), "way", F.col("pick.key").alias("key"))), asc=False).alias("steps"))
+    group = [*KEY, "size"]
+    part = F.floor((F.col("key").cast("double") / 2.0 ** 64 + 0.5) * F.ceil(F.col("of") / BUCKET_ROWS)).alias("bucket")
+    rows = slim.join(allotted.filter("more > 0").select(*group, F.col("n").alias("of"), "more"), group).select(*group, "key", "n", "more", part)
+    before = F.sum("c").over(Window.partitionBy(*group).orderBy("bucket")) - F.col("c")
+    held = (
+        rows.groupBy(*group, "bucket").agg(F.sum("n").alias("c"), F.first("more").alias("more")).withColumn("before", before)
+        .filter((F.col("before") < F.col("more")) & (F.col("more") <= F.col("before") + F.col("c"))).select(*group, "bucket", "before")
     )
-    walk = F.aggregate(
-        "steps",
-        F.struct(F.col("open").alias("open"), F.array().cast("array<struct<key:bigint,way:int>>").alias("taken")),
-        lambda acc, e: F.when(
-            (e["way"] * acc["open"] > 0) & (e["tokens"] < 2 * F.abs(acc["open"])) & ~F.exists(acc["taken"], lambda t: t["key"] == e["key"]),
-            F.struct((acc["open"] - e["way"] * e["tokens"]).alias("open"),
-                     F.concat(acc["taken"], F.array(F.struct(e["key"].alias("key"), e["way"].alias("way")))).alias("taken")),
-        ).otherwise(acc),
+    rest = F.col("more") - F.col("before") - F.sum("n").over(Window.partitionBy(*group).orderBy("key")) + F.col("n")
+    return (
+        rows.join(held, [*group, "bucket"]).withColumn("rest", rest).filter((F.col("rest") > 0) & (F.col("rest") <= F.col("n")))
+        .select(*group, F.col("key").alias("last"), F.col("n").alias("last_n"), "rest")
     )
-    return sums.join(ladder, KEY).select(*KEY, F.inline(walk["taken"]))
+
+
+def first_of_equal(rows: DataFrame) -> DataFrame:
+    """``rows`` (equal ones share ``key``, ``rest`` and much else) with ``one_more`` for the first ``rest`` of a key.
+
+    Rows are numbered over range partitions that also split a key, so it may hold any number of rows."""
+    placed = numbered(rows.withColumn("_order", F.monotonically_increasing_id()), F.col("key"), F.col("_order"))
+    begins = placed.groupBy("key").agg(F.min("position").alias("_begin"))
+    return placed.join(begins, "key").withColumn("one_more", F.col("position") - F.col("_begin") < F.col("rest")).drop("_order", "position", "_begin")
 
 
 def mix_sources(docs: DataFrame, size: Column, source: str = "source", weights: Sequence[float] = (3, 1, 2),
                 share: float = 1.5, ceiling: int = 2, seed: int = 5) -> DataFrame:
     """``docs`` with ``size, source_size, target, rate, copies, taken`` (tokens the mix takes, repeats counted).
 
-    Null sources form a source of their own. Documents without tokens give none whatever their copies. Equal rows get
-    equal copies. All numbers depend on the rows alone, so reruns agree. An empty table gives an empty result; input
-    columns with the names of the new ones are replaced.
+    Null sources form a source of their own. Documents without tokens give none whatever their copies. Rows that are
+    equal in all columns are rounded one by one, so that a much repeated row meets the target like others; which of
+    them get the copy more does not show in the result. All numbers depend on the rows alone, so reruns agree. An empty
+    table gives an empty result; input columns with the names of the new ones are replaced.
     """
     keyed = docs.select(
         F.struct("*").alias("row"), F.coalesce(F.col(source), F.lit("")).alias("s"), F.col(source).isNull().alias("s_null"),
-        size.alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"))
+        size.alias("size"), F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]).alias("key"))
     slim = stored(keyed.groupBy(*KEY, "key", "size").agg(F.count("*").alias("n")), "mix-slim")
     hist = stored(slim.groupBy(*KEY, "size").agg(F.sum("n").alias("n")), "mix-sizes")
     totals = hist.groupBy(*KEY).agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("total"))
     state = balance(hist, source_targets(totals, weights, share, ceiling), ceiling)
 
-    chance = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 32)) / float(1 << 32)
-    rate = tilted(F.col("lam"), F.col("size"), F.col("total") / F.col("docs"), ceiling)
-    copies = F.floor(rate + chance).cast("int")
-    rounded = slim.join(state, KEY).select(*KEY, "key", (F.col("size") * F.col("n")).alias("tokens"), "target",
-                                           copies.alias("copies"), F.lit(ceiling).alias("most"))
-    fixes = stored(corrections(rounded), "mix-fixes")
-    mixed = keyed.join(state, KEY).join(fixes, [*KEY, "key"], "left").withColumn("copies", copies + F.coalesce("way", F.lit(0)))
-    return replace_columns(mixed, "row", size=F.col("size"), source_size=F.col("total"), target=F.col("target"), rate=rate,
-                           copies=F.col("copies"), taken=F.col("copies") * F.col("size"))
+    group = [*KEY, "size"]
+    allotted = stored(allotments(hist, state, ceiling), "mix-allotted")
+    cuts = stored(allotted.drop("n").join(thresholds(slim, allotted), group, "left"), "mix-cuts")
+    discard(slim, hist, state, allotted)
+    rated = keyed.join(cuts, group)
+    split = (F.col("key") == F.col("last")) & (F.col("rest") < F.col("last_n"))
+    if not cuts.filter("rest < last_n").isEmpty():  # one of several equal rows is the last to get more
+        dealt = first_of_equal(rated.filter(split))
+        rated = rated.filter(~F.coalesce(split, F.lit(False))).withColumn("one_more", F.col("key") <= F.col("last")).unionByName(dealt)
+    else:
+        rated = rated.withColumn("one_more", F.col("key") <= F.col("last"))
+    copies = F.col("base") + F.when(F.col("one_more"), 1).otherwise(0)
+    return replace_columns(rated, "row", size=F.col("size"), source_size=F.col("total"), target=F.col("target"), rate=F.col("rate"),
+                           copies=copies, taken=copies * F.col("size"))

@@ -87,6 +87,32 @@ def test_mix_meets_targets(spark):
     assert mixing.mix_sources(frame(spark, []), mixing.word_count()).count() == 0
 
 
+def test_mix_of_repeated_rows_meets_targets(spark):
+    """Equal rows are rounded one by one: a row that is most of its source, and whole sources of one row."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 900), "en", "a", 0) for i in range(598)] + [(7_000, "w " * 700, "en", "a", 0)] * 400
+    rows += [(8_000, "w " * 50, "en", "b", 0)] * 333 + [(9_000 + i, "w " * rng.randrange(1, 2_000), "en", "c", 0) for i in range(900)]
+    docs = frame(spark, rows).repartition(5)
+    got = mixing.mix_sources(docs, mixing.word_count()).collect()
+    assert len(got) == len(rows)
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 1_000, s  # about a document
+    assert collections.Counter((r.doc_id, r.taken) for r in mixing.mix_sources(docs.coalesce(1), mixing.word_count()).collect()) == collections.Counter((r.doc_id, r.taken) for r in got)
+
+
+def test_thresholds_in_many_buckets(spark, monkeypatch):
+    """The chosen rows are those with the smallest hashes, however the hashes fall into buckets."""
+    rows = [(i, "w " * (1 + i % 3), "en", "ab"[i % 2], 0) for i in range(600)]
+    want = collections.Counter((r.doc_id, r.copies) for r in mixing.mix_sources(frame(spark, rows), mixing.word_count()).collect())
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    assert want == collections.Counter((r.doc_id, r.copies) for r in mixing.mix_sources(frame(spark, rows), mixing.word_count()).collect())
+
+
 def test_rates_solve_the_dual(spark):
     """Before rounding, every source meets its target, and the log odds of a copy are linear in the size."""
     rows = [(i, "w " * (1 + i % 50), "en", "ab"[i % 2], 0) for i in range(400)]
