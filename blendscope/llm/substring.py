@@ -5,7 +5,8 @@ travel as one packed string (a super-k-mer) to the bucket of the minimiser; equa
 bucket holds all occurrences of its windows and sorting them finds the first of each. Two things keep buckets small:
 within a block of documents only the first occurrence of a window is sent, since the others are later than that one
 whatever else the corpus holds; and n-grams that are frequent in the corpus rank last as minimisers, so that the many
-different windows around a common passage are routed by their own words and not by the passage.
+different windows around a common passage are routed by their own words and not by the passage. The packed strings
+write frequent words as one character each, which is what keeps the shuffle small; words stay told apart exactly.
 """
 
 from __future__ import annotations
@@ -18,26 +19,35 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blendscope.llm.shared import lookup, stored
+from blendscope.llm.shared import discard, lookup, stored
 from blendscope.llm.wordblocks import Grams, blocks, join, mix, split, word_hashes
 
 #: Words of the n-grams whose hashes are the minimisers.
-GRAM = 6
-#: An n-gram that a block of about 8 MB holds that often is counted, and the most frequent ones rank last. This only
-#: decides which bucket a window goes to; results are the same for every setting.
+GRAM = 3
+#: An n-gram or word that a block of about 8 MB holds that often is counted. The most frequent n-grams rank last and the
+#: most frequent words get a short code. Both only decide how windows travel; results are the same for every setting.
 OFTEN = 16
 MOST_FREQUENT = 1 << 18
+#: Codes are the characters from U+0100 on, without the surrogates; a word without a code is written behind a mark.
+CODES = [chr(c) for c in range(0x100, 0x10000) if not 0xD7FF < c < 0xE000 and c not in (0xFFFE, 0xFFFF)]
+MARK = "!"
 #: Words of packed strings that are sorted at a time (a larger bucket is sorted alone).
 BUCKET_WORDS = 1 << 20
 
-PACKED = "key bigint, id bigint, content bigint, start int, stop int, packed string"
+PACKED = "key int, id bigint, content bigint, start int, stop int, packed string"
 SPAN = "id bigint, content bigint, start int, stop int"
 LAST_ID = (1 << 63) - 1
 
 
-def document_key(doc_id: str, text: str) -> Column:
-    """Rows with equal id and text have equal results; rows without id come after all others."""
-    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content"))
+def document_key(doc_id: str, text: str, content: bool) -> Column:
+    """Rows with equal id and text have equal results; rows without id come after all others. Where ids are unique,
+    the content is left out."""
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if content else F.lit(0).cast("long")
+    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), digest.alias("content"))
+
+
+def ids_repeat(docs: DataFrame, doc_id: str) -> bool:
+    return not docs.groupBy(F.col(doc_id)).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
 def repeated(words: np.ndarray, at: np.ndarray, hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -75,7 +85,7 @@ class Block:
     def __init__(self, text: pa.Array, width: int):
         self.words, self.bounds = split(text)
         encoded = self.words.dictionary_encode()
-        self.number = encoded.indices.to_numpy()
+        self.number, self.names = encoded.indices.to_numpy(), encoded.dictionary
         self.hash = word_hashes(encoded)
         size = np.diff(self.bounds)
         row = np.repeat(np.arange(len(size)), size)
@@ -92,29 +102,36 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - width)], x[n - width:])
 
 
-def frequent_grams(keyed: DataFrame, gram: int) -> np.ndarray:
-    """Hashes of the n-grams that are most frequent in all documents, at most MOST_FREQUENT, in order."""
+def frequent(keyed: DataFrame, gram: int) -> tuple[np.ndarray, dict[str, str]]:
+    """Hashes of the n-grams that are most frequent in all documents, in order, and codes of the most frequent words: at
+    most MOST_FREQUENT and len(CODES)."""
+
+    def often(names, n: np.ndarray, kind: str) -> pa.RecordBatch:
+        held = n >= OFTEN
+        word, number = (names.filter(pa.array(held)), pa.nulls(held.sum(), pa.int64())) if kind == "word" else (pa.nulls(held.sum(), pa.string()), pa.array(names[held].view(np.int64)))
+        return pa.RecordBatch.from_arrays([word, number, pa.array(n[held], pa.int64())], ["word", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch.column("text")):
                 block = Block(batch.column("text")[part], gram)
+                yield often(block.names, np.bincount(block.number, minlength=len(block.names)), "word")
                 if len(block.at):
-                    found, n = np.unique(Grams(block.hash).of(gram)[block.at], return_counts=True)
-                    often = n >= OFTEN
-                    yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often], pa.int64())], ["gram", "n"])
+                    yield often(*np.unique(Grams(block.hash).of(gram)[block.at], return_counts=True), "gram")
 
-    counted = keyed.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64))
+    counted = stored(keyed.select("text").mapInArrow(count, "word string, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n")), "frequent")
+    grams = counted.filter("gram is not null").orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow()
+    words = counted.filter("word is not null").orderBy(F.desc("n"), "word").limit(len(CODES)).select("word").toArrow()
+    discard(counted)
+    return np.sort(grams.column(0).to_numpy().view(np.uint64)), dict(zip(words.column(0).to_pylist(), CODES))
 
 
-def pack(keyed: DataFrame, width: int, gram: int, frequent: np.ndarray) -> DataFrame:
+def pack(keyed: DataFrame, width: int, gram: int, late: np.ndarray, codes: dict[str, str]) -> DataFrame:
     """Super-k-mers of all documents, and (without packed string) the spans of windows that repeat inside a block."""
-    shared = keyed.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers
+    shared = keyed.sparkSession.sparkContext.broadcast((late, codes))  # at most MOST_FREQUENT numbers and len(CODES) words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = shared.value
+        late, codes = shared.value
         for batch in batches:
             batch = batch.sort_by("id")
             for part in blocks(batch.column("text")):
@@ -139,21 +156,22 @@ def pack(keyed: DataFrame, width: int, gram: int, frequent: np.ndarray) -> DataF
                 new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (k[1:] != k[:-1])])
                 a = send[new]
                 z = send[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(send) - 1]])]
-                yield packed(key[a], ids[b.row[a]], content[b.row[a]], start[a], start[z] + width, strings(b.words, b.at[a], b.at[z] + width))
+                yield packed(key[a], ids[b.row[a]], content[b.row[a]], start[a], start[z] + width, strings(b, codes, b.at[a], b.at[z] + width))
 
     return keyed.mapInArrow(run, PACKED)
 
 
-def strings(words: pa.Array, a: np.ndarray, z: np.ndarray) -> pa.Array:
-    """Words a to z, joined."""
+def strings(block: Block, codes: dict[str, str], a: np.ndarray, z: np.ndarray) -> pa.Array:
+    """Words a to z, coded and joined."""
+    coded = pa.array([codes.get(w) or MARK + w for w in block.names.to_pylist()], pa.string())
     size = z - a
     bounds = np.concatenate([[0], np.cumsum(size)])
-    return join(words.take(pa.array(np.repeat(a - bounds[:-1], size) + np.arange(bounds[-1]))), bounds)
+    return join(coded.take(pa.array(block.number[np.repeat(a - bounds[:-1], size) + np.arange(bounds[-1])])), bounds)
 
 
 def packed(key, ids, content, start, stop, text: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(key, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(content, pa.int64()),
+        [pa.array((np.asarray(key, np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids, pa.int64()), pa.array(content, pa.int64()),
          pa.array(start, pa.int32()), pa.array(stop, pa.int32()), text], ["key", "id", "content", "start", "stop", "packed"])
 
 
@@ -194,13 +212,13 @@ def sort_buckets(buckets: DataFrame, width: int) -> DataFrame:
     return buckets.mapInArrow(run, SPAN)
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 20, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 20, gram: int = GRAM, content: bool = True) -> DataFrame:
     """``key`` (see ``document_key``) and ``spans`` (half-open word ranges, may overlap) of all documents that hold a
     window of ``width`` words which begins earlier too."""
     if not 0 < gram <= width:
         raise ValueError("a minimiser is not longer than a window")
-    keyed = docs.select(document_key(doc_id, text).alias("key"), F.col(text).alias("text")).select("key.*", "text")
-    supers = pack(keyed, width, gram, frequent_grams(keyed, gram))
+    keyed = docs.select(document_key(doc_id, text, content).alias("key"), F.col(text).alias("text")).select("key.*", "text")
+    supers = pack(keyed, width, gram, *frequent(keyed, gram))
     found = sort_buckets(supers.repartition("key").sortWithinPartitions("key"), width)
     return found.groupBy(F.struct("id", "content").alias("key")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
@@ -239,8 +257,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     document to this rule, so equal rows get equal results; rows without id come last and are one document too. Input
     columns with the names of the new ones are replaced.
     """
-    spans = stored(repeated_spans(docs, text, doc_id, width), "repeats")
-    cut = lookup(docs, document_key(doc_id, text), spans, "key", "left", **{CUT: lambda c: cut_column(F.col(f"`{text}`"), c("spans"))})
+    content = ids_repeat(docs, doc_id)
+    spans = stored(repeated_spans(docs, text, doc_id, width, content=content), "repeats")
+    cut = lookup(docs, document_key(doc_id, text, content), spans, "key", "left", **{CUT: lambda c: cut_column(F.col(f"`{text}`"), c("spans"))})
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")]
     return cut.select(*kept, f"{CUT}.*")
 

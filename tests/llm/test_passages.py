@@ -165,13 +165,22 @@ def test_frequent_grams_rank_last(spark, monkeypatch):
     other = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(30)) for _ in range(400)]
     docs = spark.createDataFrame([(i, f"{o} {passage} {p}") for i, (o, p) in enumerate(zip(other, reversed(other)))], "id long, text string")
     keyed = docs.withColumn("content", F.lit(0).cast("long")).coalesce(2)
-    frequent = substring.frequent_grams(keyed, substring.GRAM)
-    assert len(frequent) == 40 - substring.GRAM + 1
+    late, codes = substring.frequent(keyed, substring.GRAM)
+    w = passage.split()
+    assert len(late) == len({tuple(w[i:i + substring.GRAM]) for i in range(41 - substring.GRAM)}) and set(codes) == set(w)
 
     def largest(late):
-        return substring.pack(keyed, 20, substring.GRAM, late).filter("packed is not null").groupBy("key").count().agg(F.max("count")).first()[0]
+        return substring.pack(keyed, 20, substring.GRAM, late, codes).filter("packed is not null").groupBy("key").count().agg(F.max("count")).first()[0]
 
-    assert largest(frequent) <= 4 < 40 < largest(np.zeros(0, np.uint64))
+    assert largest(late) <= 4 < 40 < largest(np.zeros(0, np.uint64))
+
+
+def test_codes_tell_words_apart():
+    """A word that looks like a code, or like a marked word, is another word."""
+    code, mark = substring.CODES[0], substring.MARK
+    block = substring.Block(pa.array([f"the {code} {mark}the {mark} x"]), 2)
+    coded = substring.strings(block, {"the": code, "x": substring.CODES[1]}, np.array([0]), np.array([5]))[0].as_py().split(" ")
+    assert len(set(coded)) == 5 and coded[0] == code and not any(c.isspace() for c in substring.CODES if ord(c) < 128)
 
 
 def test_windows_of_one_hash_are_told_apart():
