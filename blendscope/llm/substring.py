@@ -6,7 +6,8 @@ bucket holds all occurrences of its windows and sorting them finds the first of
 within a block of documents only the first occurrence of a window is sent, since the others are later than that one
 whatever else the corpus holds; and n-grams that are frequent in the corpus rank last as minimisers, so that the many
 different windows around a common passage are routed by their own words and not by the passage. The packed strings
-write frequent words as one character each, which is what keeps the shuffle small; words stay told apart exactly.
+write frequent words as 16-bit codes and spell out the rare ones, which is what keeps the shuffle small; words stay
+told apart exactly.
 """
 
 from __future__ import annotations
@@ -28,13 +29,12 @@ GRAM = 3
 #: most frequent words get a short code. Both only decide how windows travel; results are the same for every setting.
 OFTEN = 16
 MOST_FREQUENT = 1 << 18
-#: Codes are the characters from U+0100 on, without the surrogates; a word without a code is written behind a mark.
-CODES = [chr(c) for c in range(0x100, 0x10000) if not 0xD7FF < c < 0xE000 and c not in (0xFFFE, 0xFFFF)]
-MARK = "!"
+#: Words with a code, from 1 on; 0 stands for the next word of the row's rare ones.
+CODES = (1 << 16) - 1
 #: Words of packed strings that are sorted at a time (a larger bucket is sorted alone).
 BUCKET_WORDS = 1 << 20
 
-PACKED = "key int, id bigint, content bigint, start int, stop int, packed string"
+PACKED = "key int, id bigint, content bigint, start int, stop int, packed binary, rare string"
 SPAN = "id bigint, content bigint, start int, stop int"
 LAST_ID = (1 << 63) - 1
 
@@ -79,6 +79,15 @@ def ranges(flags: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     return hit[new], hit[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hit) - 1]])]
 
 
+def windows(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and row of every window that lies inside a row."""
+    size = np.diff(bounds)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(row))
+    fits = at + width <= bounds[1:][row]
+    return at[fits], row[fits]
+
+
 class Block:
     """Words of some documents with the windows that lie inside one document."""
 
@@ -87,11 +96,7 @@ class Block:
         encoded = self.words.dictionary_encode()
         self.number, self.names = encoded.indices.to_numpy(), encoded.dictionary
         self.hash = word_hashes(encoded)
-        size = np.diff(self.bounds)
-        row = np.repeat(np.arange(len(size)), size)
-        at = np.arange(len(row))
-        fits = at + width <= self.bounds[1:][row]
-        self.at, self.row = at[fits], row[fits]
+        self.at, self.row = windows(self.bounds, width)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -102,9 +107,9 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - width)], x[n - width:])
 
 
-def frequent(keyed: DataFrame, gram: int) -> tuple[np.ndarray, dict[str, str]]:
+def frequent(keyed: DataFrame, gram: int) -> tuple[np.ndarray, dict[str, int]]:
     """Hashes of the n-grams that are most frequent in all documents, in order, and codes of the most frequent words: at
-    most MOST_FREQUENT and len(CODES)."""
+    most MOST_FREQUENT and CODES."""
 
     def often(names, n: np.ndarray, kind: str) -> pa.RecordBatch:
         held = n >= OFTEN
@@ -121,14 +126,14 @@ def frequent(keyed: DataFrame, gram: int) -> tuple[np.ndarray, dict[str, str]]:
 
     counted = stored(keyed.select("text").mapInArrow(count, "word string, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n")), "frequent")
     grams = counted.filter("gram is not null").orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow()
-    words = counted.filter("word is not null").orderBy(F.desc("n"), "word").limit(len(CODES)).select("word").toArrow()
+    words = counted.filter("word is not null").orderBy(F.desc("n"), "word").limit(CODES).select("word").toArrow()
     discard(counted)
-    return np.sort(grams.column(0).to_numpy().view(np.uint64)), dict(zip(words.column(0).to_pylist(), CODES))
+    return np.sort(grams.column(0).to_numpy().view(np.uint64)), {w: i + 1 for i, w in enumerate(words.column(0).to_pylist())}
 
 
-def pack(keyed: DataFrame, width: int, gram: int, late: np.ndarray, codes: dict[str, str]) -> DataFrame:
+def pack(keyed: DataFrame, width: int, gram: int, late: np.ndarray, codes: dict[str, int]) -> DataFrame:
     """Super-k-mers of all documents, and (without packed string) the spans of windows that repeat inside a block."""
-    shared = keyed.sparkSession.sparkContext.broadcast((late, codes))  # at most MOST_FREQUENT numbers and len(CODES) words
+    shared = keyed.sparkSession.sparkContext.broadcast((late, codes))  # at most MOST_FREQUENT numbers and CODES words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, codes = shared.value
@@ -148,7 +153,7 @@ def pack(keyed: DataFrame, width: int, gram: int, late: np.ndarray, codes: dict[
                 key = sliding_min(rank, width - gram + 1)[b.at]
                 again = repeated(b.number, b.at, grams.of(width)[b.at], ids[b.row], start, width)
                 a, z = ranges(again, b.row, b.at)
-                yield packed(mix(ids[b.row[a]]), ids[b.row[a]], content[b.row[a]], start[a], start[z] + width, pa.nulls(len(a), pa.string()))
+                yield packed(mix(ids[b.row[a]]), ids[b.row[a]], content[b.row[a]], start[a], start[z] + width, pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.string()))
                 send = np.flatnonzero(~again)
                 if not len(send):
                     continue
@@ -156,37 +161,51 @@ def pack(keyed: DataFrame, width: int, gram: int, late: np.ndarray, codes: dict[
                 new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (k[1:] != k[:-1])])
                 a = send[new]
                 z = send[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(send) - 1]])]
-                yield packed(key[a], ids[b.row[a]], content[b.row[a]], start[a], start[z] + width, strings(b, codes, b.at[a], b.at[z] + width))
+                yield packed(key[a], ids[b.row[a]], content[b.row[a]], start[a], start[z] + width, *coded(b, codes, b.at[a], b.at[z] + width))
 
     return keyed.mapInArrow(run, PACKED)
 
 
-def strings(block: Block, codes: dict[str, str], a: np.ndarray, z: np.ndarray) -> pa.Array:
-    """Words a to z, coded and joined."""
-    coded = pa.array([codes.get(w) or MARK + w for w in block.names.to_pylist()], pa.string())
+def coded(block: Block, codes: dict[str, int], a: np.ndarray, z: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Words a to z: their codes, and the words without one."""
+    code = np.fromiter((codes.get(w, 0) for w in block.names.to_pylist()), np.uint16, len(block.names))
     size = z - a
     bounds = np.concatenate([[0], np.cumsum(size)])
-    return join(coded.take(pa.array(block.number[np.repeat(a - bounds[:-1], size) + np.arange(bounds[-1])])), bounds)
+    word = np.repeat(a - bounds[:-1], size) + np.arange(bounds[-1])
+    values = code[block.number[word]]
+    rare = np.flatnonzero(values == 0)
+    spelled = join(block.words.take(pa.array(word[rare])), np.searchsorted(rare, bounds))
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(values)]), spelled
+
+
+def decoded(packed: pa.Array, rare: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words (equal words of this call have equal numbers) and bounds of the rows."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, packed.offset * 4).astype(np.int64)
+    number = np.frombuffer(packed.buffers()[2] or b"", np.uint16)[offsets[0] // 2: offsets[-1] // 2].astype(np.int64)
+    spelled = split(rare)[0].dictionary_encode().indices.to_numpy()
+    number[number == 0] = (CODES + 1) + spelled.astype(np.int64)
+    return number, (offsets - offsets[0]) // 2
 
 
-def packed(key, ids, content, start, stop, text: pa.Array) -> pa.RecordBatch:
+def packed(key, ids, content, start, stop, words: pa.Array, rare: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array((np.asarray(key, np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids, pa.int64()), pa.array(content, pa.int64()),
-         pa.array(start, pa.int32()), pa.array(stop, pa.int32()), text], ["key", "id", "content", "start", "stop", "packed"])
+         pa.array(start, pa.int32()), pa.array(stop, pa.int32()), words, rare], ["key", "id", "content", "start", "stop", "packed", "rare"])
 
 
 def sort_buckets(buckets: DataFrame, width: int) -> DataFrame:
     """Spans of repeated windows from super-k-mers that lie together and in order by key."""
 
     def spans(rows: pa.Table) -> pa.RecordBatch:
-        local = rows.filter(pc.is_null(rows["packed"])).drop_columns(["key", "packed"]).combine_chunks()
+        local = rows.filter(pc.is_null(rows["packed"])).drop_columns(["key", "packed", "rare"]).combine_chunks()
         rows = rows.filter(pc.is_valid(rows["packed"])).sort_by([("id", "ascending"), ("start", "ascending")])
-        b = Block(rows["packed"].combine_chunks(), width)
+        number, bounds = decoded(rows["packed"].combine_chunks(), rows["rare"].combine_chunks())
+        at, row = windows(bounds, width)
         ids, content, first = (rows[c].to_numpy() for c in ("id", "content", "start"))
-        start = first[b.row] + b.at - b.bounds[b.row]
-        again = repeated(b.number, b.at, Grams(b.hash).of(width)[b.at], ids[b.row], start, width) if len(b.at) else np.zeros(0, bool)
-        a, z = ranges(again, b.row, b.at)
-        found = [ids[b.row[a]], content[b.row[a]], start[a], start[z] + width]
+        start = first[row] + at - bounds[row]
+        again = repeated(number, at, Grams(mix(number)).of(width)[at], ids[row], start, width) if len(at) else np.zeros(0, bool)
+        a, z = ranges(again, row, at)
+        found = [ids[row[a]], content[row[a]], start[a], start[z] + width]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays(
             [pa.concat_arrays([*local[n].chunks, pa.array(f, t)]) for n, f, t in zip(("id", "content", "start", "stop"), found, types, strict=True)],

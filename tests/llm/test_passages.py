@@ -176,11 +176,16 @@ def test_frequent_grams_rank_last(spark, monkeypatch):
 
 
 def test_codes_tell_words_apart():
-    """A word that looks like a code, or like a marked word, is another word."""
-    code, mark = substring.CODES[0], substring.MARK
-    block = substring.Block(pa.array([f"the {code} {mark}the {mark} x"]), 2)
-    coded = substring.strings(block, {"the": code, "x": substring.CODES[1]}, np.array([0]), np.array([5]))[0].as_py().split(" ")
-    assert len(set(coded)) == 5 and coded[0] == code and not any(c.isspace() for c in substring.CODES if ord(c) < 128)
+    texts = ["the cat the rare the", "rare", "the the", "é rare odd é"]
+    block = substring.Block(pa.array(texts), 1)
+    codes = {"the": 1, "é": 2, "cat": substring.CODES}
+    a, z = block.bounds[[0, 1, 3, 0]], block.bounds[[1, 2, 4, 4]]
+    packed, rare = substring.coded(block, codes, a, z)
+    assert rare.to_pylist() == ["rare", "rare", "rare odd", "rare rare rare odd"]
+    number, bounds = substring.decoded(packed, rare)
+    words = [w for i, j in zip(a.tolist(), z.tolist()) for w in block.words[i:j].to_pylist()]
+    assert bounds.tolist() == np.concatenate([[0], np.cumsum(z - a)]).tolist()
+    assert len(set(zip(words, number.tolist()))) == len(set(words)) == len(set(number.tolist()))
 
 
 def test_windows_of_one_hash_are_told_apart():
