@@ -113,12 +113,86 @@ def _furthest_sum(x: np.ndarray, k: int, seed: int) -> list[int]:
     return chosen[1:]  # the seeded row only gives the direction
 
 
-def _score_swaps(z: DataFrame, bases: dict[int, np.ndarray], candidates: dict[int, np.ndarray]) -> tuple[dict, float]:
-    """Loss of several bases and of all their single swaps, in one pass over the rows."""
-    sizes = {r: len(b) * len(candidates[r]) + 1 for r, b in bases.items()}
+#: Rows on which swaps are priced (those with the smallest hashes; all rows of a smaller population).
+PANEL = 512
+#: Rows per basis vector that a round tries on the whole population: those with the largest gain on the panel.
+TRIED = 8
+#: Local searches on the panel that decide where a run starts.
+RESTARTS = 6
+#: Populations up to this size end with a round that tries every row.
+EVERY_ROW = 1000
 
+
+def _panel(z: DataFrame, keys: list[str], size: int) -> pd.DataFrame:
+    """A fixed sample of at most ``size`` rows."""
+    rows = z.select(*keys, "z", F.xxhash64("z").alias("h"))
+    return rows.orderBy("h", *keys).limit(size).toPandas()
+
+
+def _starts(spark: SparkSession, sample: np.ndarray, rows: np.ndarray, n_sample: int, runs: list[tuple[int, int]], restarts: int, tried: int) -> dict[int, list[int]]:
+    """Where each run starts: the best of ``restarts`` local searches on the panel, side by side in tasks.
+
+    One search begins with extreme rows that lie far apart, the others with random rows of panel and extremes."""
+    where = spark.createDataFrame([(r, k, s, a) for r, (k, s) in enumerate(runs) for a in range(restarts)], "run int, k int, seed int, attempt int")
+    held = spark.sparkContext.broadcast((sample, rows))  # a panel and the extreme rows
+
+    def search(batches):
+        x, every = held.value
+        distinct = np.unique(every, axis=0, return_index=True)[1]
+        for pdf in batches:
+            out = []
+            for r, k, seed, attempt in pdf.itertuples(index=False):
+                far = every[n_sample:]
+                if attempt == 0 and len(far) > k:
+                    chosen = [n_sample + j for j in _furthest_sum(far, k, seed)]
+                else:
+                    rng = np.random.default_rng([seed, attempt])
+                    chosen = rng.choice(distinct, k, replace=len(distinct) < k).tolist()
+                loss, chosen = simplex.local_search(x, every, chosen, tried, 1e-3)
+                out.append((r, attempt, loss, chosen))
+            yield pd.DataFrame(out, columns=["run", "attempt", "loss", "chosen"])
+
+    found = where.repartition(len(runs) * restarts).mapInPandas(search, "run int, attempt int, loss double, chosen array<int>")
+    best = found.groupBy("run").agg(F.min_by("chosen", F.struct("loss", "attempt")).alias("chosen"))
+    return {r["run"]: r["chosen"] for r in best.collect()}  # k numbers per run
+
+
+def _price_swaps(z: DataFrame, keys: list[str], bases: dict[int, np.ndarray], panel: np.ndarray, top: int) -> pd.DataFrame:
+    """The ``top`` rows of the whole population with the largest gain in place of each vector of each basis.
+
+    Every row is priced in one pass; a task keeps its best rows per vector, so ``top`` rows per vector reach the driver.
+    """
+    types = {f.name: f.dataType.simpleString() for f in z.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, "z")) + ", run int, place int, gain double"
+
+    def best(batches):
+        priced = {r: simplex.Panel(panel, b) for r, b in bases.items()}
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["z"].to_numpy())
+            parts = [] if held is None else [held]
+            for r, p in priced.items():
+                gains = p.gains(x)
+                gains[:, (np.abs(x[:, None, :] - bases[r][None]).max(axis=2) < 1e-12).any(axis=1)] = -np.inf
+                for i, g in enumerate(gains):
+                    first = np.argpartition(-g, min(top, len(g)) - 1)[:top]
+                    parts.append(pdf.iloc[first].assign(run=r, place=i, gain=g[first]))
+            every = pd.concat(parts, ignore_index=True)
+            held = every.sort_values(["gain", *keys], ascending=[False, *[True] * len(keys)], kind="stable").groupby(["run", "place"]).head(top)
+        if held is not None:
+            yield held[np.isfinite(held["gain"])]
+
+    found = z.select(*keys, "z").mapInPandas(best, schema)
+    w = Window.partitionBy("run", "place").orderBy(F.desc("gain"), *keys)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).toPandas()
+
+
+def _score_swaps(z: DataFrame, bases: dict[int, np.ndarray], swaps: dict[int, list[tuple[int, np.ndarray]]]) -> tuple[dict, float]:
+    """Loss of several bases and of their given swaps on the whole population, in one pass over the rows."""
     def partial(batches):
-        sums = {r: np.zeros(n) for r, n in sizes.items()}
+        sums = {r: np.zeros(len(s) + 1) for r, s in swaps.items()}
         tss = 0.0
         for pdf in batches:
             if not len(pdf):
@@ -126,29 +200,61 @@ def _score_swaps(z: DataFrame, bases: dict[int, np.ndarray], candidates: dict[in
             x = np.stack(pdf["z"].to_numpy())
             tss += float((x * x).sum())
             for r, basis in bases.items():
-                base, swaps = simplex.swap_losses(x, basis, candidates[r])
-                sums[r] += np.concatenate([[base], swaps.ravel()])
-        run = np.concatenate([np.full(n, r) for r, n in sizes.items()] + [[-1]])
-        cell = np.concatenate([np.arange(n) for n in sizes.values()] + [[0]])
+                base, swapped = simplex.swap_losses(x, basis, swaps[r])
+                sums[r] += np.concatenate([[base], swapped])
+        run = np.concatenate([np.full(len(v), r) for r, v in sums.items()] + [[-1]])
+        cell = np.concatenate([np.arange(len(v)) for v in sums.values()] + [[0]])
         yield pd.DataFrame({"run": run, "cell": cell, "loss": np.concatenate([*sums.values(), [tss]])})
 
     added = z.select("z").mapInPandas(partial, "run int, cell int, loss double").groupBy("run", "cell").agg(F.sum("loss").alias("loss"))
-    pdf = added.toPandas().sort_values(["run", "cell"])  # k * m + 1 numbers per run
+    pdf = added.toPandas().sort_values(["run", "cell"])  # one number per swap
     by_run = {int(r): part["loss"].to_numpy() for r, part in pdf.groupby("run")}
     tss = float(by_run.pop(-1)[0])
-    return {r: (float(v[0]), v[1:].reshape(len(bases[r]), -1)) for r, v in by_run.items()}, tss
+    return {r: (float(v[0]), v[1:]) for r, v in by_run.items()}, tss
+
+
+@dataclass
+class _Search:
+    """State of one run: chosen rows, loss, and what is known about further swaps."""
+
+    k: int
+    seed: int
+    rows: list[dict]
+    rss: float = np.inf
+    rounds: int = 0
+    tried: int = 0
+    best_left: float = 0.0
+    open: bool = True
+    every_row: bool = False
+
+    @property
+    def basis(self) -> np.ndarray:
+        return np.stack([r["z"] for r in self.rows])
+
+    def take(self, loss: float, losses: np.ndarray, swaps: list[tuple[int, dict]], tol: float) -> bool:
+        """Apply the best of the scored swaps if it lowers the loss by more than ``tol`` of it."""
+        self.rss, self.rounds, self.tried = loss, self.rounds + 1, self.tried + len(swaps)
+        self.best_left = float((loss - losses.min()) / loss) if len(losses) and loss > 0 else 0.0
+        if self.best_left <= tol:
+            return False
+        place, row = swaps[int(losses.argmin())]
+        self.rows[place], self.rss = row, float(losses.min())
+        return True
 
 
 def fit_runs(
     df: DataFrame, features: list[str], runs: list[tuple[int, int]], *, keys: tuple[str, ...] = ("member", "season"),
-    max_iter: int = 50, tol: float = 1e-4, winsorize: float | None = None, n_directions: int | None = None,
+    max_iter: int = 200, tol: float = 1e-4, winsorize: float | None = None, n_directions: int | None = None,
+    panel: int = PANEL, tried: int = TRIED, restarts: int = RESTARTS, every_row: int = 0,
 ) -> list[Basis]:
     """Choose k real rows that minimize the simplex-projection loss, for several (k, seed) at once (F2).
 
-    Candidates are the extreme rows along the feature axes and along random
-    directions. A round scores every single swap of every unfinished run over
-    the whole population in one job and takes the best swap of each run, so
-    more seeds or more values of k add arithmetic but no further passes.
+    A run starts from the best of several local searches on a fixed panel of rows. Then column generation over the
+    whole population: a round prices every row in place of every chosen one by a lower
+    bound of its gain on the panel, brings in the best ones, scores those swaps exactly on all rows and takes the
+    best of each run. A run ends when none of the rows that price best lowers the loss by more than ``tol`` of it; with
+    a population of at most ``every_row`` rows it then tries all of them, and goes on if one does. More seeds or values
+    of k add arithmetic but no passes. ``meta`` says what was tried (``certificate``).
     """
     started = time.time()
     if winsorize is not None:
@@ -159,35 +265,44 @@ def fit_runs(
     p, k_max = len(features), max(k for k, _ in runs)
     rand = np.random.default_rng(1000).standard_normal((n_directions or 4 * k_max, p))
     directions = np.vstack([np.eye(p), -np.eye(p), rand / np.linalg.norm(rand, axis=1, keepdims=True)])
-    pool = _candidate_rows(z, p, directions)
-    cand = np.stack(pool["z"].to_numpy())
-    if len(cand) < k_max:
-        raise ValueError(f"only {len(cand)} distinct extreme rows for k={k_max}")
-    chosen = {r: _furthest_sum(cand, k, s) if len(cand) > k else list(range(k)) for r, (k, s) in enumerate(runs)}
-    rss, n_iter = {r: np.inf for r in chosen}, {r: 0 for r in chosen}
-    open_runs, tss = set(chosen), np.inf
-    for step in range(1, max_iter + 1):
-        if not open_runs:
+    pool = _candidate_rows(z, p, directions)  # where the searches start
+    if len(pool) < k_max:
+        raise ValueError(f"only {len(pool)} distinct extreme rows for k={k_max}")
+    start = np.stack(pool["z"].to_numpy())
+    records = pool[[*keys, "z"]].to_dict("records")
+    sampled = _panel(z, list(keys), panel)
+    sample, n_rows, tss = np.stack(sampled["z"].to_numpy()), z.count(), np.inf
+    first = _starts(z.sparkSession, sample, np.vstack([sample, start]), len(sample), runs, restarts, tried)
+    records = [*sampled[[*keys, "z"]].to_dict("records"), *records]
+    searches = [_Search(k, s, [records[j] for j in first[r]]) for r, (k, s) in enumerate(runs)]
+
+    def score(swaps: dict[int, list[tuple[int, dict]]]) -> tuple[set, float]:
+        scored, total = _score_swaps(z, {r: searches[r].basis for r in swaps}, {r: [(i, row["z"]) for i, row in s] for r, s in swaps.items()})
+        return {r for r, (loss, losses) in scored.items() if searches[r].take(loss, losses, swaps[r], tol)}, total
+
+    for _ in range(max_iter):
+        live = [r for r, s in enumerate(searches) if s.open]
+        if not live:
             break
-        others = {r: [j for j in range(len(cand)) if j not in chosen[r]] for r in sorted(open_runs)}
-        scored, tss = _score_swaps(z, {r: cand[chosen[r]] for r in others}, {r: cand[o] for r, o in others.items()})
-        for r, (loss, swaps) in scored.items():
-            rss[r], n_iter[r] = loss, step
-            if not others[r] or loss - swaps.min() <= tol * loss:
-                open_runs.discard(r)
-                continue
-            i, j = np.unravel_index(int(swaps.argmin()), swaps.shape)
-            chosen[r][int(i)] = others[r][int(j)]
-            rss[r] = float(swaps.min())
+        priced = _price_swaps(z, list(keys), {r: searches[r].basis for r in live}, sample, tried)
+        by_run = {r: [(int(t["place"]), t) for t in part.to_dict("records")] for r, part in priced.groupby("run")}
+        moved, tss = score({r: by_run.get(r, []) for r in live})
+        still = [r for r in live if r not in moved]
+        if still and n_rows <= every_row:
+            rows = z.select(*keys, "z").toPandas().to_dict("records")  # at most every_row rows
+            moved, tss = score({r: [(i, row) for i in range(searches[r].k) for row in rows] for r in still})
+            for r in still:
+                searches[r].every_row = r not in moved
+            still = [r for r in still if r not in moved]
+        for r in still:
+            searches[r].open = False
     out = []
-    for r, (k, s) in enumerate(runs):
-        ex = [{c: pool.iloc[j][c] for c in keys} for j in chosen[r]]
-        for e in ex:
-            if "member" in e:
-                e["member"] = int(e["member"])
-        meta = {"k": k, "seed": s, "rss": rss[r], "explained_var": 1.0 - rss[r] / tss, "n_iter": n_iter[r], "max_iter": max_iter,
-                "converged": r not in open_runs, "seconds": time.time() - started, "n_candidates": len(cand), "winsorize": winsorize}
-        out.append(Basis(cand[chosen[r]], mu, sd, list(features), ex, meta))
+    for s in searches:
+        ex = [{c: (int(row[c]) if c == "member" else row[c]) for c in keys} for row in s.rows]
+        meta = {"k": s.k, "seed": s.seed, "rss": s.rss, "explained_var": 1.0 - s.rss / tss, "n_iter": s.rounds, "max_iter": max_iter,
+                "converged": not s.open, "seconds": time.time() - started, "winsorize": winsorize,
+                "certificate": {"rows_priced": n_rows, "panel_rows": len(sample), "swaps_tried": s.tried, "largest_gain_left": s.best_left, "every_row_tried": s.every_row}}
+        out.append(Basis(s.basis, mu, sd, list(features), ex, meta))
     return out
 
 
@@ -198,7 +313,10 @@ def fit(df: DataFrame, features: list[str], k: int, *, seed: int = 0, **kw) -> B
 
 def fit_best(df: DataFrame, features: list[str], k: int, seeds: tuple[int, ...] = (0, 1, 2), **kw) -> Basis:
     """Several starts, the one with the largest explained variance."""
-    fits = fit_runs(df, features, [(k, s) for s in seeds], **kw)
+    return best_of(fit_runs(df, features, [(k, s) for s in seeds], **{"every_row": EVERY_ROW} | kw))
+
+
+def best_of(fits: list[Basis]) -> Basis:
     ev = [f.meta["explained_var"] for f in fits]
     best = fits[int(np.argmax(ev))]
     best.meta |= {"ev_spread": max(ev) - min(ev), "all_converged": all(f.meta["converged"] for f in fits)}
@@ -309,13 +427,17 @@ def check_optimality(projected: DataFrame, basis: Basis, tolerance: float = 1e-4
 
 def sweep(df: DataFrame, features: list[str], ks: list[int], seeds: tuple[int, ...] = (0,), keys=("member", "season"), **kw) -> DataFrame:
     """Grid over k and seeds with loss, explained variance and within variance (F7, SRC21)."""
-    spark = df.sparkSession
-    rows = []
-    for b in fit_runs(df, features, [(k, s) for k in ks for s in seeds], keys=keys, **kw):
-        p = project(df, b, list(keys))
-        iv = intra_variance(p, len(features)).first()["intra_variance"]  # one row
-        m = b.meta
-        rows.append((m["k"], m["seed"], m["rss"], m["explained_var"], iv, m["n_iter"], m["converged"], m["seconds"]))
+    return sweep_table(df, fit_runs(df, features, [(k, s) for k in ks for s in seeds], keys=keys, **kw), keys)
+
+
+def sweep_table(df: DataFrame, fits: list[Basis], keys=("member", "season")) -> DataFrame:
+    """One row per fit. All fits are projected in one pass over the rows; their within variances are one aggregate."""
+    spark, p = df.sparkSession, len(fits[0].features)
+    weights = [F.struct(F.lit(i).alias("fit"), projector(b.vectors)("z").alias("recipe")) for i, b in enumerate(fits)]
+    each = df.select(fits[0].zscore().alias("z")).select("z", F.explode(F.array(*weights)).alias("f")).select("z", "f.*")
+    within = {r["fit"]: r["intra_variance"] for r in intra_variance(each, p, ["fit"]).collect()}  # one row per fit
+    rows = [(b.meta["k"], b.meta["seed"], b.meta["rss"], b.meta["explained_var"], within.get(i), b.meta["n_iter"], b.meta["converged"], b.meta["seconds"])
+            for i, b in enumerate(fits)]
     return spark.createDataFrame(
         rows, "k int, seed int, rss double, explained_var double, intra_variance double, n_iter int, converged boolean, seconds double")
 
@@ -358,6 +480,33 @@ def coverage_summary(cells: DataFrame, starve_ratio: float = 0.10) -> DataFrame:
         F.min("mass").alias("min_mass"), F.percentile("mass", F.lit(0.5)).alias("median_mass"), F.max("n_pairs").alias("n_pairs"))
 
 
+def coverage_by_k(pairs: DataFrame, population: DataFrame, fits: list[Basis], starve_ratio: float = 0.10) -> DataFrame:
+    """Coverage of the component pairs for each fit (F8, F17): one row per k; all k in one pass over the pairs.
+
+    Recipes of all fits travel as one array of arrays, so the pairs meet their members once; every cell of every k is
+    one sum of that aggregate.
+    """
+    mixed = population.select("member", "season", fits[0].zscore().alias("z")).select(
+        "member", "season", F.array(*[projector(b.vectors)("z") for b in fits]).alias("r"))
+    a, b = mixed.select(F.col("member").alias("a"), "season", F.col("r").alias("ra")), mixed.select(F.col("member").alias("b"), "season", F.col("r").alias("rb"))
+    j = pairs.join(a, ["a", "season"]).join(b, ["b", "season"])
+    cells = [(n, f.k, i, c) for n, f in enumerate(fits) for i, c in vec.triangle(f.k)]
+
+    def mass(n: int, i: int, c: int) -> Column:
+        x, y = F.col("ra")[n], F.col("rb")[n]
+        return F.sum(F.col("min") * 0.5 * (x[i] * y[c] + x[c] * y[i]))
+
+    sums = j.agg(F.array(*[mass(n, i, c) for n, _, i, c in cells]).alias("m"), F.count(F.lit(1)).alias("n_pairs"))
+    rows = sums.select("n_pairs", F.posexplode("m").alias("at", "mass"))
+    ks = F.array(*[F.lit(k) for _, k, _, _ in cells])
+    by_cell = rows.select(F.element_at(ks, F.col("at") + 1).alias("k"), "mass", "n_pairs")
+    total = by_cell.groupBy("k").agg(F.sum("mass").alias("total"), F.count(F.lit(1)).alias("n_cells"))
+    held = F.col("mass") > F.lit(starve_ratio) * F.col("total") / F.col("n_cells")
+    return by_cell.join(total, "k").groupBy("k").agg(
+        F.max("n_cells").alias("n_cells"), F.count_if(held).alias("effective_cells"), F.min("mass").alias("min_mass"),
+        F.percentile("mass", F.lit(0.5)).alias("median_mass"), F.max("n_pairs").alias("n_pairs"))
+
+
 def saturation(recipes: DataFrame, bands: tuple[tuple[float, float], ...]) -> DataFrame:
     """Share of rows with a dominating component per weight band."""
     band = F.lit(None).cast("int")

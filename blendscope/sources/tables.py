@@ -155,6 +155,26 @@ def load_basis(spark: SparkSession, path: str) -> Basis:
                  [{"member": r["member"], "season": r["season"]} for r in rows], json.loads(m["meta"]))
 
 
+def basis_rows(spark: SparkSession, fits: list[Basis]) -> DataFrame:
+    """Fits as rows of a ledger: key (k as text), k, seed, component, z and what else the basis needs (SRC21)."""
+    rows = []
+    for b in fits:
+        shared = ([float(x) for x in b.mu], [float(x) for x in b.sd], list(b.features), json.dumps(b.meta, default=float))
+        for i, (v, e) in enumerate(zip(b.vectors, b.exemplars)):
+            rows.append((str(b.k), b.k, b.meta["seed"], i, [float(x) for x in v], e["member"], e["season"], *shared))
+    return spark.createDataFrame(rows, "key string, k int, seed int, component int, z array<double>, member bigint, season string, "
+                                       "mu array<double>, sd array<double>, features array<string>, meta string")
+
+
+def read_bases(rows: DataFrame) -> list[Basis]:
+    """The fits of such rows, by k and seed."""
+    fits: dict[tuple, list] = {}
+    for r in rows.orderBy("k", "seed", "component").collect():  # k rows per fit
+        fits.setdefault((r["k"], r["seed"]), []).append(r)
+    return [Basis(np.array([r["z"] for r in part]), np.array(part[0]["mu"]), np.array(part[0]["sd"]), list(part[0]["features"]),
+                  [{"member": r["member"], "season": r["season"]} for r in part], json.loads(part[0]["meta"])) for part in fits.values()]
+
+
 def save_model(model: LinearModel, spark: SparkSession, path: str) -> None:
     """Coefficient table and league averages (SRC18, SRC24)."""
     model.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/coefficients")  # one row per design column

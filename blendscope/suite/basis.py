@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import zlib
+
 from pyspark.sql import functions as F
 
 from blendscope import warehouse as wh
@@ -11,7 +14,9 @@ from blendscope.plans import basis as bs
 from blendscope.plans import environment as env
 from blendscope.plans import features as ft
 from blendscope.plans import miscast as mc
-from blendscope.session import cut_lineage
+from blendscope.session import checkpoint_dir, cut_lineage
+from blendscope.sources import ledger, tables
+from blendscope.sources.ledger import Ledger
 from blendscope.suite import query, r6, s6
 from blendscope.suite import sqlbase as sb
 from blendscope.suite import identity as si
@@ -21,7 +26,9 @@ P = len(wh.FEATURES)
 FEATURES = list(wh.FEATURES)
 OUTCOME = ["pts_per_100", "ts", "ast", "tov", "stl", "blk", "trb", "ftr", "bpm"]
 OPPORTUNITY = ["usg", "dist", "near", "far", *[f"playtype_{t.lower()}" for t in wh.TYPES]]
-FIT_K = 4
+FIT_K = 8
+SWEEP = range(2, 13)
+SEEDS = (0, 1, 2)
 REDUCED = [f for f in FEATURES if not f.startswith("playtype_")]
 
 
@@ -29,16 +36,36 @@ def population(spark, sf):
     return cut_lineage(ft.complete_cases(si.feature_table(spark, sf)).select("member", "season", "name", "min", *FEATURES))
 
 
-def fitted(spark, sf, k=FIT_K, features=None):
+def basis_store(spark, sf, features=tuple(FEATURES)) -> Ledger:
+    """Ledger of fitted bases, one key per number of components (F19, SRC21)."""
+    return Ledger(spark, f"{checkpoint_dir(spark)}/bases-{zlib.crc32(repr((os.path.abspath(sf), features)).encode()):08x}")
+
+
+def stored_fits(spark, sf, ks, features=tuple(FEATURES), **how):
+    """Population and the stored fits of every k and seed; only those of another population or setting are fitted."""
     pop = population(spark, sf)
-    return pop, bs.fit(pop, features or FEATURES, k)
+    digest = ledger.digests(pop, F.lit("all"), features, SEEDS, how).first()["digest"]
+    book = basis_store(spark, sf, features)
+    wanted = spark.createDataFrame([(str(k), digest) for k in ks], "key string, digest string")
+
+    def fit(due):
+        keys = sorted(int(r["key"]) for r in due.collect())  # one per k
+        return tables.basis_rows(spark, bs.fit_runs(pop, list(features), [(k, s) for k in keys for s in SEEDS], **how)), None
+
+    book.run(wanted, fit)
+    return pop, tables.read_bases(book.rows().where(F.col("key").isin([str(k) for k in ks])))
+
+
+def fitted(spark, sf, k=FIT_K, features=None):
+    """Population and its best basis, read from the store if it is there."""
+    pop, fits = stored_fits(spark, sf, [k], tuple(features or FEATURES), every_row=bs.EVERY_ROW)
+    return pop, bs.best_of(fits)
 
 
 @query("archetypoid_fit")
 def archetypoid_fit(spark, sf):
-    """Extreme real rows as basis, best of two starts."""
-    pop = population(spark, sf)
-    b = bs.fit_best(pop, FEATURES, FIT_K, seeds=(0, 1))
+    """Extreme real rows as basis, best of three starts, from the whole population."""
+    _, b = fitted(spark, sf)
     m = b.meta
     return b.frame(spark).select("component", "member", "season", F.lit(round(m["explained_var"], 6)).alias("explained_var"),
                                  F.lit(m["converged"]).alias("converged"), F.lit(m["n_iter"]).alias("n_iter"))
@@ -47,7 +74,7 @@ def archetypoid_fit(spark, sf):
 @query("archetypoid_reduced_fit")
 def archetypoid_reduced_fit(spark, sf):
     """the same fit on a feature subset."""
-    _, b = fitted(spark, sf, 3, REDUCED)
+    _, b = fitted(spark, sf, FIT_K, REDUCED)
     return b.frame(spark).select("component", "member", "season", F.lit(round(b.meta["explained_var"], 6)).alias("explained_var"))
 
 
@@ -76,10 +103,26 @@ def projection_check(spark, sf):
 
 @query("k_sweep")
 def k_sweep(spark, sf):
-    """F7 F17 A3 W1 SRC21: loss, explained variance and within variance over k."""
-    s = bs.summarize_sweep(bs.sweep(population(spark, sf), FEATURES, [2, 3, 4], (0, 1)))
-    return s.select("k", r6("rss"), r6("explained_var"), r6("intra_variance"), r6("ev_spread"), "all_converged",
-                    "max_n_iter", r6("ev_gain"), r6("intra_change"))
+    """F7 F8 F17 A3 W1 SRC21: loss, explained variance, within variance and pair coverage over k."""
+    pop, fits = stored_fits(spark, sf, SWEEP, restarts=2)
+    s = bs.summarize_sweep(bs.sweep_table(pop, fits))
+    best = [bs.best_of([b for b in fits if b.k == k]) for k in SWEEP]
+    c = bs.coverage_by_k(wh.pairs(spark, sf), pop, [b for b in best if b.meta["all_converged"]])
+    return s.join(c, "k", "left").select(
+        "k", r6("rss"), r6("explained_var"), r6("intra_variance"), r6("ev_spread"), "all_converged", "max_n_iter", r6("ev_gain"), r6("intra_change"),
+        "n_cells", "effective_cells", r6("min_mass"), r6("median_mass"))
+
+
+@query("stored_bases", f"""SELECT k::INT AS k, 3 AS n_seeds, 3 * k::INT AS n_vectors, {P} AS n_features, true AS complete FROM (SELECT unnest(range({SWEEP[0]}, {SWEEP[-1] + 1})) AS k)
+WHERE (SELECT count(*) FROM lineitem) > 0""")
+def stored_bases(spark, sf):
+    """F19 SRC21: the stored bases of every k; each exemplar is a row of the population."""
+    pop, _ = stored_fits(spark, sf, SWEEP, restarts=2)
+    rows = basis_store(spark, sf).rows().where(F.col("k").isin(list(SWEEP)))
+    known = rows.join(pop.select("member", "season", F.lit(True).alias("_real")), ["member", "season"], "left")
+    return known.groupBy("k").agg(
+        F.count_distinct("seed").cast("int").alias("n_seeds"), F.count("*").cast("int").alias("n_vectors"), F.max(F.size("z")).alias("n_features"),
+        F.bool_and(F.coalesce("_real", F.lit(False))).alias("complete"))
 
 
 @query("plane_and_hull")
@@ -106,13 +149,11 @@ def miscast_scores(spark, sf):
 
 @query("embedding_archetypes")
 def embedding_archetypes(spark, sf):
-    """F2 F4 on the embedding vectors: extreme vectors and their mixtures' mean weights per label."""
+    """F2 F4 on the embedding vectors, all dimensions: extreme vectors and their mixtures' mean weights per label."""
     e = wh.table(spark, sf, "embeddings")
-    dims = [f"e{i}" for i in range(16)]
-    pooled = [sum((F.col("embedding")[i + 16 * j].cast("double") for j in range(1, 4)), F.col("embedding")[i].cast("double")).alias(d)
-              for i, d in enumerate(dims)]
-    x = cut_lineage(e.select("vec_id", "label", *pooled))
-    b = bs.fit(x, dims, 3, keys=("vec_id",), n_directions=4)
+    dims = [f"e{i}" for i in range(e.select(F.max(F.size("embedding"))).first()[0] or 0)]
+    x = cut_lineage(e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(dims)]))
+    b = bs.fit(x, dims, 3, keys=("vec_id",))
     w = bs.project(x, b, ["vec_id", "label"])
     return w.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(F.col("recipe")[i]), f"w{i}") for i in range(b.k)])
 
