@@ -56,23 +56,24 @@ def slice_exists(target: DataFrame, **filters) -> bool:
     return not df.limit(1).isEmpty()
 
 
-def known_members(*tables: DataFrame, key: str) -> DataFrame:
-    """Ids that occur in every table."""
-    out = tables[0].select(key).distinct()
+def known_members(*tables: DataFrame, key: str | list[str]) -> DataFrame:
+    """Ids (or keys of several columns) that occur in every table."""
+    keys = [key] if isinstance(key, str) else key
+    out = tables[0].select(*keys).distinct()
     for t in tables[1:]:
-        out = out.join(t.select(key).distinct(), key, "left_semi")
+        out = out.join(t.select(*keys).distinct(), keys, "left_semi")
     return out
 
 
-def coverage(facts: DataFrame, dims: dict[str, DataFrame], key: str) -> DataFrame:
-    """Per dimension: distinct fact ids, how many of them the dimension lacks, and the share."""
-    ids = facts.select(key).distinct()
+def coverage(facts: DataFrame, dims: dict[str, DataFrame], key: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per dimension (and value of ``by``): distinct fact ids, how many of them the dimension lacks, and the share."""
+    ids = facts.select(*by, key).distinct()
     out = None
     for name, dim in dims.items():
-        hit = dim.select(key).distinct().withColumn("_hit", F.lit(True))
-        row = ids.join(hit, key, "left").agg(
+        hit = dim.select(*by, key).distinct().withColumn("_hit", F.lit(True))
+        row = ids.join(hit, [*by, key], "left").groupBy(*by).agg(
             F.count(F.lit(1)).alias("n_ids"), F.count_if(F.col("_hit").isNull()).alias("n_missing")
-        ).select(F.lit(name).alias("dimension"), "n_ids", "n_missing",
+        ).select(*by, F.lit(name).alias("dimension"), "n_ids", "n_missing",
                  (F.col("n_missing") / F.col("n_ids")).alias("missing_share"))
         out = row if out is None else out.unionByName(row)
     return out

@@ -118,14 +118,18 @@ def skill_table(ids: DataFrame, veteran: DataFrame, bio: DataFrame, curve: DataF
     )
 
 
-def skill_leakage(skill: DataFrame, fact_seasons: list[str]) -> DataFrame:
-    """Rows whose vintage cites a modelled season (the draft prior is exempt), and duplicate ids (SRC10, Q7)."""
-    cites = F.lit(False)
-    for s in fact_seasons:
+def skill_leakage(skill: DataFrame, fact_seasons: list[str] | str) -> DataFrame:
+    """Rows whose vintage cites a modelled season (the draft prior is exempt), and duplicate ids (SRC10, Q7).
+
+    ``fact_seasons``: the modelled seasons of the table, or the column that names it; then one row per season.
+    """
+    by = [fact_seasons] if isinstance(fact_seasons, str) else []
+    cites = F.contains(F.col("vintage"), F.col(by[0])) if by else F.lit(False)
+    for s in [] if by else fact_seasons:
         cites = cites | F.contains(F.col("vintage"), F.lit(s))
-    per_id = skill.groupBy("member").agg(
+    per_id = skill.groupBy(*by, "member").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(cites & (F.col("source") != "draft_prior")).alias("leaks"))
-    return per_id.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1).alias("n_duplicate_ids"),
+    return per_id.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.count_if(F.col("n") > 1).alias("n_duplicate_ids"),
                       F.sum("leaks").alias("n_leaking")).withColumn(
         "ok", (F.col("n_duplicate_ids") == 0) & (F.col("n_leaking") == 0))
 

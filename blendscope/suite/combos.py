@@ -335,14 +335,14 @@ def supply_gap(spark, sf):
 
 # --- dictionaries ------------------------------------------------------------------
 
-_OC = (("o_orderkey", "bigint", "BIGINT"), ("o_custkey", "bigint", "BIGINT"), ("o_orderstatus", "string", "VARCHAR"), ("o_orderpriority", "string", "VARCHAR"))
+_OC = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"))
 
 
 @query("column_dictionary", " UNION ALL ".join(
     f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS type, count(*) - count({c}) AS n_missing, {s6(f'100.0 * (count(*) - count({c})) / count(*)')} AS pct_missing, arg_min({c}::VARCHAR, o_orderkey) AS example FROM orders"""
-    for i, (c, t, _) in enumerate(_OC)))
+    for i, (c, t) in enumerate(_OC)))
 def column_dictionary(spark, sf):
     """Q4."""
-    o = wh.table(spark, sf, "orders").select(*[c for c, _, _ in _OC])
+    o = wh.table(spark, sf, "orders").select(*[c for c, _ in _OC])
     d = ql.column_dictionary(o, ["o_orderkey"])
     return d.select("position", "column", "type", "n_missing", r6("pct_missing"), "example")

@@ -306,14 +306,14 @@ _BIO = """bio AS (SELECT x.member, x.season, (19 + floor((balance + 1000.0) / 10
 @query("development_comps", sb.with_(sb.LINES, sb.MIX, sb.MEMBERS, _BIO) + f""",
 am AS (SELECT mix.*, age FROM mix JOIN bio USING (member, season)),
 nx AS (SELECT member, season, lead(season) OVER (PARTITION BY member ORDER BY season) AS next_season FROM mix),
-d AS (SELECT s.member, c.member AS comp, c.season AS matched_season, c.age AS matched_age, round({sb.js(sb.cols('s', 'w'), sb.cols('c', 'w'))}, 12) AS distance,
+d AS (SELECT s.member, s.season, c.member AS comp, c.season AS matched_season, c.age AS matched_age, round({sb.js(sb.cols('s', 'w'), sb.cols('c', 'w'))}, 12) AS distance,
    list_position([{", ".join(f"c.w{i}" for i in range(K))}], {"greatest(" + ", ".join(f"c.w{i}" for i in range(K)) + ")"}) - 1 AS top_then, [{", ".join(f"c.w{i}" for i in range(K))}] AS cw
-  FROM am s JOIN am c ON c.member <> s.member AND abs(c.age - s.age) <= 1 WHERE s.season = '2000-01'),
-r AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY distance, comp, matched_season) AS rank FROM d),
+  FROM am s JOIN am c ON c.member <> s.member AND abs(c.age - s.age) <= 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY member, season ORDER BY distance, comp, matched_season) AS rank FROM d),
 j AS (SELECT r.*, nx.next_season, [{", ".join(f"m.w{i}" for i in range(K))}] AS nw FROM r JOIN nx ON nx.member = r.comp AND nx.season = r.matched_season
    LEFT JOIN mix m ON m.member = r.comp AND m.season = nx.next_season WHERE rank <= 5),
 c AS (SELECT *, list_transform(list_zip(nw, cw), lambda x: abs(x[1] - x[2])) AS mv FROM j)
-SELECT member, rank, comp, matched_season, matched_age, {s6('distance')} AS distance, top_then, next_season,
+SELECT member, season, rank, comp, matched_season, matched_age, {s6('distance')} AS distance, top_then, next_season,
   CASE WHEN next_season IS NOT NULL THEN list_position(nw, list_max(nw)) - 1 END AS next_top,
   CASE WHEN next_season IS NOT NULL THEN list_position(mv, list_max(mv)) - 1 END AS changed,
   CASE WHEN next_season IS NOT NULL THEN {s6('100 * (nw[list_position(mv, list_max(mv))] - cw[list_position(mv, list_max(mv))])')} END AS changed_pp FROM c""")
@@ -321,8 +321,8 @@ def development_comps(spark, sf):
     """I8 J14."""
     mix = wh.recipes(spark, sf).join(wh.bio(spark, sf).select("member", "season", "age"), ["member", "season"])
     blocks = pairwise.blocks_for(wh.member_count(spark, sf) * len(SEASONS))
-    d = idn.development(mix.where(F.col("season") == "2000-01"), mix, K, blocks=max(blocks, 4))
-    return d.select("member", "rank", "comp", "matched_season", "matched_age", r6("distance"), "top_then", "next_season",
+    d = idn.development(mix, mix, K, list(SEASONS), blocks=max(blocks, 4))
+    return d.select("member", "season", "rank", "comp", "matched_season", "matched_age", r6("distance"), "top_then", "next_season",
                     "next_top", "changed", r6("changed_pp"))
 
 

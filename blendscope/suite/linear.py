@@ -102,15 +102,15 @@ def prior_season_by_name(spark, sf):
     return ln.prior_season_skill(prior, out, "2000-01", {"2001-02"}).select("member", r6("skill_off"), r6("skill_def"))
 
 
-@query("skill_leakage", sb.with_(*_BASE, SKILL_SQL) + """SELECT count(*) + count(CASE WHEN member % 3 = 0 THEN 1 END) AS n_rows, count(CASE WHEN member % 3 = 0 THEN 1 END) AS n_duplicate_ids,
+@query("skill_leakage", sb.with_(*_BASE, SKILL_SQL) + """SELECT season, count(*) + count(CASE WHEN member % 3 = 0 THEN 1 END) AS n_rows, count(CASE WHEN member % 3 = 0 THEN 1 END) AS n_duplicate_ids,
  count(CASE WHEN member % 3 = 0 THEN 1 END) AS n_leaking, count(CASE WHEN member % 3 = 0 THEN 1 END) = 0 AS ok
-FROM skill WHERE season = '2001-02'""")
+FROM skill GROUP BY season""")
 def skill_leakage(spark, sf):
-    """SRC10 Q7: a skill table in which every third member has a second row that cites the modelled season."""
-    s = wh.skill_by_season(spark, sf).where(F.col("season") == "2001-02").select(
-        "member", "skill_off", "skill_def", F.lit("prior_season").alias("source"), F.lit("2000-01 final").alias("vintage"))
-    leaks = s.where(F.col("member") % 3 == 0).withColumn("vintage", F.lit("2001-02 to date"))
-    return ln.skill_leakage(s.unionByName(leaks), ["2001-02"])
+    """SRC10 Q7: skill tables of all seasons in which every third member has a second row that cites the modelled season."""
+    s = wh.skill_by_season(spark, sf).select(
+        "season", "member", "skill_off", "skill_def", F.lit("prior_season").alias("source"), F.lit("season before, final").alias("vintage"))
+    leaks = s.where(F.col("member") % 3 == 0).withColumn("vintage", F.concat("season", F.lit(" to date")))
+    return ln.skill_leakage(s.unionByName(leaks), "season")
 
 
 STINT_SQL = f"""sm AS (SELECT game, status, member, sum(qty) AS poss, sum(floor(rev / 1000.0)) AS points, count(CASE WHEN flag <> 'R' THEN 1 END) AS fga,
@@ -308,24 +308,21 @@ def observed_ratings(spark, sf):
 
 
 @query("join_coverage", sb.with_(*_BASE, SKILL_SQL, STINT_SQL) + f""",
-ids AS (SELECT DISTINCT unnest(list_concat(off, def)) AS member FROM stints WHERE season = '1995-96'),
-c AS (SELECT 'recipe' AS dimension, count(*) AS n_ids, count(CASE WHEN member NOT IN (SELECT member FROM mix) THEN 1 END) AS n_missing FROM ids
- UNION ALL SELECT 'skill', count(*), count(CASE WHEN member NOT IN (SELECT member FROM skill WHERE season = '1995-96') THEN 1 END) FROM ids)
-SELECT dimension, n_ids, n_missing, {s6('n_missing / n_ids')} AS missing_share FROM c""")
+ids AS (SELECT DISTINCT season, unnest(list_concat(off, def)) AS member FROM stints),
+c AS (SELECT season, 'recipe' AS dimension, count(*) AS n_ids, count(CASE WHEN (season, member) NOT IN (SELECT (season, member) FROM mix) THEN 1 END) AS n_missing FROM ids GROUP BY season
+ UNION ALL SELECT season, 'skill', count(*), count(CASE WHEN (season, member) NOT IN (SELECT (season, member) FROM skill) THEN 1 END) FROM ids GROUP BY season)
+SELECT season, dimension, n_ids, n_missing, {s6('n_missing / n_ids')} AS missing_share FROM c""")
 def join_coverage(spark, sf):
-    """Fact ids that lack a recipe or a skill value."""
-    s = wh.stints(spark, sf).where(F.col("season") == "1995-96")
-    facts = s.select(F.explode(F.concat("off", "def")).alias("member"))
-    skill = wh.skill_by_season(spark, sf).where(F.col("season") == "1995-96")
-    c = relational.coverage(facts, {"recipe": wh.recipes(spark, sf), "skill": skill}, "member")
-    return c.select("dimension", "n_ids", "n_missing", r6("missing_share"))
+    """Fact ids of every season that lack a recipe or a skill value."""
+    facts = wh.stints(spark, sf).select("season", F.explode(F.concat("off", "def")).alias("member"))
+    c = relational.coverage(facts, {"recipe": wh.recipes(spark, sf), "skill": wh.skill_by_season(spark, sf)}, "member", by=("season",))
+    return c.select("season", "dimension", "n_ids", "n_missing", r6("missing_share"))
 
 
-@query("known_members", sb.with_(*_BASE, SKILL_SQL) + """SELECT member FROM (SELECT member FROM mix WHERE season = '1997-98' INTERSECT SELECT member FROM skill WHERE season = '1997-98' INTERSECT SELECT member FROM lines WHERE season = '1997-98')""")
+@query("known_members", sb.with_(*_BASE, SKILL_SQL) + """SELECT season, member FROM (SELECT season, member FROM mix INTERSECT SELECT season, member FROM skill INTERSECT SELECT season, member FROM lines)""")
 def known_members(spark, sf):
-    """U4: ids present in recipes, skill and facts."""
-    at = lambda d: d.where(F.col("season") == "1997-98")
-    return relational.known_members(at(wh.recipes(spark, sf)), at(wh.skill_by_season(spark, sf)), at(wh.lines(spark, sf)), key="member")
+    """U4: ids present in recipes, skill and facts, in every season."""
+    return relational.known_members(wh.recipes(spark, sf), wh.skill_by_season(spark, sf), wh.lines(spark, sf), key=["season", "member"])
 
 
 GROUP_SQL = [*_BASE, sb.GM, sb.LINEUPS, "talent AS (SELECT member, season, obpm + dbpm AS bpm FROM outcomes)",
@@ -404,7 +401,7 @@ def five_member_extrapolation(spark, sf):
 _COEF = {"a0": 1.5, "a1": -2.0, "a2": 0.5, "a3": 3.0, "a4": -1.0, "entropy": 0.8}
 _SUBS = " UNION ALL ".join(
     f"""SELECT season, ids, entropy, {i} AS source, {j} AS target, a{i} AS w, {_COEF.get(f'a{j}', 0.0)} * 0.1 - {_COEF.get(f'a{i}', 0.0)} * 0.1 AS lin,
- [{", ".join(f"a{c}{' - 0.1' if c == i else ' + 0.1' if c == j else ''}" for c in range(K))}] AS nv FROM groups WHERE size = 3"""
+ [{", ".join(f"a{c}{' - 0.1' if c == i else ' + 0.1' if c == j else ''}" for c in range(K))}] AS nv FROM groups"""
     for i in range(K) for j in range(K) if i != j)
 
 
@@ -412,8 +409,8 @@ _SUBS = " UNION ALL ".join(
 SELECT season, array_to_string(ids, '-') AS group_key, source, target,
  {s6("lin + 0.8 * (exp(-list_sum(list_transform(nv, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END))) - entropy)")} AS change FROM sb WHERE w >= 0.1 - 1e-9""")
 def substitution_effects(spark, sf):
-    """All component shifts of every three-member group under given coefficients."""
-    s = ln.substitutions(groups(spark, sf, 3), _COEF, K)
+    """All component shifts of every group, of any size, under given coefficients."""
+    s = ln.substitutions(groups(spark, sf), _COEF, K)
     return s.select("season", F.concat_ws("-", F.transform("ids", lambda x: x.cast("string"))).alias("group_key"), "source", "target", r6("change"))
 
 

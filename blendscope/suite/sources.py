@@ -15,6 +15,7 @@ from blendscope.plans import report as rp
 from blendscope.plans import segments as sg
 from blendscope.sources import nested, tables
 from blendscope.suite import basis as sbs
+from blendscope.session import cut_lineage
 from blendscope.suite import query, r6, s6
 from blendscope.suite import sqlbase as sb
 from blendscope.suite.context import _CTX, _EL, _IS, EVENTS_SQL, MIN_POSS
@@ -209,15 +210,17 @@ def bootstrap_bands(spark, sf):
 
 
 @query("roster_display", sb.with_(sb.LINES, sb.MIX, sb.MIXLONG, sb.MEMBERS) + f""",
-c AS (SELECT member, component, w, row_number() OVER (PARTITION BY member ORDER BY w DESC, component) AS rn FROM mixlong WHERE season = '1999-00')
-SELECT m.member, m.name, {s6('x.min')} AS min, x.member IS NOT NULL AS has_data, a.component AS first, {s6('a.w')} AS first_share, b.component AS second
-FROM members m LEFT JOIN (SELECT * FROM mix WHERE season = '1999-00') x USING (member) LEFT JOIN c a ON a.member = m.member AND a.rn = 1 LEFT JOIN c b ON b.member = m.member AND b.rn = 2""")
+c AS (SELECT member, season, component, w, row_number() OVER (PARTITION BY member, season ORDER BY w DESC, component) AS rn FROM mixlong)
+SELECT m.member, s.season, m.name, {s6('x.min')} AS min, x.member IS NOT NULL AS has_data, a.component AS first, {s6('a.w')} AS first_share, b.component AS second
+FROM members m CROSS JOIN (SELECT DISTINCT season FROM mix) s LEFT JOIN mix x ON x.member = m.member AND x.season = s.season
+ LEFT JOIN c a ON a.member = m.member AND a.season = s.season AND a.rn = 1 LEFT JOIN c b ON b.member = m.member AND b.season = s.season AND b.rn = 2""")
 def roster_display(spark, sf):
-    """M10."""
-    mix = wh.recipes(spark, sf).where(F.col("season") == "1999-00")
+    """The rosters of all seasons."""
+    mix = cut_lineage(wh.recipes(spark, sf))
     m = wh.members(spark, sf)
-    t = rp.roster_table(m.select("member", "name"), m.select("member", "team"), mix.select("member", "min"), mix, K)
-    return t.select("member", "name", r6("min"), "has_data", F.try_element_at("top", F.lit(1))["idx"].alias("first"),
+    roster = m.select("member", "name").join(F.broadcast(mix.select("season").distinct()))  # one row per season
+    t = rp.roster_table(roster, m.select("member", "team"), mix.select("member", "season", "min"), mix, K, keys=("member", "season"))
+    return t.select("member", "season", "name", r6("min"), "has_data", F.try_element_at("top", F.lit(1))["idx"].alias("first"),
                     r6(F.try_element_at("top", F.lit(1))["share"], "first_share"), F.try_element_at("top", F.lit(2))["idx"].alias("second"))
 
 
