@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from blendscope import gamelog as gl
 from blendscope import warehouse as wh
 from blendscope.plans import segments as sg
-from blendscope.session import cut_lineage
+from blendscope.session import checkpoint_dir, cut_lineage
+from blendscope.sources import ledger
+from blendscope.sources.ledger import Ledger
 from blendscope.suite import query, r6, s6
 from blendscope.suite import sqlbase as sb
 
@@ -100,6 +104,35 @@ def game_status(spark, sf):
     return sg.game_status(box, gl.games(spark, sf))
 
 
+@query("run_ledger", sb.with_(PBP) + """, n AS (SELECT game, count(CASE WHEN poss > 0 OR points <> 0 THEN 1 END) AS n FROM cnt GROUP BY game)
+SELECT DISTINCT game, CASE WHEN week % 5 < 2 THEN 2 ELSE 1 END AS attempt, CASE WHEN week % 5 = 1 THEN 'failed' ELSE 'ok' END AS status,
+ CASE WHEN week % 5 = 1 THEN 0 ELSE n END AS n_rows, CASE WHEN week % 5 = 1 THEN 'expected five starters per team' END AS error,
+ CASE WHEN week % 5 = 1 THEN 0 ELSE n END AS n_published FROM raw JOIN n USING (game)""")
+def run_ledger(spark, sf):
+    """E10 SRC13 SRC14: two runs over all games; the second one finds the missing teams, but not the missing starters."""
+    week = F.split("game", "-")[1].cast("int")
+    games, full = gl.games(spark, sf), gl.box(spark, sf)
+    no_starter = full.withColumn("position", F.when((week % 5 == 1) & (F.col("person") % 10 == 0), F.lit("")).otherwise(F.col("position")))
+    no_team = no_starter.where((week % 5 != 0) | (F.col("team") != 2))
+    ev = cut_lineage(sg.ordered_events(gl.events(spark, sf)))
+    book = Ledger(spark, f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    wanted = ledger.digests(ev.select("game", "action_no"), "game")
+
+    def compute(box):
+        def job(due):
+            keys = due.select(F.col("key").alias("game"))
+            state = sg.game_status(box, games.join(keys, "game", "left_semi")).select(F.col("game").alias("key"), F.col("status").alias("error"))
+            rows = sg.emit(sg.segment_counts(ev.join(keys, "game", "left_semi"), games)).withColumn("key", F.col("game"))
+            return rows, state.select("key", F.when(F.col("error") == "ok", ledger.OK).otherwise(ledger.FAILED).alias("status"), "error")
+        return job
+
+    book.run(wanted, compute(no_team))
+    book.run(wanted, compute(no_starter))
+    seen = book.rows().groupBy("key").agg(F.count("*").alias("n_published"))
+    return book.entries().join(seen, "key", "left").select(
+        F.col("key").alias("game"), "attempt", "status", "n_rows", "error", F.coalesce("n_published", F.lit(0)).alias("n_published"))
+
+
 @query("segment_reconciliation", sb.with_(PBP) + """, s AS (SELECT * FROM cnt WHERE poss > 0 OR points <> 0),
 e AS (SELECT game, segment, team, sum(pts) AS ep FROM pbp WHERE made GROUP BY ALL)
 SELECT count(*) AS n_rows, count(CASE WHEN coalesce(ep, 0) <> points THEN 1 END) AS n_mismatch, count(CASE WHEN coalesce(ep, 0) <> points AND points < 0 THEN 1 END) AS n_negative
