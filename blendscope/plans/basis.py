@@ -345,9 +345,19 @@ def projector(vectors: np.ndarray):
     return run
 
 
-def project(df: DataFrame, basis: Basis, keep: list[str], out: str = "recipe", z: str | None = None) -> DataFrame:
-    """Mixture weights of every row on a fixed basis with its own mean and sd: no shuffle."""
+def project(df: DataFrame, basis: Basis, keep: list[str], out: str = "recipe", z: str | None = None, strict: bool = False) -> DataFrame:
+    """Mixture weights of every row on a fixed basis with its own mean and sd: no shuffle.
+
+    A row with a null or non-finite feature gets a null mixture, or with ``strict`` ends the job with the name of the
+    first such feature (F12); the test is part of the projection, not another pass.
+    """
     source = F.col(z) if z else basis.zscore()
+    if strict:
+        if z:
+            raise ValueError("strict needs the feature columns")
+        lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(c)) for c in basis.features]))
+        message = F.concat(F.lit("feature without a value in a fixed-basis projection: "), F.element_at(lacking, 1))
+        source = F.when(F.size(lacking) > 0, F.raise_error(message)).otherwise(source)
     return df.select(*keep, source.alias("z")).withColumn(out, projector(basis.vectors)("z"))
 
 

@@ -371,3 +371,23 @@ def hypothesis_stability(gaps: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_variants"), F.count_distinct("top_gap").alias("n_top_gaps"),
         F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"),
     ).withColumn("stable", F.col("n_top_gaps") == 1)
+
+
+def case_studies(recipes: DataFrame, exposure: DataFrame, partners: DataFrame, groups: DataFrame, comparables: DataFrame, comparison: DataFrame, k: int) -> DataFrame:
+    """The case study of every member and season as one nested record (X19); one member is a filter on it.
+
+    ``partners`` come from ``micro_profile``, ``groups`` from ``group_performance``, ``comparables`` from
+    ``comparables_exposure`` and ``comparison`` from ``compare``. Members without partners, groups or comparables have
+    nulls there. The tables lie by member and season, so the joins share one partitioning; comparables have one row
+    per season and component.
+    """
+    keys = ["member", "season"]
+    first = partners.where(F.col("rank") == 1).select(*keys, F.struct("mate", "min").alias("partner"))
+    played = groups.groupBy(F.col("focal").alias("member"), "season").agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.max_by("ids", F.struct("net_rating", "ids")).alias("best"), F.max("net_rating").alias("net_rating")).alias("groups"))
+    gap = comparison.where(F.col("rank") == 1).select(*keys, F.struct("component", "actual", "baseline", "diff_pp").alias("gap"))
+    peers = comparables.select("season", F.col("component").alias("top"), F.struct("n", F.array(*[F.col(f"e{i}") for i in range(k)]).alias("exposure")).alias("comparables"))
+    return (
+        recipes.select(*keys, vec.argmax("recipe").alias("top")).join(exposure.select(*keys, F.struct("exposure", "mate_min", "n_mates").alias("environment")), keys)
+        .join(first, keys, "left").join(played, keys, "left").join(gap, keys, "left").join(peers, ["season", "top"], "left")
+    )

@@ -457,6 +457,24 @@ def extrapolate(model: OutcomeModel, baseline: OutcomeModel, groups: DataFrame,
                  stats.weighted_corr(outcome, "_base", "min").alias("corr_baseline"))
 
 
+def outcome_report(tables: dict[int, DataFrame], larger: DataFrame, outcome: str, k: int, size: int = 4, draws: int = 1000) -> DataFrame:
+    """Model, cross-validation, granularity and extrapolation of one outcome in one long table (R33): section, item,
+    value, low, high. ``tables``: groups by size, ``size`` among them; ``larger``: groups of one more member."""
+    groups = tables[size]
+    spark = groups.sparkSession
+    m = fit_outcome(groups, outcome, k, draws=draws)
+    cv = cross_validate_outcome(groups, outcome, k, m.reference)
+    g = gram.matrix(gram.cross_products(groups, ["sum_bpm"], outcome, "min").toPandas(), 3)
+    coef, b0 = gram.least_squares(g)
+    far = extrapolate(m, OutcomeModel(["sum_bpm"], coef, b0, m.reference, float("nan")), larger, outcome).first()  # one row
+    rows = [("model", n, float(c), float(lo), float(hi)) for n, c, (lo, hi) in zip(m.names, m.coef, m.ci)]
+    rows += [("model", "r2", float(m.r2), None, None), ("model", "reference", float(m.reference), None, None)]
+    rows += [("cross_validation", n, float(cv[n]), None, None) for n in ("r2_baseline", "r2_full")]
+    rows += [(f"size_{r['size']}", r["feature"], float(r["coef"]), None, None) for r in granularity(tables, outcome, k, m.reference).to_dict("records")]
+    rows += [("extrapolation", n, None if far[n] is None else float(far[n]), None, None) for n in ("n", "corr_full", "corr_baseline")]
+    return spark.createDataFrame(rows, "section string, item string, value double, low double, high double")
+
+
 def substitutions(groups: DataFrame, coefficients: dict[str, float], k: int, delta: float = 0.1) -> DataFrame:
     """Predicted change from moving ``delta`` of mixture weight from component i to j, for all i and j.
 

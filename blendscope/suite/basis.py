@@ -80,9 +80,9 @@ def archetypoid_reduced_fit(spark, sf):
 
 @query("simplex_projection")
 def simplex_projection(spark, sf):
-    """Mixture weights of every member and season, with the reconstruction residual."""
+    """Mixture weights of every member and season on the stored basis, with the reconstruction residual."""
     pop, b = fitted(spark, sf)
-    p = bs.project(pop, b, ["member", "season"])
+    p = bs.project(pop, b, ["member", "season"], strict=True)
     return p.select("member", "season", *[r6(F.col("recipe")[i], f"w{i}") for i in range(b.k)], r6(bs.novelty(p, b), "novelty"))
 
 

@@ -8,7 +8,7 @@ from blendscope import warehouse as wh
 from blendscope.functions import vectors as vec
 from blendscope.operators import pairwise
 from blendscope.plans import environment as env
-from blendscope.suite import query, r6, s6
+from blendscope.suite import SQL, query, r6, s6
 from blendscope.suite import sqlbase as sb
 
 K = wh.K
@@ -315,6 +315,28 @@ def group_performance(spark, sf):
                     "size", r6("min"), r6("net_rating"))
 
 
+_TOPC = "list_position([" + ", ".join(f"w{i}" for i in range(K)) + "], greatest(" + ", ".join(f"w{i}" for i in range(K)) + ")) - 1"
+
+
+@query("case_study", f"""WITH x1 AS ({SQL['macro_exposure']}), x2 AS ({SQL['top_partners']}), x15 AS ({SQL['group_performance']}), x7 AS ({SQL['comparables_benchmark']}),
+x8 AS ({SQL['benchmark_comparison']}), r AS ({sb.with_(sb.LINES, sb.MIX)} SELECT member, season, {_TOPC} AS top FROM mix)
+SELECT r.member, r.season, r.top, x1.mate_min, x1.n_mates, p.mate AS partner, p.min AS partner_min, coalesce(g.n, 0) AS n_groups, g.best AS best_net,
+ coalesce(x7.n, 0) AS n_comparables, CASE r.top {" ".join(f"WHEN {i} THEN x7.e{i}" for i in range(K))} END AS comparables_own, x8.component AS gap_component, x8.diff_pp AS gap_pp
+FROM r JOIN x1 USING (member, season) LEFT JOIN (SELECT * FROM x2 WHERE rank = 1) p USING (member, season)
+LEFT JOIN (SELECT member, season, count(*) AS n, max(net_rating) AS best FROM x15 GROUP BY ALL) g USING (member, season)
+LEFT JOIN x7 ON x7.season = r.season AND x7.component = r.top LEFT JOIN (SELECT * FROM x8 WHERE rank = 1) x8 ON x8.member = r.member AND x8.season = r.season""")
+def case_study(spark, sf):
+    """Environment, strongest partner, groups, comparables and largest gap of every member and season."""
+    t = Tables(spark, sf)
+    peers = env.comparables_exposure(env.all_comparables(t.recipes, t.oncourt, K, 0.22, 20), t.exposure, K)
+    c = env.case_studies(t.recipes, t.exposure, env.micro_profile(t.edges, t.recipes, t.recipes, K),
+                         env.group_performance(t.edges, t.recipes, wh.lineups(spark, sf)), peers, env.compare(t.mismatch(), K), K)
+    return c.select(
+        "member", "season", "top", r6("environment.mate_min", "mate_min"), "environment.n_mates", F.col("partner.mate").alias("partner"), r6("partner.min", "partner_min"),
+        F.coalesce("groups.n", F.lit(0)).alias("n_groups"), r6("groups.net_rating", "best_net"), F.coalesce("comparables.n", F.lit(0)).alias("n_comparables"),
+        r6(F.element_at("comparables.exposure", F.col("top") + 1), "comparables_own"), F.col("gap.component").alias("gap_component"), r6("gap.diff_pp", "gap_pp"))
+
+
 # Variants of one hypothesis: two-component mixtures with shifted weight or another second component.
 VARIANTS = ((1, 0, 1, 0.70), (2, 0, 1, 0.85), (3, 0, 1, 0.55), (4, 0, 2, 0.70))
 

@@ -398,6 +398,14 @@ def five_member_extrapolation(spark, sf):
     return ln.extrapolate(m, base, g5, "off_rating").select("n", r6("corr_full"), r6("corr_baseline"))
 
 
+@query("outcome_report")
+def outcome_report(spark, sf):
+    """The outcome model, its validation, its granularity and its extrapolation as one report."""
+    tables = {n: cut_lineage(team_groups(spark, sf, n)) for n in (2, 3, 4)}
+    r = ln.outcome_report(tables, groups(spark, sf, 5), "off_rating", K)
+    return r.select("section", "item", r6("value"), r6("low"), r6("high"))
+
+
 _COEF = {"a0": 1.5, "a1": -2.0, "a2": 0.5, "a3": 3.0, "a4": -1.0, "entropy": 0.8}
 _SUBS = " UNION ALL ".join(
     f"""SELECT season, ids, entropy, {i} AS source, {j} AS target, a{i} AS w, {_COEF.get(f'a{j}', 0.0)} * 0.1 - {_COEF.get(f'a{i}', 0.0)} * 0.1 AS lin,

@@ -149,3 +149,13 @@ def test_a_part_without_manifest_is_not_read(spark, tmp_path):
     book.run(rows.select("key", F.lit("d").alias("digest")), lambda due: (rows, None))
     rows.write.parquet(str(tmp_path / "l" / "data" / "part=half"))
     assert book.rows().count() == 1
+
+
+def test_null_features_of_a_fixed_projection_are_an_error(spark):
+    df, z = population(spark, 30, 5)
+    b = bs.Basis(z[:3], np.zeros(5), np.ones(5), COLS)
+    holes = df.withColumn("c", F.when(F.col("member") == 7, F.lit(None)).otherwise(F.col("c")))
+    assert {r.member for r in bs.project(holes, b, ["member"]).where("recipe is null").collect()} == {7}
+    assert bs.project(df, b, ["member"], strict=True).where("recipe is null").count() == 0
+    with pytest.raises(Exception, match="projection: c"):
+        bs.project(holes, b, ["member"], strict=True).collect()

@@ -217,3 +217,22 @@ def test_roster_larger_than_its_slots_is_an_error(spark):
     assert cb.enumerate_sets(rosters, 3, 6, ["team"]).count() == 20
     with pytest.raises(Exception, match="6 members, more than 5"):
         cb.enumerate_sets(rosters, 3, 5, ["team"]).collect()
+
+
+def test_outcome_report_joins_its_parts(spark):
+    rng = np.random.default_rng(6)
+    n, k = 120, 3
+    mix = rng.dirichlet(np.ones(k), n)
+    pdf = pd.DataFrame({f"a{i}": mix[:, i] for i in range(k)})
+    pdf["sum_bpm"], pdf["min"], pdf["team"] = rng.normal(size=n), rng.uniform(1, 5, n), rng.integers(0, 8, n).astype(str)
+    pdf["entropy"] = np.exp(-(mix * np.log(mix)).sum(axis=1))
+    pdf["y"] = pdf["sum_bpm"] + 2 * pdf["a1"] + rng.normal(scale=0.1, size=n)
+    df = spark.createDataFrame(pdf)
+    rows = {(r.section, r["item"]): r for r in ln.outcome_report({3: df, 4: df}, df, "y", k, draws=20).collect()}
+    m = ln.fit_outcome(df, "y", k, draws=20)
+    for name, c, (lo, hi) in zip(m.names, m.coef, m.ci):
+        got = rows["model", name]
+        assert (got.value, got.low, got.high) == pytest.approx((c, lo, hi))
+        assert rows["size_3", name].value == pytest.approx(c) == rows["size_4", name].value
+    assert rows["extrapolation", "n"].value == n and rows["extrapolation", "corr_full"].value > 0.9
+    assert rows["cross_validation", "r2_full"].value > rows["cross_validation", "r2_baseline"].value
