@@ -144,9 +144,11 @@ def segment_reconciliation(spark, sf):
     return sg.reconcile(s, links)
 
 
-@query("score_check", sb.with_(PBP) + """SELECT game, sum(CASE WHEN team = 1 THEN pts ELSE 0 END)::INT AS home_final, sum(CASE WHEN team = 2 THEN pts ELSE 0 END)::INT AS away_final,
- sum(CASE WHEN team = 1 THEN pts ELSE 0 END)::BIGINT AS home_points, sum(CASE WHEN team = 2 THEN pts ELSE 0 END)::BIGINT AS away_points, true AS match
-FROM pbp GROUP BY game HAVING count(CASE WHEN made THEN 1 END) > 0""")
+@query("score_check", sb.with_(PBP) + """, f AS (SELECT game, sum(CASE WHEN team = 1 THEN pts ELSE 0 END)::INT AS home_final, sum(CASE WHEN team = 2 THEN pts ELSE 0 END)::INT AS away_final
+FROM pbp GROUP BY game HAVING count(CASE WHEN made THEN 1 END) > 0),
+p AS (SELECT game, sum(CASE WHEN team = 1 THEN points END)::BIGINT AS h, sum(CASE WHEN team = 2 THEN points END)::BIGINT AS a FROM cnt WHERE poss > 0 OR points <> 0 GROUP BY game)
+SELECT game, home_final, away_final, coalesce(h, 0) AS home_points, coalesce(a, 0) AS away_points, home_final = coalesce(h, 0) AND away_final = coalesce(a, 0) AS match
+FROM f LEFT JOIN p USING (game)""")
 def score_check(spark, sf):
     """Q6: every game's segment points equal its final score."""
     ev = cut_lineage(gl.events(spark, sf))
@@ -171,7 +173,7 @@ def segment_lengths(spark, sf):
 
 @query("segment_integrity", sb.with_(sb.LINES, """sm AS (SELECT DISTINCT game, status, member FROM lines),
 side AS (SELECT game, status, list(member) AS ids FROM sm GROUP BY ALL)""") + """
-SELECT count(*) AS n, 0::BIGINT AS bad_off, 0::BIGINT AS bad_def, count(CASE WHEN list_has_any(o.ids, d.ids) THEN 1 END) AS n_overlap
+SELECT count(*) AS n, count(CASE WHEN len(list_distinct(o.ids)) <> len(o.ids) THEN 1 END) AS bad_off, count(CASE WHEN len(list_distinct(d.ids)) <> len(d.ids) THEN 1 END) AS bad_def, count(CASE WHEN list_has_any(o.ids, d.ids) THEN 1 END) AS n_overlap
 FROM side o JOIN side d ON o.game = d.game AND o.status <> d.status""")
 def segment_integrity(spark, sf):
     """Distinct ids per side and overlap of the sides."""
