@@ -25,14 +25,16 @@ from blendscope.llm.wordblocks import Grams, blocks, join, mix, split, word_hash
 
 #: Words of the n-grams whose hashes are the minimisers.
 GRAM = 3
-#: An n-gram or word that a block of about 8 MB holds that often is counted. The most frequent n-grams rank last and the
+#: Bytes of text that a task treats at a time (a longer text is a block by itself).
+BLOCK = 3 << 20
+#: An n-gram or word that a block holds that often is counted. The most frequent n-grams rank last and the
 #: most frequent words get a short code. Both only decide how windows travel; results are the same for every setting.
-OFTEN = 16
+OFTEN = 4
 MOST_FREQUENT = 1 << 18
 #: Words with a code, from 1 on; 0 stands for the next word of the row's rare ones.
 CODES = (1 << 16) - 1
 #: Words of packed strings that are sorted at a time (a larger bucket is sorted alone).
-BUCKET_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 18
 
 PACKED = "key int, id bigint, content bigint, start int, stop int, packed binary, rare string"
 SPAN = "id bigint, content bigint, start int, stop int"
@@ -118,7 +120,7 @@ def frequent(keyed: DataFrame, gram: int) -> tuple[np.ndarray, dict[str, int]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch.column("text")):
+            for part in blocks(batch.column("text"), BLOCK):
                 block = Block(batch.column("text")[part], gram)
                 yield often(block.names, np.bincount(block.number, minlength=len(block.names)), "word")
                 if len(block.at):
@@ -139,7 +141,8 @@ def pack(keyed: DataFrame, width: int, gram: int, late: np.ndarray, codes: dict[
         late, codes = shared.value
         for batch in batches:
             batch = batch.sort_by("id")
-            for part in blocks(batch.column("text")):
+            pa.default_memory_pool().release_unused()
+            for part in blocks(batch.column("text"), BLOCK):
                 b = Block(batch.column("text")[part], width)
                 if not len(b.at):
                     continue
@@ -218,6 +221,7 @@ def sort_buckets(buckets: DataFrame, width: int) -> DataFrame:
             words += batch.num_rows * width
             if words < BUCKET_WORDS:
                 continue
+            pa.default_memory_pool().release_unused()
             rows = pa.Table.from_batches(held)
             key = rows["key"].to_numpy()
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
@@ -248,7 +252,7 @@ def cut_column(text: Column, spans: Column) -> Column:
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept_text:string>")
     def cut(column: pa.Array, ranges: pa.Array) -> pa.Array:
         parts = []
-        for rows in blocks(column):
+        for rows in blocks(column, BLOCK):
             words, bounds = split(column[rows])
             here = ranges[rows]
             size = pc.fill_null(pc.list_value_length(here), 0).to_numpy(zero_copy_only=False)

@@ -160,6 +160,7 @@ def test_repeats_against_brute_force(spark, monkeypatch, width, partitions, word
 
 def test_frequent_grams_rank_last(spark, monkeypatch):
     """A passage inside many different texts: its surroundings spread over as many keys as there are texts."""
+    monkeypatch.setattr(substring, "OFTEN", 16)
     rng = random.Random(9)
     passage = " ".join(rng.choice("abcdefghij") for _ in range(40))
     other = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(30)) for _ in range(400)]
