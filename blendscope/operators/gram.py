@@ -72,6 +72,13 @@ def matrix(pdf: pd.DataFrame, p: int) -> np.ndarray:
     return g + np.triu(g, 1).T
 
 
+def unpacked(cells: np.ndarray, p: int) -> np.ndarray:
+    """The matrix whose upper triangle lies in ``cells``, row by row."""
+    g = np.zeros((p, p))
+    g[np.triu_indices(p)] = cells
+    return g + np.triu(g, 1).T
+
+
 def matrices(pdf: pd.DataFrame, key: str, p: int) -> dict:
     return {k: matrix(part, p) for k, part in pdf.groupby(key)}
 

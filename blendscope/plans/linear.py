@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from blendscope.functions import text as tx
 from blendscope.functions import vectors as vec
-from blendscope.operators import gram, relational, stats
+from blendscope.operators import gram, relational, resample, stats
+from blendscope.session import cut_lineage
 
 # Credibility weight in minutes, grid of ridge penalties, number of folds.
 CREDIBILITY = 500.0
@@ -180,11 +181,6 @@ def with_products(rows: DataFrame, k: int) -> DataFrame:
     )
 
 
-def fold_of(group: Column, n: int = FOLDS) -> Column:
-    """Deterministic fold of a group key."""
-    return F.pmod(F.xxhash64(group), F.lit(n)).cast("int")
-
-
 # --- ridge ------------------------------------------------------------------
 
 @dataclass
@@ -228,7 +224,7 @@ class LinearModel:
 
 def fold_statistics(rows: DataFrame, names: list[str], y: str, w: str, group: str, n_folds: int = FOLDS) -> dict:
     """Cross products per fold, brought to the driver: n_folds matrices of the design width."""
-    x = gram.cross_products(rows.withColumn("_fold", fold_of(F.col(group), n_folds)), names, y, w, "_fold")
+    x = gram.cross_products(resample.with_folds(rows, group, n_folds), names, y, w, "_fold")
     return gram.matrices(x.toPandas(), "_fold", len(names) + 2)
 
 
@@ -392,31 +388,41 @@ class OutcomeModel:
 
 
 def draw_counts(n_clusters: int, draws: int, seed: int = 42) -> np.ndarray:
-    """How often each cluster is drawn: (draws, clusters), each row sums to the cluster count."""
-    rng = np.random.default_rng(seed)
-    return rng.multinomial(n_clusters, np.full(n_clusters, 1.0 / n_clusters), size=draws)
+    """How often each cluster of a single block is drawn: (draws, clusters), each row sums to the cluster count."""
+    total = resample.block_draws(np.array([n_clusters]), draws, seed)[:, 0]
+    return resample.picks_in_block(total, n_clusters, 0, seed)
 
 
 def fit_outcome(groups: DataFrame, outcome: str, k: int, cluster: str = "team", reference: int | None = None,
                 draws: int = 1000, seed: int = 42) -> OutcomeModel:
     """Weighted least squares with cluster-bootstrap intervals.
 
-    The rows are read once. A draw adds up cluster matrices, so the thousand
-    refits cost a thousand small solves and no further pass. The number of
-    clusters (teams) is small; the matrices per cluster reach the driver.
+    The rows are read once, into one matrix per cluster. A draw is a weighted sum of cluster matrices; sums and refits
+    run on the executors, and the driver receives the coefficients of the draws.
     """
     if reference is None:
         reference = int(reference_component(groups, k).first()["reference"])
     names = outcome_columns(k, reference)
     p = len(names) + 2
-    per = gram.matrices(cluster_statistics(groups, names, outcome, cluster).toPandas(), cluster, p)
-    stack = np.stack([per[c] for c in sorted(per)])
-    total = stack.sum(axis=0)
+    width = p * (p + 1) // 2
+    triangle = F.array_sort(F.collect_list(F.struct("i", "j", "value")))  # one value per cell
+    per = cut_lineage(cluster_statistics(groups, names, outcome, cluster).groupBy(cluster).agg(
+        F.transform(triangle, lambda c: c["value"]).alias("cells")))
+    whole = per.agg(*[F.sum(F.col("cells")[i]).alias(f"c{i}") for i in range(width)]).first()  # one row
+    if whole[0] is None:
+        raise ValueError("no group survives the joins")
+    total = gram.unpacked(np.array(whole, dtype=float), p)
     coef, b0 = gram.least_squares(total)
     ci = None
     if draws:
-        counts = draw_counts(len(stack), draws, seed)
-        boot = np.array([gram.least_squares(np.tensordot(c.astype(float), stack, axes=1))[0] for c in counts])
+        sums = resample.cluster_draw_sums(per, cluster, width, draws, seed)
+        cols = [f"c{i}" for i in range(width)]
+
+        def refit(batches):
+            for pdf in batches:
+                yield pd.DataFrame({"coef": [gram.least_squares(gram.unpacked(row, p))[0] for row in pdf[cols].to_numpy()]})
+
+        boot = np.stack(sums.mapInPandas(refit, "coef array<double>").toPandas()["coef"].to_numpy())  # draws x p numbers
         ci = np.percentile(boot, [2.5, 97.5], axis=0).T
     return OutcomeModel(names, coef, b0, reference, gram.r_squared(total, coef, b0), ci, draws)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from blendscope import warehouse as wh
 from blendscope.functions import text as tx
-from blendscope.operators import relational
+from blendscope.operators import relational, resample
 from blendscope.plans import basis as bs
 from blendscope.plans import context as cx
 from blendscope.plans import environment as env
@@ -164,13 +164,8 @@ def clock_minutes(spark, sf):
 
 
 _BX = """bx AS (SELECT member, season, game, sum(qty) AS min, sum(rev) / 1000.0 AS pts, count(*) AS fga, count(CASE WHEN line_no = 7 THEN 1 END) AS fta, count(CASE WHEN flag = 'R' THEN 1 END) AS tov FROM lines GROUP BY ALL)"""
-DRAWS = 100
-
-
-_X = "x"
-for _ in range(3):
-    _X = f"(({_X} * {rp.ROOT} + 12345) % {rp.PRIME})"
-_TIMES = " + ".join(f"({_X} / {float(rp.PRIME)!r} >= {p!r})::INT" for p in rp.POISSON)
+DRAWS = 500
+_MASK = resample.MASK
 
 
 def _boxes(spark, sf):
@@ -179,14 +174,22 @@ def _boxes(spark, sf):
         F.count_if(F.col("line_no") == 7).alias("fta"), F.count_if(F.col("flag") == "R").alias("tov"))
 
 
+def _seed():
+    return F.col("member") * 10_000 + F.substring("season", 1, 4).cast("long")
+
+
 @query("bootstrap_draw_sums", sb.with_(sb.LINES, _BX) + f""",
-mx AS (SELECT bx.*, b AS draw, (game * 7919 + member * 104729 + b * 1299709) % {rp.PRIME} AS x FROM bx CROSS JOIN (SELECT unnest(range(1, {DRAWS + 1})) AS b)),
-pk AS (SELECT *, {_TIMES} AS c FROM mx)
-SELECT member, season, draw::INT AS draw, sum(c)::BIGINT AS n_games, {", ".join(f"{s6(f'sum({c} * c)')} AS {c}" for c in rp.BOX)}
-FROM pk WHERE c > 0 GROUP BY ALL""")
+nx AS (SELECT *, row_number() OVER (PARTITION BY member, season ORDER BY game) - 1 AS pos, count(*) OVER (PARTITION BY member, season) AS n,
+  (member * 10000 + left(season, 4)::BIGINT) & {_MASK} AS x FROM bx),
+m1 AS (SELECT member, season, n, (({resample.mix_sql('x')}) + pos) & {_MASK} AS x FROM nx),
+m2 AS (SELECT member, season, n, ({resample.mix_sql('x')}) AS x FROM m1),
+m3 AS (SELECT member, season, n, b AS draw, (x + b) & {_MASK} AS x FROM m2 CROSS JOIN (SELECT unnest(range(1, {DRAWS + 1})) AS b)),
+pk AS (SELECT member, season, draw, (({resample.mix_sql('x')}) * n) >> 32 AS pos, count(*) AS c FROM m3 GROUP BY ALL)
+SELECT pk.member, pk.season, draw::INT AS draw, sum(c)::BIGINT AS n_games, {", ".join(f"{s6(f'sum({c} * c)')} AS {c}" for c in rp.BOX)}
+FROM pk JOIN nx ON nx.member = pk.member AND nx.season = pk.season AND nx.pos = pk.pos GROUP BY ALL""")
 def bootstrap_draw_sums(spark, sf):
-    """Resampled box sums of every member and season."""
-    s = rp.draw_sums(_boxes(spark, sf), ["member", "season"], DRAWS)
+    """Box sums of every member and season over games drawn n of n."""
+    s = rp.draw_sums(_boxes(spark, sf), ["member", "season"], DRAWS, _seed())
     return s.select("member", "season", "draw", "n_games", *[r6(c) for c in rp.BOX])
 
 
@@ -198,7 +201,7 @@ def bootstrap_bands(spark, sf):
     season = boxes.groupBy("member", "season").agg(F.sum("pts").alias("total_pts"), F.sum("min").alias("total_min")).join(
         pop.select("member", "season", "pts_per_100"), ["member", "season"])
     keys = ["member", "season"]
-    drawn = rp.resampled_features(rp.draw_sums(boxes, keys, DRAWS), season, keys)
+    drawn = rp.resampled_features(rp.draw_sums(boxes, keys, DRAWS, _seed()), season, keys)
     whole = boxes.groupBy(*keys).agg(F.count("*").alias("n_games"), *[F.sum(c).alias(c) for c in rp.BOX]).withColumn("draw", F.lit(0))
     names = [c for c in ("ts", "ftr", "tov", "pts_per_100") if c in b.features]
     # the bound features have units of their own: each moves in step with its resampled form

@@ -185,20 +185,6 @@ def test_dictionary_meanings(spark):
     assert names == ["zeta", "alpha"]
 
 
-def test_bootstrap_draws_with_replacement(spark):
-    from blendscope.plans import report as rp
-
-    rows = [(m, g * 37 + m, 1.0, float(g), 1, 0, 0) for m in (1, 2) for g in range(60)]
-    boxes = spark.createDataFrame(rows, "member long, game long, min double, pts double, fga int, fta int, tov int")
-    sums = rp.draw_sums(boxes, ["member"], 200).toPandas()
-    each = boxes.select("member", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("draw"), rp.drawn(F.col("member"), F.col("game"), F.col("draw")).alias("c")).toPandas()
-    assert each["c"].max() >= 3 and abs(each["c"].mean() - 1) < 0.03 and abs(each["c"].var() - 1) < 0.06
-    for _, s in sums.groupby("member"):
-        # a Poisson draw of independent games: variance of the sum is the sum of squares
-        assert len(s) == 200 and abs(s["pts"].mean() - 1770) < 60 and 0.5 < s["pts"].std() / np.sqrt(sum(g * g for g in range(60))) < 1.5
-        assert s["n_games"].nunique() > 10
-
-
 def test_pair_weights_cover_every_order(spark, sf):
     """A pair carries both members' weight, so an order of n members counts each weight n - 1 times."""
     from blendscope import warehouse as wh
