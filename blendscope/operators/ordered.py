@@ -13,10 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blendscope.session import cut_lineage
+
 # Chunks per factor of two of a value. Chunk numbers grow with the value, and
 # a key has at most some tens of thousands of chunks, whatever its row count.
 CHUNKS_PER_OCTAVE = 64
 _SHIFT = 1100 * CHUNKS_PER_OCTAVE
+# Chunks with a wanted rank that are broadcast: some 40 bytes each.
+MOST_HELD = 500_000
 
 
 def value_chunk(v: Column) -> Column:
@@ -58,9 +62,36 @@ def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, value, (F.col("_before") + F.col("_inside")).alias("n_below"), "n_equal", "n_total")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key."""
-    dist = distribution(df, keys, value)
+def rank_chunks(df: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Of each key the value chunks that hold a wanted rank, with the rows before them and in total.
+
+    ``df``: keys and ``_chunk``. Only counts per chunk are shuffled, summed map-side; at most two chunks a probability remain.
+    """
+    per_key = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_chunk", "_n", F.coalesce(F.sum("_n").over(per_key), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("n_total"))
+    ranks = [step((F.col("n_total") - 1) * F.lit(float(p))) for p in probs.values() for step in (F.floor, F.ceil)]
+    wanted = reduce(lambda a, r: a | ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_n"))), ranks, F.lit(False))
+    return chunks.where(wanted).drop("_n")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], most_held: int = MOST_HELD) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per key, by counting.
+
+    One pass counts the rows per value chunk; then only the values of the chunks that hold a wanted rank are shuffled and
+    sorted. These chunks are broadcast where they are at most ``most_held`` rows; with more keys than that the rows meet
+    them in a shuffled join. The input is read twice, so give one that is cheap to read.
+    """
+    group = list(keys) or ["_all"]
+    src = (df if keys else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull()).select(
+        *group, (F.col(value).cast("double") + F.lit(0.0)).alias(value)).withColumn("_chunk", value_chunk(F.col(value)))
+    chunks = cut_lineage(rank_chunks(src, group, probs))
+    small = chunks.limit(most_held + 1).count() <= most_held
+    held = src.join(F.broadcast(chunks) if small else chunks, [*group, "_chunk"])
+    dist = held.groupBy(*group, "_chunk", value, "_before", "n_total").agg(F.count(F.lit(1)).alias("n_equal"))
+    in_chunk = Window.partitionBy(*group, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    dist = dist.withColumn("n_below", F.col("_before") + F.coalesce(F.sum("n_equal").over(in_chunk), F.lit(0)))
 
     def at(position: Column) -> Column:
         hit = (F.col("n_below") <= position) & (position < F.col("n_below") + F.col("n_equal"))

@@ -24,6 +24,28 @@ def test_quantiles_and_ranks(spark):
         assert np.allclose(part["pct"], want)
 
 
+def test_quantiles_shuffle_only_the_chunks_of_the_ranks(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": np.where(np.arange(6000) % 3 == 0, "hot", "b"), "v": rng.lognormal(size=6000)})
+    df = spark.createDataFrame(pdf)
+    chunked = df.withColumn("_chunk", ordered.value_chunk(F.col("v")))
+    chunks = ordered.rank_chunks(chunked, ["k"], {"m": 0.5})
+    assert chunks.count() <= 4
+    held = chunked.join(chunks, ["k", "_chunk"]).count()
+    assert held < 0.05 * len(pdf)
+    probs = {"m": 0.5, "q": 0.9}
+    near, far = (ordered.quantiles(df, ["k"], "v", probs, most_held=h) for h in (100, 0))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    # the rows meet the chunks before any exchange
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {tuple(r) for r in near.collect()} == {tuple(r) for r in far.collect()}
+    for k, part in pdf.groupby("k"):
+        assert near.where(F.col("k") == k).first()["q"] == pytest.approx(np.percentile(part["v"], 90))
+    empty = ordered.quantiles(df.where("false"), [], "v", probs).collect()
+    assert len(empty) == 1 and empty[0]["m"] is None
+    assert ordered.quantiles(df.where("false"), ["k"], "v", probs).count() == 0
+
+
 def test_ordered_scan_matches_plain_windows(spark):
     rng = np.random.default_rng(2)
     n = 400
