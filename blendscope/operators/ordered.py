@@ -19,7 +19,9 @@ from blendscope.session import cut_lineage
 # a key has at most some tens of thousands of chunks, whatever its row count.
 CHUNKS_PER_OCTAVE = 64
 _SHIFT = 1100 * CHUNKS_PER_OCTAVE
-# Chunks with a wanted rank that are broadcast: some 40 bytes each.
+# Rows of a key that are gathered in one task.
+MOST_GATHERED = 10_000
+# Names of larger keys, or chunks with a wanted rank, that are broadcast: some 40 bytes each.
 MOST_HELD = 500_000
 
 
@@ -76,16 +78,32 @@ def rank_chunks(df: DataFrame, keys: list[str], probs: dict[str, float]) -> Data
     return chunks.where(wanted).drop("_n")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], most_held: int = MOST_HELD) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key, by counting.
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+              most_gathered: int = MOST_GATHERED, most_held: int = MOST_HELD) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per key; rows with a null key or value take no part.
 
-    One pass counts the rows per value chunk; then only the values of the chunks that hold a wanted rank are shuffled and
-    sorted. These chunks are broadcast where they are at most ``most_held`` rows; with more keys than that the rows meet
-    them in a shuffled join. The input is read twice, so give one that is cheap to read.
+    Keys of at most ``most_gathered`` rows are gathered and sorted each on its own. Larger keys are counted: a pass counts
+    their rows per value chunk, then only the values of the chunks that hold a wanted rank are shuffled. The names of the
+    larger keys and those chunks are broadcast up to ``most_held`` rows and joined by a shuffle beyond. The input is read
+    once to count and once more for either kind, so give one that is cheap to read.
     """
     group = list(keys) or ["_all"]
-    src = (df if keys else df.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull()).select(
-        *group, (F.col(value).cast("double") + F.lit(0.0)).alias(value)).withColumn("_chunk", value_chunk(F.col(value)))
+    src = (df if keys else df.withColumn("_all", F.lit(0))).select(*group, (F.col(value).cast("double") + F.lit(0.0)).alias(value)).dropna()
+    large = cut_lineage(src.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_gathered).select(*group))
+    n_large = large.limit(most_held + 1).count()
+    names = F.broadcast(large) if n_large <= most_held else large
+    plain = src.join(names, group, "left_anti") if n_large else src
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()]]
+    near = plain.groupBy(*keys).agg(*aggs) if keys else plain.agg(*aggs)
+    if not n_large:
+        return near
+    far = _counted(src.join(names, group, "left_semi"), group, value, probs, most_held).select(*near.columns)
+    return near.unionByName(far) if keys else far
+
+
+def _counted(src: DataFrame, group: list[str], value: str, probs: dict[str, float], most_held: int) -> DataFrame:
+    """Quantiles of large keys by counting."""
+    src = src.withColumn("_chunk", value_chunk(F.col(value)))
     chunks = cut_lineage(rank_chunks(src, group, probs))
     small = chunks.limit(most_held + 1).count() <= most_held
     held = src.join(F.broadcast(chunks) if small else chunks, [*group, "_chunk"])
@@ -101,13 +119,13 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     for name, p in probs.items():
         h = (F.col("n_total") - 1) * F.lit(float(p))
         aggs += [at(F.floor(h)).alias(f"_{name}_lo"), at(F.ceil(h)).alias(f"_{name}_hi")]
-    picked = dist.groupBy(*keys).agg(*aggs) if keys else dist.agg(*aggs)
+    picked = dist.groupBy(*group).agg(*aggs)
     cols = []
     for name, p in probs.items():
         h = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         cols.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    return picked.select(*keys, "n", *cols)
+    return picked.select(*group, "n", *cols)
 
 
 def percentile_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

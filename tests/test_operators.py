@@ -14,10 +14,11 @@ def test_quantiles_and_ranks(spark):
     key = np.where(np.arange(len(v)) % 3 == 0, "hot", "b")
     pdf = pd.DataFrame({"k": key, "v": v})
     df = spark.createDataFrame(pdf)
-    got = {r.k: r for r in ordered.quantiles(df, ["k"], "v", {"q1": 0.05, "m": 0.5, "q3": 2 / 3}).collect()}
-    for k, part in pdf.groupby("k"):
-        for name, p in (("q1", 0.05), ("m", 0.5), ("q3", 2 / 3)):
-            assert got[k][name] == pytest.approx(np.percentile(part["v"], 100 * p), abs=1e-9)
+    for gathered in (10_000, 200, 0):
+        got = {r.k: r for r in ordered.quantiles(df, ["k"], "v", {"q1": 0.05, "m": 0.5, "q3": 2 / 3}, gathered).collect()}
+        for k, part in pdf.groupby("k"):
+            for name, p in (("q1", 0.05), ("m", 0.5), ("q3", 2 / 3)):
+                assert got[k][name] == pytest.approx(np.percentile(part["v"], 100 * p), abs=1e-9)
     ranks = ordered.percentile_rank(df, ["k"], "v", "pct").toPandas()
     for k, part in ranks.groupby("k"):
         want = [(part["v"] < x).mean() for x in part["v"]]
@@ -34,11 +35,18 @@ def test_quantiles_shuffle_only_the_chunks_of_the_ranks(spark):
     held = chunked.join(chunks, ["k", "_chunk"]).count()
     assert held < 0.05 * len(pdf)
     probs = {"m": 0.5, "q": 0.9}
-    near, far = (ordered.quantiles(df, ["k"], "v", probs, most_held=h) for h in (100, 0))
+    near, far = (ordered.quantiles(df, ["k"], "v", probs, most_gathered=10, most_held=h) for h in (100, 0))
     plan = near._jdf.queryExecution().executedPlan().toString()
     # the rows meet the chunks before any exchange
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert {tuple(r) for r in near.collect()} == {tuple(r) for r in far.collect()}
+    mixed = {r["k"]: r for r in ordered.quantiles(df, ["k"], "v", probs, most_gathered=3000).collect()}
+    gathered = {r["k"]: r for r in ordered.quantiles(df, ["k"], "v", probs).collect()}
+    for r in near.collect():
+        for other in (mixed[r["k"]], gathered[r["k"]]):
+            assert other["n"] == r["n"] and other["m"] == pytest.approx(r["m"]) and other["q"] == pytest.approx(r["q"])
+    whole = ordered.quantiles(df, [], "v", probs, most_gathered=10).collect()
+    assert len(whole) == 1 and whole[0]["m"] == pytest.approx(np.percentile(pdf["v"], 50))
     for k, part in pdf.groupby("k"):
         assert near.where(F.col("k") == k).first()["q"] == pytest.approx(np.percentile(part["v"], 90))
     empty = ordered.quantiles(df.where("false"), [], "v", probs).collect()
