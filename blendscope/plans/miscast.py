@@ -18,12 +18,16 @@ def feature_rows(df: DataFrame, features: list[str], vectors: dict[str, str], ke
 
 
 def grounding(
-    targets: DataFrame, basis: DataFrame, features: list[str], outcome: list[str], opportunity: list[str], cut: float = 0.3
+    targets: DataFrame, basis: DataFrame, features: list[str], outcome: list[str], opportunity: list[str], cut: float = 0.3,
+    evidence: list[str] | None = None,
 ) -> DataFrame:
     """Per member: best outcome contribution and worst opportunity deficit towards a component (M4).
 
-    ``targets``: member, season, component, z[p]; ``basis``: component, z[p], k rows.
+    ``targets``: member, season, component, z[p]; ``basis``: component, z[p], k rows. Only features in ``evidence`` are
+    cited, if it is given; where none reaches ``cut`` the feature is null.
     """
+    if evidence is not None:
+        outcome, opportunity = [f for f in outcome if f in evidence], [f for f in opportunity if f in evidence]
     b = basis.select("component", F.col("z").alias("bz"))
     rows = feature_rows(targets.join(F.broadcast(b), "component"), features, {"z": "z", "bz": "bz"},
                         ["member", "season", "component"])
@@ -43,6 +47,17 @@ def grounding(
         F.when(d_ok, F.col("d.v")).alias("deficit"))
 
 
+def miscast_grounding(scores: DataFrame, basis: DataFrame, features: list[str], outcome: list[str], opportunity: list[str],
+                      evidence: list[str], cut: float = 0.3) -> DataFrame:
+    """Which features speak for the under-used component of every member (M4).
+
+    ``scores``: rows of the miscast score with member, season, z[p], underused and gap_pp; ``basis``: component, z[p].
+    """
+    targets = scores.select("member", "season", F.col("underused").alias("component"), "z")
+    g = grounding(targets, basis, features, outcome, opportunity, cut, evidence)
+    return g.join(scores.select("member", "season", "score", "gap_pp"), ["member", "season"]).withColumnRenamed("component", "underused")
+
+
 def peer_centroid(mix: DataFrame, z: DataFrame, k: int, p: int, power: float = 4.0, *, blocks: int) -> DataFrame:
     """Similarity-weighted mean z vector of all other members of the season, with its effective size (M5)."""
     pool = mix.select("member", "season", "recipe").join(z.select("member", "season", "z"), ["member", "season"])

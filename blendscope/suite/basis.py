@@ -25,6 +25,8 @@ K = wh.K
 P = len(wh.FEATURES)
 FEATURES = list(wh.FEATURES)
 OUTCOME = ["pts_per_100", "ts", "ast", "tov", "stl", "blk", "trb", "ftr", "bpm"]
+#: Features that a reader can check without explanation.
+EVIDENCE = ["ts", "ast", "usg", "far", *[f"playtype_{t.lower()}" for t in wh.TYPES[:2]]]
 OPPORTUNITY = ["usg", "dist", "near", "far", *[f"playtype_{t.lower()}" for t in wh.TYPES]]
 FIT_K = 8
 SWEEP = range(2, 13)
@@ -152,6 +154,17 @@ def miscast_scores(spark, sf):
     return m.select("member", "season", r6("score"), "underused", r6("gap_pp"), r6("pct"))
 
 
+@query("miscast_grounding")
+def miscast_grounding(spark, sf):
+    """M4: outcome and opportunity features that ground the under-used component of every member."""
+    pop, b = fitted(spark, sf)
+    z = pop.select("member", "season", b.zscore().alias("z"))
+    scores = cut_lineage(bs.miscast(z, b, OPPORTUNITY, OUTCOME, ["member", "season"]))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(b.vectors)], "component int, z array<double>")  # k rows
+    g = mc.miscast_grounding(scores, rows, list(b.features), OUTCOME, OPPORTUNITY, EVIDENCE)
+    return g.select("member", "season", "underused", r6("gap_pp"), "outcome_feature", r6("outcome_z"), "opportunity_feature", r6("opportunity_z"), r6("deficit"))
+
+
 @query("embedding_archetypes")
 def embedding_archetypes(spark, sf):
     """F2 F4 on the embedding vectors, all dimensions: extreme vectors and their mixtures' mean weights per label."""

@@ -222,3 +222,30 @@ def test_outcome_report_joins_its_parts(spark):
         assert rows["size_3", name].value == pytest.approx(c) == rows["size_4", name].value
     assert rows["extrapolation", "n"].value == n and rows["extrapolation", "corr_full"].value > 0.9
     assert rows["cross_validation", "r2_full"].value > rows["cross_validation", "r2_baseline"].value
+
+
+def test_grounding_of_the_underused_component(spark):
+    from blendscope.plans import miscast as mc
+
+    rng = np.random.default_rng(4)
+    features = ["ts", "ast", "stl", "usg", "dist", "far"]
+    outcome, opportunity, evidence = ["ts", "ast", "stl"], ["usg", "dist", "far"], ["ast", "ts", "far", "usg"]
+    vectors = rng.normal(size=(3, 6))
+    z = rng.normal(size=(40, 6))
+    z[0] = vectors[1] * 0.01  # nothing reaches the cut on the outcome side
+    z[1] = np.nan_to_num(z[1]) * 0 + 9.0  # no deficit anywhere
+    under = rng.integers(0, 3, 40)
+    scores = spark.createDataFrame([(i, "2000-01", z[i].tolist(), int(under[i]), 0.5, 12.0) for i in range(40)],
+                                   "member long, season string, z array<double>, underused int, score double, gap_pp double")
+    basis = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "component int, z array<double>")
+    got = {r["member"]: r for r in mc.miscast_grounding(scores, basis, features, outcome, opportunity, evidence).collect()}
+    assert len(got) == 40
+    for i in range(40):
+        b = vectors[under[i]]
+        o = max(((z[i][j] * b[j], features[j], z[i][j]) for j, f in enumerate(features) if f in outcome and f in evidence))
+        d = max(((b[j] - z[i][j], features[j], z[i][j]) for j, f in enumerate(features) if f in opportunity and f in evidence))
+        assert got[i]["underused"] == under[i]
+        assert got[i]["outcome_feature"] == (o[1] if o[0] >= 0.3 else None)
+        assert got[i]["opportunity_feature"] == (d[1] if d[0] >= 0.3 else None)
+        assert got[i]["deficit"] == (pytest.approx(d[0]) if d[0] >= 0.3 else None)
+    assert got[1]["opportunity_feature"] is None
