@@ -249,3 +249,12 @@ def test_grounding_of_the_underused_component(spark):
         assert got[i]["opportunity_feature"] == (d[1] if d[0] >= 0.3 else None)
         assert got[i]["deficit"] == (pytest.approx(d[0]) if d[0] >= 0.3 else None)
     assert got[1]["opportunity_feature"] is None
+
+
+def test_ranks_of_equal_mixtures_tie_whatever_the_summation_order(spark):
+    from blendscope.plans import identity
+
+    rows = [(1, "s", [0.1 + 0.2, 0.7]), (2, "s", [0.3, 0.7]), (3, "s", [0.3, 0.7000000000000001]), (4, "s", [0.1, 0.9])]
+    df = spark.createDataFrame(rows, "member long, season string, recipe array<double>")
+    got = {r.member: (r.purity_pct, r.entropy_pct) for r in identity.purity_entropy(df, 2).collect()}
+    assert got == {1: (0.0, 0.25), 2: (0.0, 0.25), 3: (0.0, 0.25), 4: (0.75, 0.0)}
