@@ -258,3 +258,15 @@ def test_ranks_of_equal_mixtures_tie_whatever_the_summation_order(spark):
     df = spark.createDataFrame(rows, "member long, season string, recipe array<double>")
     got = {r.member: (r.purity_pct, r.entropy_pct) for r in identity.purity_entropy(df, 2).collect()}
     assert got == {1: (0.0, 0.25), 2: (0.0, 0.25), 3: (0.0, 0.25), 4: (0.75, 0.0)}
+
+
+def test_attribution_is_no_matter_of_the_last_digit(spark):
+    from blendscope.plans import identity
+
+    a, b = 0.1 + 0.2, 0.3  # equal but for the last digit
+    z = spark.createDataFrame([(1, "a", [a, 0.0, 0.0]), (1, "b", [a + 1.0, -1.0, a + 0.7])], "member long, season string, z array<double>")
+    mix = spark.createDataFrame([(1, "a", [0.5, 0.2, 0.3]), (1, "b", [0.2, 0.2 + b, 0.3])], "member long, season string, recipe array<double>")
+    basis = spark.createDataFrame([(0, [b, 1.0, 0.0]), (1, [b, -1.0, 1.0]), (2, [0.0, 0.0, 0.0])], "component int, z array<double>")
+    got = [(r.feature, r.toward_riser, r.away_from_faller) for r in
+           identity.attribution(z, mix, basis, ["x", "y", "v"], 3).orderBy("rank").collect()]
+    assert got == [("x", False, False), ("y", True, True), ("v", True, False)]
