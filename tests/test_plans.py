@@ -270,3 +270,14 @@ def test_attribution_is_no_matter_of_the_last_digit(spark):
     got = [(r.feature, r.toward_riser, r.away_from_faller) for r in
            identity.attribution(z, mix, basis, ["x", "y", "v"], 3).orderBy("rank").collect()]
     assert got == [("x", False, False), ("y", True, True), ("v", True, False)]
+
+
+def test_elasticity_ties_and_its_threshold_do_not_hang_on_the_twelfth_digit(spark):
+    from blendscope.plans import context
+
+    # the changes of 0 and 1 are equal but lie on both sides of a twelfth digit; the spread is 6 points but for the last digit
+    rows = [(1, 0, 0.0300000000004999), (1, 1, 0.0300000000005001), (1, 2, -0.03)]
+    df = spark.createDataFrame([(m, "s", c, True, False, v) for m, c, v in rows],
+                               "member long, season string, component int, available boolean, thin boolean, usage_delta double")
+    r = context.elasticity(df).first()
+    assert (r.best, r.worst, r.biggest, r.spread_pp, r.word) == (0, 2, 0, 6.0, "elastic")
