@@ -159,3 +159,20 @@ def test_null_features_of_a_fixed_projection_are_an_error(spark):
     assert bs.project(df, b, ["member"], strict=True).where("recipe is null").count() == 0
     with pytest.raises(Exception, match="projection: c"):
         bs.project(holes, b, ["member"], strict=True).collect()
+
+
+def test_a_fit_counts_equal_rows_instead_of_visiting_them(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    one = rng.normal(size=(40, 4))
+    often = np.where(np.arange(40) % 3 == 0, 9, 2)
+    x = np.repeat(one, often, axis=0) * (1.0 + rng.integers(-1, 2, (int(often.sum()), 1)) * 1e-15)
+    cols = [f"f{i}" for i in range(4)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(member=np.arange(len(x)), season="s"))
+    visited, score = [], bs._score_swaps
+    monkeypatch.setattr(bs, "_score_swaps", lambda z, *a: visited.append(z.count()) or score(z, *a))
+    b = bs.fit(df, cols, 3)
+    assert set(visited) == {40} and b.meta["certificate"]["rows_priced"] == len(x)
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    a = simplex.project(z, b.vectors)
+    assert b.meta["rss"] == pytest.approx(simplex.residuals(z, b.vectors, a).sum())
+    assert b.meta["explained_var"] == pytest.approx(1 - simplex.residuals(z, b.vectors, a).sum() / (z ** 2).sum())
