@@ -110,7 +110,8 @@ def counted(rows: DataFrame, model: Model | None, sure: float) -> dict[tuple[str
                         total[view, c][-1] += 1
         for (view, c), n in total.items():
             used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"view": [view] * len(used), "c": pa.array([c] * len(used), pa.int32()), "bin": pa.array(used, pa.int32()), "n": n[used]})
+            columns = {"view": pa.array([view] * len(used), pa.string()), "c": pa.array([c] * len(used), pa.int32()), "bin": pa.array(used, pa.int32()), "n": n[used]}
+            yield pa.RecordBatch.from_pydict(columns)  # typed, since a task may have counted nothing for a view and class
 
     parts = rows.mapInArrow(count, "view string, c int, bin int, n double")
     out = {(v, c): np.zeros(BINS[v] + 1) for v in VIEWS for c in (0, 1)}

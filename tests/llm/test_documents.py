@@ -268,6 +268,12 @@ def test_quality_held_out_accuracy(spark):
     assert out.filter("doc_id = 9002").first().text_score < 0.5
 
 
+def test_quality_counts_where_a_task_has_one_class_only(spark):
+    rows = [("abcd efgh", "en", "a", 9, 1), ("ijkl mnop", None, "b", None, 1)]
+    counts = quality.counted(spark.createDataFrame(rows, "text string, lang string, source string, n_chars long, y int").coalesce(1), None, 0.98)
+    assert {k: n[-1] for k, n in counts.items()} == {("text", 1): 2, ("meta", 1): 2, ("text", 0): 0, ("meta", 0): 0}
+
+
 def test_quality_without_labels(spark):
     docs, labels = labelled(spark, random.Random(5), 12)
     model = quality.train_quality(docs, labels.limit(0))
