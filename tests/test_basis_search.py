@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from blendscope import warehouse as wh
 from blendscope.operators import simplex
 from blendscope.plans import basis as bs
 from blendscope.sources import ledger, tables
@@ -176,3 +177,17 @@ def test_a_fit_counts_equal_rows_instead_of_visiting_them(spark, monkeypatch):
     a = simplex.project(z, b.vectors)
     assert b.meta["rss"] == pytest.approx(simplex.residuals(z, b.vectors, a).sum())
     assert b.meta["explained_var"] == pytest.approx(1 - simplex.residuals(z, b.vectors, a).sum() / (z ** 2).sum())
+
+
+def test_feature_sources_share_one_pass_over_the_lines(spark, sf):
+    sources = wh.feature_sources(spark, sf)
+    assert not [f for df in sources.values() for f in df.inputFiles() if "lineitem" in f or "part.parquet" in f]
+    li = wh.typed_lines(spark, sf)
+    want = {(r.member, r.season): r for r in li.groupBy("member", "season").agg(
+        F.avg("tax").alias("dist"), F.avg(F.when(F.col("flag") == "A", (F.col("discount") >= 0.08).cast("double"))).alias("far")).collect()}
+    names = {r.name.upper(): r.member for r in wh.members(spark, sf).collect()}
+    rows = sources["shooting"].collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        w = want[names[r.player], r.season]
+        assert r.dist == pytest.approx(w.dist) and (r.far is None if w.far is None else r.far == pytest.approx(w.far))
