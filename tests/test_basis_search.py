@@ -179,6 +179,16 @@ def test_a_fit_counts_equal_rows_instead_of_visiting_them(spark, monkeypatch):
     assert b.meta["explained_var"] == pytest.approx(1 - simplex.residuals(z, b.vectors, a).sum() / (z ** 2).sum())
 
 
+def test_a_round_scores_the_best_prices_first_and_the_others_before_it_ends(spark, monkeypatch):
+    df, _ = population(spark, 150, 7)
+    asked, score = [], bs._score_swaps
+    monkeypatch.setattr(bs, "_score_swaps", lambda z, bases, swaps: asked.append({r: len(s) for r, s in swaps.items()}) or score(z, bases, swaps))
+    b = bs.fit(df, COLS, 4, panel=30, restarts=1)
+    sizes = [s[0] for s in asked]
+    assert set(sizes) == {bs.TRIED, 3 * bs.TRIED} and sizes[-1] == 3 * bs.TRIED  # the last round has scored 8 rows of each of 4 places
+    assert b.meta["converged"] and b.meta["n_iter"] == sizes.count(bs.TRIED) and b.meta["certificate"]["swaps_tried"] == sum(sizes)
+
+
 def test_feature_sources_share_one_pass_over_the_lines(spark, sf):
     sources = wh.feature_sources(spark, sf)
     assert not [f for df in sources.values() for f in df.inputFiles() if "lineitem" in f or "part.parquet" in f]
