@@ -179,6 +179,25 @@ def test_a_fit_counts_equal_rows_instead_of_visiting_them(spark, monkeypatch):
     assert b.meta["explained_var"] == pytest.approx(1 - simplex.residuals(z, b.vectors, a).sum() / (z ** 2).sum())
 
 
+def test_coverage_sums_pairs_of_equal_rows_before_they_meet_their_mixtures(spark, monkeypatch):
+    df, _ = population(spark, 20, 6)
+    copies = df.unionByName(df.withColumn("member", F.col("member") + 100)).unionByName(df.withColumn("member", F.col("member") + 200))
+    pairs = spark.createDataFrame([(i + 100 * c, (i * 7 + 3) % 20 + 100 * d, "s", float(1 + i + c)) for i in range(20) for c in range(3) for d in range(3)],
+                                  "a long, b long, season string, min double")
+    fits = bs.fit_runs(copies, COLS, [(2, 0), (4, 0)])
+    met, spread = [], bs.spread
+    monkeypatch.setattr(bs, "spread", lambda d: met.append(d.count()) or spread(d))
+    got = {r.k: r for r in bs.coverage_by_k(pairs, copies, fits).collect()}
+    assert met == [20]  # mixtures are computed once per different row
+    for b in fits:
+        want = bs.coverage_summary(bs.cell_mass(pairs, bs.project(copies, b, ["member", "season"]), b.k)).first()
+        assert (got[b.k].n_cells, got[b.k].effective_cells, got[b.k].n_pairs) == (want.n_cells, want.effective_cells, want.n_pairs) and want.n_pairs == 180
+        assert (got[b.k].min_mass, got[b.k].median_mass) == pytest.approx((want.min_mass, want.median_mass))
+    for r, b in zip(bs.sweep_table(copies, fits).collect(), fits):
+        assert r.intra_variance == pytest.approx(bs.intra_variance(bs.project(copies, b, ["member"]), len(COLS)).first().intra_variance)
+    assert met == [20, 20]
+
+
 def test_a_round_scores_the_best_prices_first_and_the_others_before_it_ends(spark, monkeypatch):
     df, _ = population(spark, 150, 7)
     asked, score = [], bs._score_swaps
