@@ -325,3 +325,11 @@ def test_both_sides_of_a_design_come_from_one_pass(spark):
     f = ln.lineup_features(stints.select("season", F.col("off").alias("ids"), "game"), rec, skill, 2, ["season", "ids", "game"])
     assert f._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
     assert {tuple(r.ids): (r.s_off, r.s_def, r.home_off) for r in f.collect()} == {(1, 2): (3.0, 12.0, 0.5), (3,): (3.0, 16.0, 0.5)}
+
+
+def test_the_report_joins_lines_with_parts_before_it_branches(spark, sf):
+    from blendscope import suite
+    from blendscope.suite import sources as so  # noqa: F401
+
+    plan = suite.QUERIES["member_report"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan  # the mixtures were kept once for all its branches
